@@ -54,14 +54,11 @@ def one_row_per_key(source: DataFrame, on: str | list[str], what: str = "source"
     """The source itself, failing at run time when a key has two rows."""
     keys = [on] if isinstance(on, str) else list(on)
     rest = [c for c in source.columns if c not in keys]
-    row = F.any_value(F.struct(*rest)) if rest else F.lit(None)
-    checked = F.when(
-        F.count(F.lit(1)) > 1,
-        F.raise_error(F.lit(f"{what} has more than one row for a key of {', '.join(keys)}")).cast(
-            source.select(F.struct(*rest)).schema[0].dataType if rest else "string"
-        ),
-    ).otherwise(row)
-    grouped = source.groupBy(*keys).agg(checked.alias("__row"))
+    row = F.any_value(F.struct(*rest))
+    clash = F.raise_error(F.lit(f"{what} has more than one row for a key of {', '.join(keys)}"))
+    grouped = source.groupBy(*keys).agg(
+        F.when(F.count(F.lit(1)) > 1, clash).otherwise(row).alias("__row")
+    )
     return grouped.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
