@@ -213,13 +213,25 @@ def prior_concierge(audit: DataFrame, case_id: str | None = None, n: int = 5) ->
     return newest_per(rows, "customer_id", n)
 
 
+def closed_cases(audit: DataFrame) -> DataFrame:
+    """Cases a successful pull has closed."""
+    closing = outcome.is_pull() & (F.col("status") == "SUCCESS")
+    return audit.filter(closing).select("case_id").distinct()
+
+
 def open_staging(audit: DataFrame) -> DataFrame:
-    """Newest staged row of each customer whose case no successful pull has closed.
+    """Newest staged row of each customer whose case is not closed.
 
     A staged row without a case can never be closed, so it stays open.
     """
-    closed = audit.filter(outcome.is_pull() & (F.col("status") == "SUCCESS"))
-    return latest_staging(audit).join(closed.select("case_id").distinct(), "case_id", "left_anti")
+    return latest_staging(audit).join(closed_cases(audit), "case_id", "left_anti")
+
+
+def staging_state(audit: DataFrame) -> DataFrame:
+    """Newest staged row of each customer with a flag telling whether its case is open."""
+    closed = closed_cases(audit).withColumn("__closed", F.lit(True))
+    marked = latest_staging(audit).join(closed, "case_id", "left")
+    return marked.withColumn("is_open", F.col("__closed").isNull()).drop("__closed")
 
 
 # --- writing -------------------------------------------------------------------------------

@@ -145,12 +145,12 @@ def rules_baseline(
     latest = (
         inventory.filter(F.col("seats_available") > 0)
         .groupBy("pnr")
-        .agg(F.max(F.struct("arrival_time", "alternate_flight")).alias("latest"))
-        .select(
-            "pnr",
-            F.col("latest.alternate_flight").alias("flight_chosen"),
-            F.col("latest.arrival_time").alias("arrival_time"),
+        .agg(F.max(F.struct("arrival_time", "alternate_flight", "departure_time")).alias("latest"))
+        .select("pnr", "latest.*")
+        .withColumn(
+            "landing_hour", arrival_hour_needed(F.col("departure_time"), F.col("arrival_time"))
         )
+        .withColumnRenamed("alternate_flight", "flight_chosen")
     )
     people = events.filter("misconnect_risk").select("customer_id", "pnr").distinct()
     tiers = profiles.select("customer_id", "loyalty_tier").filter(
@@ -160,7 +160,10 @@ def rules_baseline(
     return (
         attach(eligible, latest, "pnr")
         .withColumn("voucher_usd", F.lit(voucher_usd))
-        .select("customer_id", "pnr", "loyalty_tier", "flight_chosen", "arrival_time", "voucher_usd")
+        .select(
+            "customer_id", "pnr", "loyalty_tier", "flight_chosen", "arrival_time", "landing_hour",
+            "voucher_usd",
+        )
     )
 
 
@@ -174,7 +177,7 @@ def flight_classes(inventory: DataFrame) -> DataFrame:
     quiet = F.coalesce(
         (F.col("amenity_type") == "QUIET_POD") & (F.col("amenity_status") == "AVAILABLE"), F.lit(False)
     )
-    order = F.struct("arrival_time", "lookup_id", "alternate_flight", "amenity_id")
+    order = F.struct("arrival_time", "lookup_id", "alternate_flight", "amenity_id", "departure_time")
     return (
         inventory.filter(F.col("seats_available") > 0)
         .groupBy(
@@ -216,6 +219,9 @@ def constraint_choice(messages: DataFrame, inventory: DataFrame) -> DataFrame:
         F.col("flight.alternate_flight").alias("chosen_flight"),
         F.col("flight.lookup_id").alias("lookup_id"),
         F.col("flight.arrival_time").alias("arrival_time"),
+        arrival_hour_needed(
+            F.col("flight.departure_time"), F.col("flight.arrival_time")
+        ).alias("landing_hour"),
         F.when(F.col("wants_quiet"), F.col("flight.amenity_id")).alias("amenity_id"),
     )
 
@@ -224,22 +230,22 @@ def rules_contrast(
     events: DataFrame, profiles: DataFrame, messages: DataFrame, inventory: DataFrame
 ) -> DataFrame:
     """Rule and constraint-aware choice per PNR, and which of them meets the stated limit."""
-    rule = rules_baseline(events, profiles, inventory).select(
-        "pnr",
-        F.col("flight_chosen").alias("rule_flight"),
-        F.col("arrival_time").alias("rule_arrival"),
-        "voucher_usd",
-    )
-    # A PNR may hold several passengers; the rule picks the same flight for each.
-    rule = rule.groupBy("pnr").agg(
-        *[F.any_value(c).alias(c) for c in ("rule_flight", "rule_arrival", "voucher_usd")]
+    # A PNR may hold several passengers; the rule picks the same flight for each of them.
+    rule = (
+        rules_baseline(events, profiles, inventory)
+        .groupBy("pnr")
+        .agg(
+            F.max("flight_chosen").alias("rule_flight"),
+            F.max("arrival_time").alias("rule_arrival"),
+            F.max("landing_hour").alias("rule_hour"),
+            F.max("voucher_usd").alias("voucher_usd"),
+        )
     )
     chosen = constraint_choice(messages, inventory)
     limit = F.col("limit_hour")
 
-    def meets(arrival: Column) -> Column:
-        hours = F.hour(arrival) + ((F.minute(arrival) > 0) | (F.second(arrival) > 0)).cast("int")
-        return limit.isNull() | (hours <= limit)
+    def meets(hour: str) -> Column:
+        return limit.isNull() | (F.col(hour) <= limit)
 
     return attach(chosen, rule, "pnr", "inner").select(
         "pnr",
@@ -250,8 +256,8 @@ def rules_contrast(
         "voucher_usd",
         "chosen_flight",
         F.col("arrival_time").alias("chosen_arrival"),
-        meets(F.col("rule_arrival")).alias("rule_meets_limit"),
-        meets(F.col("arrival_time")).alias("choice_meets_limit"),
+        meets("rule_hour").alias("rule_meets_limit"),
+        meets("landing_hour").alias("choice_meets_limit"),
     )
 
 
@@ -306,11 +312,10 @@ def next_step(profiles: DataFrame, audit: DataFrame, messages: DataFrame) -> Dat
     Open staging: continue that case.  Otherwise earlier messages: hold the flights again and
     continue.  Otherwise: stage first.
     """
-    latest = au.latest_staging(audit).select("customer_id", "case_id")
-    still_open = au.open_staging(audit).select("customer_id", F.lit(True).alias("is_open"))
+    staging = au.staging_state(audit).select("customer_id", "case_id", "is_open")
     history = messages.groupBy("customer_id").agg(F.count(F.lit(1)).alias("messages"))
-    known = attach(profiles.select("customer_id"), latest, "customer_id")
-    known = attach(attach(known, still_open, "customer_id"), history, "customer_id")
+    known = attach(profiles.select("customer_id"), staging, "customer_id")
+    known = attach(known, history, "customer_id")
     count = F.coalesce("messages", F.lit(0))
     step = (
         F.when(F.coalesce("is_open", F.lit(False)), "CONTINUE_STAGED_CASE")

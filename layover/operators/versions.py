@@ -46,7 +46,7 @@ def replace_rows(
 
 
 def snapshot_log(versions: DataFrame, commits: DataFrame) -> DataFrame:
-    """Per snapshot: commit time, operation, rows added and removed, rows live after it.
+    """Per snapshot: commit time, operation, rows added and removed.
 
     One scan of the table; each row counts at most once as added and once as removed, and the
     counts are folded before the shuffle.
@@ -68,23 +68,20 @@ def snapshot_log(versions: DataFrame, commits: DataFrame) -> DataFrame:
     operation = (
         F.when((added > 0) & (removed > 0), "overwrite").when(removed > 0, "delete").otherwise("append")
     )
-    # One row per snapshot from here on: the log is as long as the number of commits.
-    so_far = W.orderBy("snapshot_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        commits.join(changes, "snapshot_id", "left")
-        .select(
-            "snapshot_id",
-            "committed_at",
-            operation.alias("operation"),
-            added.alias("added_rows"),
-            removed.alias("removed_rows"),
-        )
-        .withColumn("live_rows", F.sum(F.col("added_rows") - F.col("removed_rows")).over(so_far))
+    return commits.join(changes, "snapshot_id", "left").select(
+        "snapshot_id",
+        "committed_at",
+        operation.alias("operation"),
+        added.alias("added_rows"),
+        removed.alias("removed_rows"),
     )
 
 
 def snapshot_history(commits: DataFrame) -> DataFrame:
-    """When each snapshot became current, and the one before it."""
+    """When each snapshot became current, and the one before it.
+
+    Works on the commit log, one row per commit, never on the table's rows.
+    """
     order = W.orderBy("committed_at", "snapshot_id")
     return commits.select(
         F.col("committed_at").alias("made_current_at"),
