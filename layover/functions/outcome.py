@@ -29,7 +29,7 @@ def present(c: Column | str) -> Column:
 
 def stripped(c: Column | str) -> Column:
     """The value without leading and trailing white space of any kind."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(" \t\n\r\x0b\x0c"))
 
 
 def named(c: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ BARE_OBJECT = r"(?s)(\{[^{}]*\"chosen_flight\"[^{}]*\})"
 DECISION_SCHEMA = "struct<" + ",".join(f"{f}:string" for f in wording.DECISION_FIELDS) + ">"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed a single time, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 # --- phrases and flights -------------------------------------------------------------------
 
 
@@ -89,9 +96,14 @@ def profile_fields(text: Column) -> Column:
             ),
         )
     )
-    keys = F.transform(pairs, lambda p: p["key"])
-    newest = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.map_from_entries(newest)
+
+    def newest(found: Column) -> Column:
+        return once(
+            F.transform(found, lambda p: p["key"]),
+            lambda keys: F.filter(found, lambda p, i: F.array_position(keys, p["key"]) == i + 1),
+        )
+
+    return F.map_from_entries(once(pairs, newest))
 
 
 def grouped_number(text: Column) -> Column:
@@ -99,57 +111,59 @@ def grouped_number(text: Column) -> Column:
     return F.regexp_replace(F.format_number(text.try_cast("double"), 3), r"\.?0+$", "")
 
 
-def profile_highlights(fields: Column) -> Column:
-    """Array of (label, value) for the five fields shown, blanks left out."""
+def highlight_label(field: Column) -> Column:
+    """Label a profile field is shown under, NULL for fields that are not shown."""
+    labels = [x for label, name in wording.PROFILE_HIGHLIGHTS for x in (F.lit(name), F.lit(label))]
+    return F.try_element_at(F.create_map(*labels), field)
 
-    def shown(label: str, field: str) -> Column:
-        value = present(F.try_element_at(fields, F.lit(field)))
-        if label == "Spend":
-            value = F.when(
-                value.isNotNull(),
-                F.concat(F.lit("$"), F.coalesce(grouped_number(value), F.lit("NaN"))),
-            )
-        return F.struct(F.lit(label).alias("label"), value.alias("value"))
 
-    rows = F.array(*[shown(label, field) for label, field in wording.PROFILE_HIGHLIGHTS])
-    return F.filter(rows, lambda r: r["value"].isNotNull())
+def highlight_value(label: Column, value: Column) -> Column:
+    """Value as shown: spend as a dollar amount, everything else as it is."""
+    dollars = F.concat(F.lit("$"), F.coalesce(grouped_number(value), F.lit("NaN")))
+    return F.when(label == "Spend", dollars).otherwise(value)
 
 
 # --- JSON ----------------------------------------------------------------------------------
 
 
-def json_document(text: Column) -> Column:
-    """Parsed document, or NULL unless the whole text is exactly one JSON value.
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
-    Wrapping in brackets makes text after the value an error instead of being ignored.
+
+def json_fields(text: Column, *fields: str) -> Column:
+    """Struct of the named fields as text, or NULL unless the text is exactly one JSON object.
+
+    The text is parsed once, as a one-element list: text after the value is then an error
+    instead of being ignored.  Lists and objects come back as JSON text.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    second = F.try_variant_get(wrapped, "$[1]", "variant")
-    return F.when(second.isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+    schema = "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>"
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), schema, STRICT_JSON)
+    return F.when(F.size(parsed) == 1, parsed[0])
 
 
 def audit_summary(reasoning: Column) -> Column:
     """One-line summary of a reasoning document; other text is shown as it is, NULL as ''."""
-    document = json_document(reasoning)
-
-    def part(label: str, path: str) -> Column:
-        value = present(F.try_variant_get(document, path, "string"))
-        return F.when(value.isNotNull(), F.concat(F.lit(label), value))
-
-    held = F.try_variant_get(document, "$.held_flights", "array<string>")
-    raw_held = present(F.try_variant_get(document, "$.held_flights", "string"))
-    summary = F.concat_ws(
-        " · ",
-        part("Segment: ", "$.archetype"),
-        F.when(held.isNotNull(), F.concat(F.lit("Held: "), F.array_join(held, ", ", ""))),
-        part("Chosen: ", "$.chosen_flight"),
-        part("Handoff: ", "$.handoff"),
-    )
     plain = F.coalesce(reasoning, F.lit(""))
-    held_is_not_a_list = held.isNull() & raw_held.isNotNull()
-    return F.when(
-        document.isNull() | held_is_not_a_list | (summary == ""), plain
-    ).otherwise(summary)
+
+    def summary(document: Column) -> Column:
+        def part(label: str, field: str) -> Column:
+            value = present(document[field])
+            return F.when(value.isNotNull(), F.concat(F.lit(label), value))
+
+        held_text = present(document["held_flights"])
+        held = F.from_json(held_text, "array<string>")
+        shown = F.concat_ws(
+            " · ",
+            part("Segment: ", "archetype"),
+            F.when(held_text.isNotNull(), F.concat(F.lit("Held: "), F.array_join(held, ", ", ""))),
+            part("Chosen: ", "chosen_flight"),
+            part("Handoff: ", "handoff"),
+        )
+        held_is_no_list = F.coalesce(~held_text.startswith("["), F.lit(False))
+        return F.when(
+            document.isNull() | held_is_no_list | (shown == ""), plain
+        ).otherwise(shown)
+
+    return once(json_fields(reasoning, "archetype", "held_flights", "chosen_flight", "handoff"), summary)
 
 
 def as_json(**fields: Column) -> Column:

@@ -67,12 +67,14 @@ def constraint_timeline(
         limit_marker(said).alias("limit"),
         quiet_marker(said).alias("quiet"),
     )
+    placed = F.col(conversation).isNotNull() & F.col(turn).isNotNull()
     inside = (
         W.partitionBy(conversation, "chunk")
         .orderBy(turn)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    running = marked.select(
+    # Used twice below; as both uses ask for the same rows, the shuffle is shared.
+    running = marked.filter(placed).select(
         conversation,
         turn,
         "chunk",
@@ -90,11 +92,16 @@ def constraint_timeline(
         F.last("limit", ignorenulls=True).over(earlier).alias("limit_before"),
         F.last("quiet", ignorenulls=True).over(earlier).alias("quiet_before"),
     ).filter("limit_before IS NOT NULL OR quiet_before IS NOT NULL")
-    return attach(running, carried, [conversation, "chunk"]).select(
+    known = attach(running, carried, [conversation, "chunk"]).select(
         conversation,
         turn,
         *_state(F.coalesce("limit", "limit_before"), F.coalesce("quiet", "quiet_before")),
     )
+    # A message outside any conversation or order has only itself to go by.
+    loose = marked.filter(~placed).select(
+        conversation, turn, *_state(F.col("limit"), F.col("quiet"))
+    )
+    return known.unionByName(loose)
 
 
 def intent(messages: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:

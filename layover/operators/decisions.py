@@ -17,7 +17,7 @@ from layover.functions.clock import arrival_hour_needed
 from layover.functions.outcome import present
 from layover.operators import audit as au
 from layover.operators import chat
-from layover.operators.keys import attach
+from layover.operators.keys import attach, rows_for
 
 # Archetypes and actions the guardrails name.
 CHOICE_ORIENTED = "CHOICE_ORIENTED"
@@ -28,6 +28,8 @@ NO_ACTION = "NO_ACTION_MONITOR"
 HIGH_TIERS = ("PLATINUM", "GOLD")
 VOUCHER_USD = 50
 
+NO_HOUR = -1
+
 
 # --- uplift guardrails and the best action -------------------------------------------------
 
@@ -197,20 +199,28 @@ def constraint_choice(messages: DataFrame, inventory: DataFrame) -> DataFrame:
     such flight wins, one with a free quiet pod first when a quiet place was asked for.  Who
     dropped the limit for a later flight gets the latest, lounge first.
     """
-    wishes = chat.intent(messages, "pnr", "customer_id")
-    options = attach(flight_classes(inventory), wishes, "pnr", "inner")
-    feasible = F.col("limit_hour").isNull() | (F.col("hour_needed") <= F.col("limit_hour"))
+    wishes = chat.intent(messages, "pnr", "customer_id").withColumn(
+        "limit_key", F.coalesce("limit_hour", F.lit(NO_HOUR))
+    )
+    kind = ["pnr", "limit_key", "prefers_later", "wants_quiet"]
+    # Decide once per PNR and kind of wish (at most a hundred kinds), then hand the answer to
+    # every passenger with that wish; passengers of a PNR are never paired with its flights.
+    # Only flights of PNRs somebody chats about are folded at all.
+    wanted = rows_for(inventory, "pnr", wishes)
+    options = flight_classes(wanted).join(wishes.select(*kind).distinct(), "pnr")
+    feasible = (F.col("limit_key") == NO_HOUR) | (F.col("hour_needed") <= F.col("limit_key"))
     lacks_quiet = F.col("wants_quiet") & ~F.col("has_quiet")
     best = (
         options.filter(feasible)
-        .groupBy("pnr", "customer_id", "limit_hour", "prefers_later", "wants_quiet")
+        .groupBy(*kind)
         .agg(
             F.min(F.struct(lacks_quiet.alias("miss"), F.col("earliest"))).alias("first"),
             F.max(F.struct(F.col("has_lounge"), F.col("latest"))).alias("last"),
         )
     )
     flight = F.when(F.col("prefers_later"), F.col("last.latest")).otherwise(F.col("first.earliest"))
-    return best.withColumn("flight", flight).select(
+    answer = best.select(*kind, flight.alias("flight"))
+    return attach(wishes, answer, kind, "inner").select(
         "pnr",
         "customer_id",
         "limit_hour",

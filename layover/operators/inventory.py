@@ -73,8 +73,9 @@ def confirm(inventory: DataFrame, choices: DataFrame) -> DataFrame:
 
 def release(inventory: DataFrame, choices: DataFrame) -> DataFrame:
     """Release the listed flights of each PNR; the inventory state is kept."""
-    joined = attach(inventory, choices.select("pnr", "release_flights"), "pnr")
-    listed = F.array_contains(flight_list(F.col("release_flights")), F.col("alternate_flight"))
+    lists = choices.select("pnr", flight_list(F.col("release_flights")).alias("__listed"))
+    joined = attach(inventory, lists, "pnr")
+    listed = F.array_contains("__listed", F.col("alternate_flight"))
     return update_where(joined, listed, _set(RELEASED)).select(*inventory.columns)
 
 

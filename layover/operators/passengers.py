@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layover.functions import outcome
+from layover.functions import text as tx
 from layover.functions.exact import exact_avg
 from layover.operators.keys import attach, newest_rank
 
@@ -220,3 +221,17 @@ def top_propensity(profiles: DataFrame, n: int = 10) -> DataFrame:
         .orderBy(F.col("base_retention_propensity").desc_nulls_last(), "customer_id")
         .limit(n)
     )
+
+
+def profile_field_rows(profiles: DataFrame, text: str, key: str = "customer_id") -> DataFrame:
+    """Fields of a profile text as rows: (key, field, value)."""
+    return profiles.select(key, F.explode(tx.profile_fields(F.col(text))).alias("field", "value"))
+
+
+def profile_highlights(profiles: DataFrame, text: str, key: str = "customer_id") -> DataFrame:
+    """The fields shown on a card as rows: (key, label, value), blanks left out."""
+    rows = profile_field_rows(profiles, text, key)
+    labelled = rows.withColumn("label", tx.highlight_label(F.col("field")))
+    return labelled.filter("label IS NOT NULL AND value <> ''").select(
+        key, "label", tx.highlight_value(F.col("label"), F.col("value")).alias("value")
+    )

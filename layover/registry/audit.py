@@ -164,7 +164,7 @@ query("latest_staging", "SELECT * FROM d_latest_staging")(lambda t: au.latest_st
 
 query(
     "prior_concierge_audit",
-    f"""SELECT {AUDIT}, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY customer_id {NEWEST}) AS rn
+    f"""SELECT {AUDIT}, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY customer_id {NEWEST}) AS rn
  FROM d_flags WHERE pull) WHERE rn <= 5""",
 )(lambda t: au.prior_concierge(t.exec))
 

@@ -81,8 +81,8 @@ query(
 
 # --- flights -------------------------------------------------------------------------------
 
-HOURS = """date_diff('day', CAST(departure_time AS DATE), CAST(arrival_time AS DATE)) * 24 + hour(arrival_time)
- + CASE WHEN date_trunc('hour', arrival_time) < arrival_time THEN 1 ELSE 0 END"""
+HOURS = """CAST(date_diff('day', CAST(departure_time AS DATE), CAST(arrival_time AS DATE)) * 24 + hour(arrival_time)
+ + CASE WHEN date_trunc('hour', arrival_time) < arrival_time THEN 1 ELSE 0 END AS INTEGER)"""
 part(
     "d_rules",
     f"""SELECT e.customer_id, e.pnr, p.loyalty_tier, i.alternate_flight AS flight_chosen, i.arrival_time, i.landing_hour, 50 AS voucher_usd

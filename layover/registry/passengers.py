@@ -9,7 +9,7 @@ from layover.sources import seeds
 
 part(
     "d_shelf",
-    f"""SELECT * FROM ({seeds.values_sql('action_gesture_shelf')})
+    f"""SELECT * REPLACE (CAST(cost_usd AS DOUBLE) AS cost_usd) FROM ({seeds.values_sql('action_gesture_shelf')})
  AS s(action_id, action_code, action_description, cost_usd, requires_human, policy_notes)""",
 )
 MEAN = "CAST(sum(CAST({x} AS DECIMAL(18,{s}))) AS DOUBLE) / count({x})"

@@ -6,6 +6,7 @@ from layover.functions import text as tx
 from layover.functions import wording
 from layover.functions.clock import parse_moment
 from layover.operators import chat, decisions
+from layover.operators import passengers as px
 from layover.registry import part, query
 
 
@@ -48,7 +49,7 @@ FROM (SELECT *, CASE WHEN json_valid(reasoning) THEN reasoning END ->> '$.chosen
     lambda t: t.exec.select(
         "exec_id",
         tx.offered_flight(
-            F.try_variant_get(tx.json_document(F.col("reasoning")), "$.chosen_flight", "string")
+            tx.json_fields(F.col("reasoning"), "chosen_flight")["chosen_flight"]
         ).alias("offered"),
         tx.first_flight_code(F.col("reasoning")).alias("first_code"),
     )
@@ -56,7 +57,7 @@ FROM (SELECT *, CASE WHEN json_valid(reasoning) THEN reasoning END ->> '$.chosen
 
 query(
     "split_flights",
-    """SELECT lookup_id, array_to_string(flights, '|') AS flights, len(flights) AS n FROM (SELECT lookup_id,
+    """SELECT lookup_id, array_to_string(flights, '|') AS flights, CAST(len(flights) AS INTEGER) AS n FROM (SELECT lookup_id,
  list_filter(list_transform(string_split(' ' || alternate_flight || ', ' || coalesce(amenity_id, '') || ' ,EK380,,', ','),
   lambda x: trim(x)), lambda x: x <> '') AS flights FROM v_inventory)""",
 )(
@@ -107,9 +108,7 @@ FROM (SELECT customer_id, unnest(string_split(profile, chr(10))) AS line,
 WHERE regexp_matches(line, '^\s*[-•*]?\s*([^:]+):\s*(.+)$') GROUP BY 1, 2""",
 )
 query("profile_fields", "SELECT * FROM d_fields")(
-    lambda t: t.profile_text.select(
-        "customer_id", F.explode(tx.profile_fields(F.col("profile"))).alias("field", "value")
-    )
+    lambda t: px.profile_field_rows(t.profile_text, "profile")
 )
 query(
     "profile_highlights",
@@ -118,12 +117,7 @@ query(
 FROM d_fields JOIN (VALUES ('Name', 'Full Name'), ('Tier', 'Loyalty Tier'), ('Spend', 'Lifetime Spend (USD)'),
  ('Propensity', 'Base Retention Propensity'), ('Last outcome', 'Last Disruption Outcome')) h(label, field) USING (field)
 WHERE value <> ''""",
-)(
-    lambda t: t.profile_text.select(
-        "customer_id",
-        F.explode(tx.profile_highlights(tx.profile_fields(F.col("profile")))).alias("h"),
-    ).select("customer_id", "h.*")
-)
+)(lambda t: px.profile_highlights(t.profile_text, "profile"))
 
 # --- chat ----------------------------------------------------------------------------------
 
@@ -245,7 +239,7 @@ query("finalize_decision", f"SELECT signal_id, guardrail_applied, {', '.join(_F)
 
 query(
     "decision_trace",
-    """SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY k) AS step, phase, detail, source FROM (
+    """SELECT signal_id, CAST(row_number() OVER (PARTITION BY signal_id ORDER BY k) AS INTEGER) AS step, phase, detail, source FROM (
  SELECT signal_id, 1 AS k, 'PASSENGER CHAT' AS phase, message_text AS detail, 'Passenger' AS source FROM d_final
  UNION ALL SELECT signal_id, 2, 'CONVERSATION HISTORY', CASE WHEN turn > 0 THEN turn || ' prior turn(s)' END, 'Dashboard' FROM d_final
  UNION ALL SELECT signal_id, 3, 'DECISION GUARDRAIL', CASE WHEN guardrail_applied THEN 'Decision aligned to the passenger''s words.' END, 'SYSTEM' FROM d_final

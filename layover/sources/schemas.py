@@ -43,9 +43,24 @@ TABLE_DDL = {
     "newtesttable": "id bigint, data string",
 }
 
-SCHEMAS: dict[str, T.StructType] = {
-    name: T.StructType.fromDDL(ddl) for name, ddl in TABLE_DDL.items()
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp_ntz": T.TimestampNTZType(),
 }
 
+
+def _schema(ddl: str) -> T.StructType:
+    """StructType of a column list; needs no session, so modules can be imported before one."""
+    return T.StructType(
+        [T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in ddl.split(","))]
+    )
+
+
+SCHEMAS: dict[str, T.StructType] = {name: _schema(ddl) for name, ddl in TABLE_DDL.items()}
+
 AUDIT_COLUMNS = SCHEMAS["irop_execution_results"].names
 CHAT_COLUMNS = SCHEMAS["unstructured_chat_signals"].names
