@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from layover.functions import clock, outcome, wording
 from layover.functions.exact import rate
-from layover.operators.keys import newest_first
+from layover.operators.keys import match, newest_first
 from layover.sources.schemas import AUDIT_COLUMNS
 
 NEWEST = ("executed_at", "exec_id")
@@ -224,13 +224,13 @@ def open_staging(audit: DataFrame) -> DataFrame:
 
     A staged row without a case can never be closed, so it stays open.
     """
-    return latest_staging(audit).join(closed_cases(audit), "case_id", "left_anti")
+    return match(latest_staging(audit), closed_cases(audit), "case_id", "left_anti")
 
 
 def staging_state(audit: DataFrame) -> DataFrame:
     """Newest staged row of each customer with a flag telling whether its case is open."""
     closed = closed_cases(audit).withColumn("__closed", F.lit(True))
-    marked = latest_staging(audit).join(closed, "case_id", "left")
+    marked = match(latest_staging(audit), closed, "case_id", "left")
     return marked.withColumn("is_open", F.col("__closed").isNull()).drop("__closed")
 
 

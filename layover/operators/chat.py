@@ -92,7 +92,7 @@ def constraint_timeline(
         F.last("limit", ignorenulls=True).over(earlier).alias("limit_before"),
         F.last("quiet", ignorenulls=True).over(earlier).alias("quiet_before"),
     ).filter("limit_before IS NOT NULL OR quiet_before IS NOT NULL")
-    known = attach(running, carried, [conversation, "chunk"]).select(
+    known = running.join(carried, [conversation, "chunk"], "left").select(
         conversation,
         turn,
         *_state(F.coalesce("limit", "limit_before"), F.coalesce("quiet", "quiet_before")),

@@ -324,8 +324,9 @@ def next_step(profiles: DataFrame, audit: DataFrame, messages: DataFrame) -> Dat
     """
     staging = au.staging_state(audit).select("customer_id", "case_id", "is_open")
     history = messages.groupBy("customer_id").agg(F.count(F.lit(1)).alias("messages"))
-    known = attach(profiles.select("customer_id"), staging, "customer_id")
-    known = attach(known, history, "customer_id")
+    # Three tables of one row per customer: plain joins, each moved once.
+    known = profiles.select("customer_id").join(staging, "customer_id", "left")
+    known = known.join(history, "customer_id", "left")
     count = F.coalesce("messages", F.lit(0))
     step = (
         F.when(F.coalesce("is_open", F.lit(False)), "CONTINUE_STAGED_CASE")

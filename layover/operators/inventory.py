@@ -80,17 +80,23 @@ def release(inventory: DataFrame, choices: DataFrame) -> DataFrame:
 
 
 def confirm_and_release(
-    inventory: DataFrame, choices: DataFrame, salts: int | None = None
+    inventory: DataFrame, choices: DataFrame, salts: int | None = None, bucketed: bool = False
 ) -> DataFrame:
     """Confirm the chosen flight and release others, in one pass.
 
     Flights to release are the listed ones, or every other flight when none is listed.  Release
     comes after confirmation: a flight in both ends released, with inventory confirmed.
+
+    ``bucketed`` says that both tables are stored in buckets of the PNR: they then meet without
+    a shuffle, at the price that a hot PNR stays in its bucket.
     """
     lists = choices.columns
     listed = F.col("release_flights") if "release_flights" in lists else F.lit(None).cast("string")
     lookup = choices.select("pnr", "chosen_flight", flight_list(listed).alias("__listed"))
-    joined = attach(inventory, lookup, "pnr", salts=salts)
+    if bucketed:
+        joined = inventory.join(lookup, "pnr", "left")
+    else:
+        joined = attach(inventory, lookup, "pnr", salts=salts)
     flight = F.col("alternate_flight")
     chosen = is_true(flight == F.col("chosen_flight"))
     freed = is_true(

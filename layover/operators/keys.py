@@ -3,8 +3,12 @@
 Fact tables may hold a third of their rows under one key.  The rules followed here:
 
 * a lookup side is reduced to one row per key first, so a join never multiplies rows;
-* facts stay on the left of ``left``, ``left_semi`` and ``left_anti`` joins, the shapes in which
-  adaptive execution can split a hot key over many tasks;
+* facts stay on the left of ``left``, ``inner``, ``left_semi`` and ``left_anti`` joins, the shapes
+  in which adaptive execution can split a hot key over many tasks;
+* both sides join on the key *and its hash*.  Adaptive execution splits a join only when each side
+  comes straight out of a shuffle.  A lookup that was just grouped by the key would be joined where
+  it is, and its hot facts could not be split; asking for the hash as well makes the planner shuffle
+  the (folded, small) lookup once more;
 * no broadcast hints: the planner broadcasts a side only when its measured size is small.
 """
 
@@ -14,20 +18,27 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+HASH = "__key_hash"
 SALT = "__salt"
 
+# Types whose equal values always hash alike.  Other key types join on the key alone.
+HASHABLE = (T.StringType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.BooleanType, T.DateType)
 
-def rows_for(facts: DataFrame, key: str, wanted: str | Iterable[str] | DataFrame) -> DataFrame:
-    """Rows whose key is wanted: one value, a short list, or a column of another table.
 
-    Values become a pushed-down filter; a table becomes a semi join on its distinct keys.
-    """
-    if isinstance(wanted, DataFrame):
-        return facts.join(wanted.select(key).distinct(), key, "left_semi")
-    if isinstance(wanted, str):
-        return facts.filter(F.col(key) == F.lit(wanted))
-    return facts.filter(F.col(key).isin(list(wanted)))
+def _can_hash(facts: DataFrame, lookup: DataFrame, keys: list[str]) -> bool:
+    kinds = [(facts.schema[k].dataType, lookup.schema[k].dataType) for k in keys]
+    return all(left == right and isinstance(left, HASHABLE) for left, right in kinds)
+
+
+def match(facts: DataFrame, lookup: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Join in which a hot key of the facts can be split, even against a lookup just grouped."""
+    keys = [on] if isinstance(on, str) else list(on)
+    if not _can_hash(facts, lookup, keys):
+        return facts.join(lookup, keys, how)
+    hashed = [df.withColumn(HASH, F.xxhash64(*keys)) for df in (facts, lookup)]
+    return hashed[0].join(hashed[1], [*keys, HASH], how).drop(HASH)
 
 
 def attach(
@@ -37,19 +48,31 @@ def attach(
     how: str = "left",
     salts: int | None = None,
 ) -> DataFrame:
-    """Join facts to a lookup holding one row per key.
+    """Join facts to a lookup holding one row per key; hot keys are split by adaptive execution.
 
-    Hot keys are split by adaptive execution.  ``salts`` spreads them without it: facts take the
-    number of the partition they sit in, and the lookup is repeated once per salt.
+    ``salts`` spreads all keys without its help: facts take the number of the partition they sit
+    in, and the lookup is repeated once per salt.
     """
-    keys = [on] if isinstance(on, str) else list(on)
     if not salts or salts < 2:
-        return facts.join(lookup, keys, how)
+        return match(facts, lookup, on, how)
+    keys = [on] if isinstance(on, str) else list(on)
     spread = facts.withColumn(SALT, F.pmod(F.spark_partition_id(), F.lit(salts)))
-    copies = lookup.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = lookup.withColumn(SALT, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return spread.join(copies, [*keys, SALT], how).drop(SALT)
 
 
+def rows_for(facts: DataFrame, key: str, wanted: str | Iterable[str] | DataFrame) -> DataFrame:
+    """Rows whose key is wanted: one value, a short list, or a column of another table.
+
+    Values become a pushed-down filter; a table becomes a semi join on its distinct keys.
+    """
+    if isinstance(wanted, DataFrame):
+        return match(facts, wanted.select(key).distinct(), key, "left_semi")
+    if isinstance(wanted, str):
+        return facts.filter(F.col(key) == F.lit(wanted))
+    return facts.filter(F.col(key).isin(list(wanted)))
+
+
 def one_row_per_key(source: DataFrame, on: str | list[str], what: str = "source") -> DataFrame:
     """The source itself, failing at run time when a key has two rows."""
     keys = [on] if isinstance(on, str) else list(on)

@@ -79,14 +79,22 @@ def one_per_key(table: DataFrame, on: str) -> DataFrame:
     return table.groupBy(on).agg(least.alias("__row")).select(on, "__row.*").select(*table.columns)
 
 
+def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows of both with a flag per side, NULLs equal; folded before the one shuffle."""
+    both = left.withColumns({"__l": F.lit(True), "__r": F.lit(False)}).unionByName(
+        right.withColumns({"__l": F.lit(False), "__r": F.lit(True)})
+    )
+    return both.groupBy(*left.columns).agg(F.max("__l").alias("__l"), F.max("__r").alias("__r"))
+
+
 def common_values(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Set intersection; both sides are reduced to distinct rows before they meet."""
-    return left.distinct().intersect(right.distinct())
+    """Set intersection.  Spark's own would send a value's repeats to one task."""
+    return _sides(left, right).filter("__l AND __r").drop("__l", "__r")
 
 
 def missing_values(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Set difference; both sides are reduced to distinct rows before they meet."""
-    return left.distinct().subtract(right.distinct())
+    """Set difference: distinct rows of the left that the right does not have."""
+    return _sides(left, right).filter("__l AND NOT __r").drop("__l", "__r")
 
 
 def sample_by_key(table: DataFrame, key: str, fraction: float, seed: int = 3) -> DataFrame:

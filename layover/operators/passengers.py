@@ -44,7 +44,7 @@ def in_target_order(passengers: DataFrame, targets: list[str] | DataFrame) -> Da
         lookup = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])
         listed = passengers.filter(F.col("customer_id").isin(list(places)))
         ranked = listed.withColumn("rank", F.try_element_at(lookup, F.col("customer_id")))
-    return ranked.orderBy("rank", "customer_id", "pnr")
+    return ranked.orderBy("rank", "customer_id", "pnr", "event_id")
 
 
 def disruption_board(events: DataFrame) -> DataFrame:
@@ -86,8 +86,9 @@ def signal_summary(signals: DataFrame, key: str = "customer_id") -> DataFrame:
 
 def passenger_context(events: DataFrame, signals: DataFrame, profiles: DataFrame) -> DataFrame:
     """Every event with its customer's signal summary and profile."""
-    known = attach(events, signal_summary(signals), "customer_id")
-    known = attach(known, profiles, "customer_id")
+    # Both lookups hold one row per customer, so they meet first and the events move once.
+    customer = signal_summary(signals).join(profiles, "customer_id", "full")
+    known = attach(events, customer, "customer_id")
     return known.withColumn("signals", F.coalesce("signals", F.lit(0)))
 
 
@@ -133,7 +134,7 @@ def first_archetype(uplift: DataFrame) -> DataFrame:
 def segment_cards(profiles: DataFrame, uplift: DataFrame) -> DataFrame:
     """Profile with its segment; UNKNOWN where there is no experiment."""
     segment = F.coalesce("archetype", F.lit(outcome.UNKNOWN))
-    return attach(profiles, first_archetype(uplift), "customer_id").select(
+    return profiles.join(first_archetype(uplift), "customer_id", "left").select(
         "customer_id",
         segment.alias("segment"),
         outcome.segment_class(segment).alias("segment_class"),
@@ -192,7 +193,7 @@ def propensity_vs_uplift(
         .agg(F.max("mean_uplift").alias("best_uplift"))
     )
     propensity = F.col("base_retention_propensity")
-    return attach(profiles, best, "customer_id").select(
+    return profiles.join(best, "customer_id", "left").select(
         "customer_id",
         "loyalty_tier",
         propensity,

@@ -63,6 +63,17 @@ def write_new(df: DataFrame, path: str, partition_by: list[str] | None = None) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Catalog table stored in buckets of a key: joins and counts on the key need no shuffle.
+
+    Use the same number of buckets for tables that meet often, such as inventory and choices.
+    """
+    # One shuffle up front, so a bucket is one file instead of one per writing task.
+    spread = df.repartition(buckets, key)
+    spread.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Append rows to a path."""
     writer = df.write.mode("append")

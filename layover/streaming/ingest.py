@@ -13,6 +13,15 @@ EVENT_TIME = "__event_time"
 SALT = "__salt"
 
 
+def keep_state_on_disk(spark: SparkSession) -> SparkSession:
+    """Hold streaming state in RocksDB instead of executor memory; set before a query first starts."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    return spark
+
+
 def read_files(
     spark: SparkSession,
     folder: str,
