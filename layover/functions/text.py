@@ -137,7 +137,7 @@ def json_fields(text: Column, *fields: str) -> Column:
     """
     schema = "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>"
     parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), schema, STRICT_JSON)
-    return F.when(F.size(parsed) == 1, parsed[0])
+    return once(parsed, lambda found: F.when(F.size(found) == 1, found[0]))
 
 
 def audit_summary(reasoning: Column) -> Column:
