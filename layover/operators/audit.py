@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,19 +12,34 @@ from layover.operators.keys import match, newest_first
 from layover.sources.schemas import AUDIT_COLUMNS
 
 NEWEST = ("executed_at", "exec_id")
+DAY = "executed_day"
 
 
 # --- searches ------------------------------------------------------------------------------
 
 
+def with_day(audit: DataFrame) -> DataFrame:
+    """Adds the day a stored log is partitioned by; rows without a time have no day."""
+    return audit.withColumn(DAY, F.to_date("executed_at"))
+
+
+def _from(audit: DataFrame, condition: Column, start: Column) -> DataFrame:
+    """Rows meeting a time condition; a log stored by day skips the folders before its start."""
+    if DAY in audit.columns:
+        audit = audit.filter(F.col(DAY).isNull() | start.isNull() | (F.col(DAY) >= F.to_date(start)))
+    return audit.filter(condition)
+
+
 def within(audit: DataFrame, window: str = "1d", as_of=None) -> DataFrame:
     """Rows of a trailing window (1h, 4h, 1d, 1w); rows without a time are kept."""
-    return audit.filter(clock.in_window(F.col("executed_at"), window, as_of))
+    condition = clock.in_window(F.col("executed_at"), window, as_of)
+    return _from(audit, condition, clock.window_start(window, as_of))
 
 
 def since(audit: DataFrame, text: str | None) -> DataFrame:
     """Rows at or after a time given as text; rows without a time are kept."""
-    return audit.filter(clock.since(F.col("executed_at"), text))
+    condition = clock.since(F.col("executed_at"), text)
+    return _from(audit, condition, clock.parse_moment(F.lit(text))) if text else audit
 
 
 def of_scenario(audit: DataFrame, scenario: str | None) -> DataFrame:

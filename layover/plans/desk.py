@@ -1,7 +1,8 @@
 """The operations desk: the tables bound once, each question and each action one call.
 
 Questions return DataFrames.  Actions return the next state of the table they change, or the rows
-to append; ``layover.sources.tables`` writes them.
+to append; ``layover.sources.tables`` writes them.  A log stored with ``audit.with_day`` and
+partitioned by that day makes window questions read only the days they need.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layover.functions import clock
+from layover.functions.outcome import STAGED
 from layover.operators import audit as au
 from layover.operators import decisions, inventory, passengers
 from layover.operators.keys import newest_first, rows_for
 from layover.sources.schemas import CHAT_COLUMNS
+from layover.sources.tables import settle
 
 Keys = str | Iterable[str] | DataFrame
 
@@ -120,17 +123,26 @@ class Desk:
     # --- whole jobs
 
     def push(self, event_prefix: str = passengers.ALL_AFFECTED, as_of=None) -> tuple[DataFrame, DataFrame]:
-        """Decide for every affected passenger: (audit rows to append, inventory after holds)."""
-        routed = decisions.push_routing(self.affected(event_prefix), self.uplift, self.shelf)
-        asked = routed.filter(F.col("status") == "STAGED_FOR_CONCIERGE")
+        """Decide for every affected passenger: (audit rows to append, inventory after holds).
+
+        The decisions are written to the shared folder first: both results start from them.
+        """
+        decided = decisions.push_routing(self.affected(event_prefix), self.uplift, self.shelf)
+        routed = settle(decided, "push")
+        asked = routed.filter(F.col("status") == STAGED)
         return au.to_audit(routed, as_of=as_of), inventory.place_holds(self.inventory, asked)
 
     def pull(self, messages: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Resolve answered chat messages: (audit rows, chat rows, inventory afterwards)."""
+        """Resolve answered chat messages: (audit rows, chat rows, inventory afterwards).
+
+        The choices are written to the shared folder first, so that a few of them do not make the
+        whole inventory move.
+        """
         resolved = decisions.pull_resolution(messages, self.audit, as_of)
-        said = to_chat(messages.select("pnr", "customer_id", "message_text", "signal_id"), row_key="signal_id", as_of=as_of)
-        after = inventory.confirm_and_release(self.inventory, decisions.latest_choices(messages))
-        return resolved, said, after
+        said = messages.select("pnr", "customer_id", "message_text", "signal_id")
+        choices = settle(decisions.latest_choices(messages), "choices")
+        after = inventory.confirm_and_release(self.inventory, choices)
+        return resolved, to_chat(said, row_key="signal_id", as_of=as_of), after
 
     def contrast(self) -> DataFrame:
         return decisions.rules_contrast(self.events, self.profiles, self.signals, self.inventory)

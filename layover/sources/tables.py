@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layover.session import new_path
 from layover.sources.schemas import SCHEMAS
 
 
@@ -63,6 +64,15 @@ def write_new(df: DataFrame, path: str, partition_by: list[str] | None = None) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Write a result to the shared folder once and go on from there.
+
+    Worth it for a result used several times, or for a lookup about to meet a large table: the
+    planner then knows its true size, and if that is small the large table is not shuffled.
+    """
+    return write_new(df, new_path(df.sparkSession, label))
+
+
 def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
     """Catalog table stored in buckets of a key: joins and counts on the key need no shuffle.
 

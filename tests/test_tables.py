@@ -44,13 +44,42 @@ def test_written_tables_read_back_with_partitions(spark):
         tables.write_new(versions, path)
 
 
-def test_partitioned_audit_skips_folders(spark):
-    log = spark_view(spark, SF_SMALL, "v_exec").withColumn("day", F.to_date("executed_at"))
+def test_log_stored_by_day_skips_folders(spark):
+    from layover.operators import audit as au
+    from layover.sources.testviews import AS_OF
+    from tests.test_scale import plan_of
+
+    log = spark_view(spark, SF_SMALL, "v_exec")
     path = new_path(spark, "log")
-    tables.append(log, path, ["day"])
-    one = spark.read.parquet(path).filter("day = DATE '2024-01-05'")
-    files = one.select("_metadata.file_path").distinct().collect()
-    assert all("day=2024-01-05" in r["file_path"] for r in files) and files
+    tables.append(au.with_day(log), path, [au.DAY])
+    stored = spark.read.parquet(path)
+    week = au.within(stored, "1w", AS_OF)
+    assert "PartitionFilters: [(isnull(executed_day" in plan_of(week) and ">= 2024-01-24" in plan_of(week)
+    ids = lambda df: sorted(r["exec_id"] for r in df.select("exec_id").collect())
+    assert ids(week) == ids(au.within(log, "1w", AS_OF))
+    late = au.since(stored, "2024-01-20T12:00:00Z")
+    assert ids(late) == ids(au.since(log, "2024-01-20T12:00:00Z"))
+    assert "PartitionFilters: [(isnull(executed_day" in plan_of(late)
+    assert ids(au.since(stored, "no time")) == ids(log)
+    same = lambda df: df.collect()[0].asDict()
+    assert same(au.execution_stats(stored, "1d", AS_OF)) == same(au.execution_stats(log, "1d", AS_OF))
+
+
+def test_settled_choices_leave_a_large_inventory_where_it_is(spark):
+    from layover.operators import inventory
+    from tests.test_scale import plan_of
+
+    stock = spark_view(spark, SF_SMALL, "v_inventory")
+    path = new_path(spark, "stock")
+    stock.write.parquet(path)
+    stock = spark.read.parquet(path)
+    choices = stock.groupBy("pnr").agg(F.min("alternate_flight").alias("chosen_flight"))
+    settled = tables.settle(choices)
+    plan = plan_of(inventory.confirm_and_release(stock, settled))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted(map(repr, inventory.confirm_and_release(stock, settled).collect())) == sorted(
+        map(repr, inventory.confirm_and_release(stock, choices).collect())
+    )
 
 
 @pytest.mark.parametrize("format", ["parquet", "json", "orc"])
