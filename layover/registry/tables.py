@@ -119,5 +119,10 @@ def table_layout(t):
     return tables.layout(t.spark, name)
 
 
-query("rows_as_json")(lambda t: tables.rows_as_json(t.exec))
+_FIELDS = {f.name: f.name for f in SCHEMAS["irop_execution_results"].fields}
+_FIELDS["executed_at"] = "strftime(executed_at, '%Y-%m-%dT%H:%M:%S.%f')"
+query(
+    "rows_as_json",
+    f"""SELECT CAST(json_object({", ".join(f"'{name}', {value}" for name, value in _FIELDS.items())}) AS VARCHAR) AS "row" FROM v_exec""",
+)(lambda t: tables.rows_as_json(t.exec))
 query("data_files")(lambda t: tables.data_files(t.base("lineitem")))

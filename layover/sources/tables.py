@@ -156,6 +156,12 @@ def layout(spark: SparkSession, name: str) -> DataFrame:
     )
 
 
+JSON_OPTIONS = {
+    "ignoreNullFields": "false",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def rows_as_json(df: DataFrame) -> DataFrame:
-    """Each row as JSON text, NULL fields included; write it with ``.write.text``."""
-    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+    """Each row as JSON text, NULL fields and microseconds included; write with ``.write.text``."""
+    return df.select(F.to_json(F.struct("*"), JSON_OPTIONS).alias("row"))

@@ -7,7 +7,7 @@ from tests.compare import difference, oracle_connection
 from tests.conftest import SF_SMALL
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-ROWS_ONLY = {"sample_rows", "table_layout", "rows_as_json", "data_files"}
+ROWS_ONLY = {"sample_rows", "table_layout", "data_files"}
 
 
 @pytest.fixture(scope="module")
