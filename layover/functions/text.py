@@ -17,7 +17,6 @@ LOUNGE_PHRASE = r"(?i)lounge"
 PROFILE_LINE = r"^\s*[-•*]?\s*([^:]+):\s*(.+)\z"
 FENCED_OBJECT = r"(?is)```(?:json)?\s*(\{.*?\})\s*```"
 BARE_OBJECT = r"(?s)(\{[^{}]*\"chosen_flight\"[^{}]*\})"
-DECISION_SCHEMA = "struct<" + ",".join(f"{f}:string" for f in wording.DECISION_FIELDS) + ">"
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -126,18 +125,26 @@ def highlight_value(label: Column, value: Column) -> Column:
 # --- JSON ----------------------------------------------------------------------------------
 
 
+END_MARK = "__end_of_text"
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def json_fields(text: Column, *fields: str) -> Column:
     """Struct of the named fields as text, or NULL unless the text is exactly one JSON object.
 
-    The text is parsed once, as a one-element list: text after the value is then an error
-    instead of being ignored.  Lists and objects come back as JSON text.
+    The text is parsed once, as the first of two list elements.  Anything after its value then
+    breaks the list, ends it early or adds to it, and the end mark is not found in second place.
+    Lists and objects come back as JSON text.
     """
-    schema = "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>"
-    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), schema, STRICT_JSON)
-    return once(parsed, lambda found: F.when(F.size(found) == 1, found[0]))
+    schema = "array<struct<" + ",".join(f"{f}:string" for f in (*fields, END_MARK)) + ">>"
+    marked = F.concat(F.lit("["), text, F.lit(f',{{"{END_MARK}":"1"}}]'))
+    parsed = F.from_json(marked, schema, STRICT_JSON)
+
+    def alone(found: Column) -> Column:
+        whole = (F.size(found) == 2) & found[1][END_MARK].isNotNull() & found[0].isNotNull()
+        return F.when(whole, F.struct(*[found[0][f].alias(f) for f in fields]))
+
+    return once(parsed, alone)
 
 
 def audit_summary(reasoning: Column) -> Column:
@@ -194,10 +201,7 @@ def decision_from_text(text: Column) -> Column:
         F.regexp_extract_all(body, F.lit(BARE_OBJECT), F.lit(1)),
     )
     parsed = F.filter(
-        F.transform(
-            F.filter(candidates, lambda c: F.try_parse_json(c).isNotNull()),
-            lambda c: F.from_json(c, DECISION_SCHEMA),
-        ),
+        F.transform(candidates, lambda c: json_fields(c, *wording.DECISION_FIELDS)),
         lambda d: present(d["chosen_flight"]).isNotNull(),
     )
     empty = F.lit(None).cast("string")
