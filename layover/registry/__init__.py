@@ -12,7 +12,6 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from layover.session import tune
 from layover.sources import testviews
 
 MODULES = ["audit", "passengers", "text", "inventory", "versions", "decisions", "tables", "streams"]
@@ -42,7 +41,7 @@ def query(name: str, oracle: str | None = None):
 
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(Tables(tune(spark), sf_dir))
+            return build(Tables(spark, sf_dir))
 
         if name in RUN:
             raise ValueError(f"query {name} is registered twice")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,23 +34,19 @@ def tune(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, from ``spark.checkpoint.dir``.
-
-    A machine-local folder is used only in local mode with nothing configured (tests).
-    """
+def configured_dir(spark: SparkSession) -> str | None:
+    """The shared folder the session names, from ``spark.checkpoint.dir`` or its checkpoint folder."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if configured:
-        return configured.rstrip("/")
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    return (named or context.getCheckpointDir() or "").rstrip("/") or None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder all executors can reach; its name comes from the session's owner."""
+    folder = configured_dir(spark)
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="layover-"))
-    return context.getCheckpointDir().rstrip("/")
+    return folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:

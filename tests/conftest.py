@@ -1,11 +1,14 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from layover.session import configured_dir, tune  # noqa: E402
+
 SF_SMALL = "/root/testdata/sf0.001"
 SF = "/root/testdata/sf0.01"
 
@@ -22,7 +25,9 @@ def make_session() -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    if not configured_dir(spark):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="layover-tests-"))
+    return tune(spark)
 
 
 @pytest.fixture(scope="session")

@@ -2,11 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from layover import registry
 from tests.compare import difference, oracle_connection
 from tests.conftest import SF_SMALL
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 ROWS_ONLY = {"sample_rows", "table_layout", "data_files"}
 
 
