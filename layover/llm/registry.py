@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layover.llm import chat, mixing
+from layover.llm import chat, minhash, mixing, packing
 from layover.llm.scratch import read
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,29 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(docs).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+# --- packing -------------------------------------------------------------------------------
+
+
+def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+@query("op9_packing")
+def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_json()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+# --- near-duplicates -----------------------------------------------------------------------
+
+
+@query("op10_minhash")
+def minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
