@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layover.llm import chat, minhash, mixing, packing
+from layover.llm import chat, minhash, mixing, packing, passages
 from layover.llm.scratch import read
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,14 @@ def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash")
 def minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --- repeated passages ---------------------------------------------------------------------
+
+
+@query("op4_passage_dedup")
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = passages.remove_repeats(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "text", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans")
