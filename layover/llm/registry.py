@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layover.llm import chat, minhash, mixing, packing, passages
+from layover.llm import chat, minhash, mixing, nbsvm, packing, passages, toxicity
 from layover.llm.scratch import read
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,16 @@ def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = passages.remove_repeats(docs)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return cut.select("doc_id", "text", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans")
+
+
+# --- scores --------------------------------------------------------------------------------
+
+
+@query("op1_nbsvm_quality")
+def nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op3_kneser_ney_toxicity")
+def kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
