@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layover.llm import chat, covertree, minhash, mixing, nbsvm, packing, passages, topk, toxicity
+from layover.llm import bwt, chat, covertree, minhash, mixing, nbsvm, packing, passages, topk, toxicity
 from layover.llm.scratch import read
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,11 @@ def kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_cover_tree")
 def cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+# --- repeated strings ----------------------------------------------------------------------
+
+
+@query("op6_bwt_dedup")
+def bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.digest(bwt.remove_repeated_bytes(read(spark, sf_dir, "documents")))

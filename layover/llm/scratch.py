@@ -17,3 +17,11 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let the session drop shuffle files of steps that are over; a driver with idle memory keeps them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

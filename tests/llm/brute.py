@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,3 +49,22 @@ def near_classes(docs: list[tuple]) -> dict:
     links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
     found = components(sets, links)
     return {i: (len(sets[i]), found[i]) for i in sets}
+
+
+def repeated_bytes(docs: list[tuple], length: int = 50) -> dict:
+    """doc_id -> (n_bytes, n_removed, n_spans, sha256 of the rest) by looking up every window."""
+    first: dict = {}
+    data = {i: (t or "").encode() for i, t in docs}
+    for i in sorted(data):
+        for k in range(len(data[i]) - length + 1):
+            first.setdefault(data[i][k : k + length], i)
+    out = {}
+    for i, raw in data.items():
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - length + 1):
+            if first[raw[k : k + length]] < i:
+                gone[k : k + length] = b"\1" * length
+        spans = sum(1 for k in range(len(raw)) if gone[k] and (k == 0 or not gone[k - 1]))
+        rest = bytes(b for b, g in zip(raw, gone) if not g)
+        out[i] = (len(raw), sum(gone), spans, hashlib.sha256(rest).hexdigest())
+    return out
