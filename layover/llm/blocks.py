@@ -132,6 +132,26 @@ class Hasher:
         return Words(start, end, text, hashed, first)
 
 
+class Lookup:
+    """Places of 64-bit keys in an ascending table; one short walk for all queries at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, min(22, int(len(keys)).bit_length() + 1))
+        self.keys = np.append(keys, np.uint64(np.iinfo(np.uint64).max))
+        sizes = np.bincount((keys >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
+        self.begin = (np.cumsum(sizes) - sizes).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted key, or the number of keys where it is missing."""
+        at = self.begin[wanted >> np.uint64(64 - self.bits)]
+        while True:
+            short = self.keys[at] < wanted
+            if not short.any():
+                break
+            at = at + short
+        return np.where(self.keys[at] == wanted, at, len(self.keys) - 1)
+
+
 def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, and the first of each text.
 

@@ -15,7 +15,7 @@ as often as they occur, a null id included.
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,75 +25,142 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from layover.llm.blocks import Block, Hasher, Lookup, blocks, mix
 from layover.llm.scratch import keep
 
+#: Fixed: how byte-level tokenizers cut a text before merging.
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WINDOW = 1024
 END_TOKEN = 0
 SWEEPS = 6
 #: Distinct space-separated units a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 1 << 20
 #: Tokens that one task packs greedily.
 GREEDY_TOKENS = 1 << 22
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, chunk int, rank long"
 
 
-class Encoder:
-    """Encodes texts; each distinct unit between single spaces is handed to the tokenizer once.
+def merger(spec: dict):
+    """The same byte-pair merges in the faster of the two public libraries, or None where they may differ.
 
-    Byte-level pre-tokenisation always begins a new piece at a space that stands alone between two
-    other characters, so units can be encoded one by one.
+    It applies where a merge's rank follows from its token's number, as in the byte-level vocabularies
+    whose tokens were numbered in the order of their merges.
     """
+    import tiktoken
+
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+    made = [model["vocab"].get(a + b, -1) for a, b in merges]
+    if not level or spec.get("normalizer") or model.get("dropout") or made != sorted(made) or -1 in made:
+        return None
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = {chr(b): b for b in printable}
+    letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("bytes", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+
 
-    two_spaces = re.compile(r"\s\s|^\s|\s$")
-    single_space = re.compile(r"(?<=\S) (?=\S)")
+class Encoder:
+    """Encodes whole blocks of texts; every distinct unit between single spaces is tokenised once.
+
+    Byte-level pre-tokenisation begins a new piece at a space that stands alone between two characters
+    that are not white space, so units can be encoded one by one.  Units are found and looked up as
+    64-bit hashes for a block at a time.  New ones made of ASCII and two-byte letters are merged many in
+    one string, and the bytes of their tokens tell where each ends; others go to the tokenizer itself.
+    """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.fast = merger(json.loads(tokenizer_json))
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # one letter of the byte-level alphabet per byte
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.hasher = Hasher(lower=False)
+        self.plain = np.zeros(256, dtype=bool)
+        self.plain[0x21:0x7F] = True
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.begin, self.size, self.pool, self.used, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
-
-    def learn(self, units: set[str]) -> None:
-        units -= self.at.keys()
-        if not units:
-            return
-        fresh = list(units)
-        coded = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        total = int(sizes.sum())
-        while self.n + len(fresh) > len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
-        while self.used + total > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + total] = np.fromiter((i for ids in coded for i in ids), np.uint32, total)
-        self.begin[self.n : self.n + len(fresh)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(fresh)] = sizes
-        self.at.update(zip(fresh, range(self.n, self.n + len(fresh))))
-        self.n, self.used = self.n + len(fresh), self.used + total
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.at) > REMEMBERED:
+        self.table = Lookup(np.zeros(0, np.uint64))
+        self.begin, self.size, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def units(self, block: Block) -> np.ndarray:
+        """First byte of every unit: text starts, and spaces between characters that are certainly none.
+
+        Beyond ASCII only two-byte characters from U+00C0 count as certain; a unit is longer otherwise.
+        """
+        data, n = block.data, len(block.data)
+        begins = np.zeros(n, dtype=bool)
+        if n > 2:
+            two = (data >= 0xC3) & (data < 0xE0)
+            before = self.plain[data]
+            before[1:] |= two[:-1]
+            begins[1:-1] = (data[1:-1] == 0x20) & before[:-2] & (self.plain[data[2:]] | two[2:])
+            inner = block.offsets[1:-1]
+            inner = inner[(inner > 0) & (inner < n)]
+            begins[inner - 1] = False  # a space that ends a text
+        starts = block.offsets[:-1][np.diff(block.offsets) > 0]
+        begins[starts] = True
+        return np.flatnonzero(begins)
+
+    def learn(self, block: Block, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        data, size = block.data, end - start
+        last = data[end - 1]
+        odd = np.concatenate([[0], np.cumsum((data >= 0xE0) | (data == 0xC2), dtype=np.int64)])
+        # Joined units must begin and end where the tokenizer certainly cuts.
+        closed = self.plain[last] | ((size > 1) & (data[end - 2] >= 0xC3) & (data[end - 2] < 0xE0))
+        good = (data[start] == 0x20) & (size > 1) & closed & (odd[end] == odd[start])
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        joined = data[at[np.repeat(good, size)]].tobytes()
+        if self.fast is None or any(mark in joined for mark in self.special):
+            good[:], joined = False, b""
+        counts = np.zeros(len(keys), np.int64)
+        found = np.array(self.fast.encode_ordinary(joined.decode()) if joined else [], dtype=np.uint32)
+        if len(found):
+            stops = np.searchsorted(np.cumsum(self.bytes_of[found]), np.cumsum(size[good])) + 1
+            counts[good] = np.diff(stops, prepend=0)
+        begin = np.zeros(len(keys), np.int64)
+        begin[good] = len(self.pool) + np.cumsum(counts[good]) - counts[good]
+        parts, place, raw = [self.pool, found], len(self.pool) + len(found), data.tobytes()
+        for i in np.flatnonzero(~good):
+            ids = self.tokenizer.encode(raw[start[i] : end[i]].decode("utf-8", "replace"), add_special_tokens=False).ids
+            parts.append(np.array(ids, dtype=np.uint32))
+            begin[i], counts[i], place = place, len(ids), place + len(ids)
+        self.pool = np.concatenate(parts)
+        known = np.concatenate([self.table.keys[:-1], keys])
+        order = np.argsort(known, kind="stable")  # two ascending runs
+        self.begin = np.append(np.concatenate([self.begin[:-1], begin])[order], 0)
+        self.size = np.append(np.concatenate([self.size[:-1], counts])[order], 0)
+        self.table = Lookup(known[order])
+
+    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all texts, tokens per text)."""
+        if len(self.size) > REMEMBERED:
             self.forget()
-        units: list[str] = []
-        ends = []
-        for text in texts:
-            split = self.single_space.split(text) if self.two_spaces.search(text) else text.split(" ")
-            if text:
-                units.append(split[0])
-                units += [" " + u for u in split[1:]]
-            ends.append(len(units))
-        self.learn(set(units))
-        which = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
-        sizes = self.size[which]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.pool[np.repeat(self.begin[which] - stops[:-1], sizes) + np.arange(stops[-1])]
-        edges = stops[np.array(ends, dtype=np.int64)]
-        return np.split(ids, edges[:-1])
+        start = self.units(block)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(block.n, np.int64)
+        end = np.append(start[1:], len(block.data))
+        p = self.hasher.prefix(block.data)
+        keys = mix((p[end] - p[start]) * self.hasher.down[start] + (end - start).astype(np.uint64))
+        at = self.table.find(keys)
+        fresh = np.flatnonzero(at == len(self.table.keys) - 1)
+        if len(fresh):
+            found, first = np.unique(keys[fresh], return_index=True)
+            self.learn(block, found, start[fresh[first]], end[fresh[first]])
+            at = self.table.find(keys)
+        sizes = self.size[at]
+        stops = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.begin[at] - (stops - sizes), sizes) + np.arange(stops[-1])]
+        edges = np.append(0, stops)[np.searchsorted(start, block.offsets)]
+        return ids, np.diff(edges)
 
 
 def cut(tokenizer_json: str, window: int):
@@ -103,18 +170,30 @@ def cut(tokenizer_json: str, window: int):
         encoder, chunk = Encoder(tokenizer_json), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                rows: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids = np.append(ids, np.uint32(END_TOKEN)).astype("<u4")
-                    for start in range(0, len(ids), window):
-                        piece = ids[start : start + window]
-                        rows.append((doc, start, len(piece), piece.tobytes(), len(ids), chunk, int(seen[len(piece)])))
-                        seen[len(piece)] += 1
-                names = [f.split()[0] for f in PIECES.split(", ")]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            for block in blocks(batch.column(1)):
+                ids, sizes = encoder.encode(block)
+                # Every document gets its end token.
+                ids = np.insert(ids, np.cumsum(sizes), np.uint32(END_TOKEN)).astype("<u4")
+                sizes = sizes + 1
+                pieces = -(-sizes // window)
+                doc = np.repeat(np.arange(block.n), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                length = np.minimum(sizes[doc] - start, window)
+                order = np.argsort(length, kind="stable")
+                run_start = np.searchsorted(length[order], length[order])
+                rank = np.empty(len(doc), np.int64)
+                rank[order] = seen[length[order]] + np.arange(len(doc)) - run_start
+                seen += np.bincount(length, minlength=window + 1)
+                edges = pa.py_buffer((np.append(0, np.cumsum(length)) * 4).astype(np.int32).tobytes())
+                raw = pa.Array.from_buffers(pa.binary(), len(doc), [None, edges, pa.py_buffer(ids.tobytes())])
+                owners = batch.column(0).slice(block.first, block.n).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        owners, pa.array(start), pa.array(length), raw, pa.array(sizes[doc]),
+                        pa.array(np.full(len(doc), chunk, np.int32)), pa.array(rank),
+                    ],
+                    names=[f.split()[0] for f in PIECES.split(", ")],
+                )
 
     return run
 
