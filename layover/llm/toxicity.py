@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layover.llm.blocks import Block, Hasher, Words, blocks, mix
+from layover.llm.blocks import Block, Hasher, Lookup, Words, blocks, mix
 from layover.llm.samples import Sample, calibrate, fold, probability, sample
 
 DISCOUNT = 0.75
@@ -35,27 +35,7 @@ DEPTH = 12
 #: Beginnings found in fewer documents of the sample are not told apart from unseen ones.
 CUTOFF = 2
 ROOT = np.uint64(0x5BF0A8B1456ABCDE)
-LENGTH_FACTOR, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-
-
-class Lookup:
-    """Places of 64-bit keys in an ascending table; one short walk for all queries at once."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, min(22, int(len(keys)).bit_length() + 1))
-        self.keys = np.append(keys, np.uint64(np.iinfo(np.uint64).max))
-        edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
-        self.begin = np.searchsorted(keys, edges).astype(np.int32)
-
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Place of each wanted key, or the number of keys where it is missing."""
-        at = self.begin[wanted >> np.uint64(64 - self.bits)]
-        while True:
-            short = self.keys[at] < wanted
-            if not short.any():
-                break
-            at = at + short
-        return np.where(self.keys[at] == wanted, at, len(self.keys) - 1)
+LENGTH_FACTOR, END = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
 
 
 @dataclass
@@ -82,7 +62,7 @@ class Spelling:
         size = np.minimum(k + 1, self.size[which])
         at = self.start[which]
         value = (self.prefix[at + size] - self.prefix[at]) * self.down[at]
-        return mix(value + np.uint64(k + 1) * LENGTH_FACTOR + (size <= k).astype(np.uint64) * END)
+        return mix(value + np.uint64((k + 1) * LENGTH_FACTOR % (1 << 64)) + (size <= k).astype(np.uint64) * END)
 
 
 def steps(spelling: Spelling) -> Iterator[tuple[int, np.ndarray]]:
@@ -248,3 +228,19 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold:
         "doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def accepting(model: Model, text_at: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, spelling in spellings(batch.column(text_at)):
+                fine = model.scores(block.n, words, spelling) < threshold
+                yield batch.slice(block.first, block.n).filter(pa.array(fine))
+
+    return run
+
+
+def accept(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = 0.7, **bounds) -> DataFrame:
+    """Rows of ``docs`` scored below the threshold, with all their columns."""
+    model = train(docs, sample(docs, labels, column, **bounds))
+    return docs.mapInArrow(accepting(model, docs.columns.index("text"), threshold), docs.schema)
