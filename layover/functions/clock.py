@@ -16,7 +16,11 @@ DEFAULT_WINDOW_HOURS = 24
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 MAIL_DATE = r"^[A-Za-z]{3}, (\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{1,2}:\d{1,2}:\d{1,2}) [A-Za-z]+$"
-ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}.*)?$"
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}(:\d{1,2}.*)?)?$"
+#: ISO without separators: a date, and a time of two, four or six digits after it.
+COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})(?=$|[ T])"
+COMPACT_TIME = r"([ T]\d{2})(\d{2})(\d{2})?(?=$|\.)"
+HOUR_ONLY = r"([ T]\d{1,2})$"
 ZONE_SUFFIX = r"(Z|[+-]\d{2}:?\d{2}(:?\d{2})?)$"
 
 
@@ -71,10 +75,15 @@ def parse_moment(text: Column) -> Column:
         ),
         F.regexp_extract(trimmed, MAIL_DATE, 4),
     )
-    iso = F.regexp_replace(trimmed, ZONE_SUFFIX, "")
+    day_first = F.regexp_replace(trimmed, COMPACT_DATE, "$1-$2-$3")
+    # A zone can only follow a time; "-01" at the end of a date is its day.
+    timed = day_first.rlike(r"[ T]\d")
+    bare = F.when(timed, F.regexp_replace(day_first, ZONE_SUFFIX, "")).otherwise(day_first)
+    spread = F.regexp_replace(F.regexp_replace(bare, COMPACT_TIME, "$1:$2:$3"), r":(?=$|\.)", ":00")
+    iso = F.regexp_replace(spread, HOUR_ONLY, "$1:00")
     return (
         F.when(trimmed.rlike(MAIL_DATE), mail.try_cast("timestamp_ntz"))
-        .when(trimmed.rlike(ISO_DATE), iso.try_cast("timestamp_ntz"))
+        .when(iso.rlike(ISO_DATE), iso.try_cast("timestamp_ntz"))
     )
 
 

@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Sums of doubles below this size keep 18 decimal places; beyond it they are plain sums.
+LARGE = 1e17
 
-def exact_sum(value: Column, scale: int = 4) -> Column:
-    """Sum in decimal: the same bits on every run, however tasks are split or retried."""
-    return F.sum(value.cast(f"decimal(18,{scale})"))
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles in decimal: the same bits on every run, however tasks are split or retried.
 
-def exact_avg(value: Column, scale: int = 4) -> Column:
-    """Mean of a double column from a decimal sum and a count, divided last."""
-    decimal = value.cast(f"decimal(18,{scale})")
-    return F.when(F.count(decimal) > 0, F.sum(decimal).cast("double") / F.count(decimal))
+    Every digit down to 1e-18 counts.  Where a value is larger than ``LARGE`` or not a number, the sum
+    is a plain one.
+    """
+    exact = F.try_sum(value.try_cast("decimal(38,18)")).cast("double")
+    plain = F.sum(value)
+    return F.when(F.max(F.abs(value)) < LARGE, F.coalesce(exact, plain)).otherwise(plain)
+
+
+def exact_avg(value: Column) -> Column:
+    """Mean of a double column, divided last."""
+    return F.when(F.count(value) > 0, exact_sum(value) / F.count(value))
 
 
 def rate(part: Column, whole: Column, digits: int = 2) -> Column:

@@ -192,6 +192,25 @@ def count_by_fields(
     )
 
 
+def execution_breakdown(audit: DataFrame, window: str = "1d", as_of=None) -> DataFrame:
+    """Rows of a window by scenario, status and action: (field, value, n)."""
+    return count_by_fields(within(audit, window, as_of))
+
+
+def whole_stats(audit: DataFrame, window: str = "1d", as_of=None) -> DataFrame:
+    """Counts and conversion of a window with its breakdowns as maps: one row."""
+    pair = F.struct("value", "n")
+
+    def of(field: str) -> Column:
+        found = F.sort_array(F.collect_list(F.when(F.col("field") == field, pair)))
+        return F.map_from_entries(found)
+
+    names = {"by_scenario": "scenario", "by_status": "status", "by_action": "action_taken"}
+    maps = execution_breakdown(audit, window, as_of).agg(*[of(f).alias(n) for n, f in names.items()])
+    counts = execution_stats(audit, window, as_of)
+    return counts.join(maps.withColumn("window", F.lit(window)), "window")
+
+
 def case_completions(audit: DataFrame) -> DataFrame:
     """Completed pulls per named case, zero included."""
     done = outcome.is_pull() & (F.col("status") == "SUCCESS")

@@ -12,7 +12,6 @@ from layover.operators.keys import attach, newest_rank
 
 NO_LIMIT = -1
 CHUNK_TURNS = 65_536
-PAGE_TURNS = 200
 
 
 def message_flags(messages: DataFrame) -> DataFrame:
@@ -164,10 +163,8 @@ def transcript_lines(turns: DataFrame) -> DataFrame:
     )
 
 
-def transcripts(
-    turns: DataFrame, conversations: DataFrame | None = None, page_turns: int = PAGE_TURNS
-) -> DataFrame:
-    """Transcript text, in pages of ``page_turns`` turn numbers.
+def transcripts(turns: DataFrame, page_turns: int, conversations: DataFrame | None = None) -> DataFrame:
+    """Transcript text, in pages of ``page_turns`` turn numbers; ``transcript_lines`` are the whole of it.
 
     Needs (conv_id, turn) to be a key, which bounds a page.  Joining a conversation's pages with
     line breaks in page order gives its whole transcript; a usual conversation is one page.

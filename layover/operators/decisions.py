@@ -6,7 +6,7 @@ thresholds are keyword arguments.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from layover.functions import outcome, wording
 from layover.functions import text as tx
 from layover.functions.clock import arrival_hour_needed
+from layover.functions.exact import exact_avg
 from layover.functions.outcome import present
 from layover.operators import audit as au
 from layover.operators import chat
@@ -55,12 +56,10 @@ def guardrails(
     """
     folded = uplift.groupBy("customer_id", "archetype", "action_id").agg(
         F.min("experiment_id").alias("first_experiment"),
-        F.sum(F.col("uplift_score").cast("decimal(18,4)")).alias("total"),
-        F.count("uplift_score").alias("n"),
+        exact_avg(F.col("uplift_score")).alias("mean_uplift"),
     )
-    mean = F.when(F.col("n") > 0, F.col("total").cast("double") / F.col("n"))
     known = attach(folded, shelf.select("action_id", "action_code", "cost_usd", "requires_human"), "action_id")
-    judged = known.withColumn("mean_uplift", mean).withColumn(
+    judged = known.withColumn(
         "reasons",
         guard_reasons(
             F.col("archetype"), F.col("action_code"), F.col("cost_usd"), F.col("mean_uplift"),
@@ -109,7 +108,9 @@ def push_routing(passengers: DataFrame, uplift: DataFrame, shelf: DataFrame, **l
     action, handed to a human where the shelf says so.
     """
     people = passengers.select("customer_id", "pnr").distinct()
-    known = attach(people, best_action(uplift, shelf, **limits), "customer_id")
+    # Only the history of the affected is folded.
+    theirs = rows_for(uplift, "customer_id", people)
+    known = attach(people, best_action(theirs, shelf, **limits), "customer_id")
     asks = F.coalesce(F.col("archetype") == CHOICE_ORIENTED, F.lit(False))
     action = F.coalesce("action_code", F.lit(NO_ACTION))
     held = F.array(*[F.lit(f) for f in wording.HELD_FLIGHTS])
@@ -142,10 +143,15 @@ def rules_baseline(
 ) -> DataFrame:
     """Plain rule: high tier and misconnect means the latest flight with seats plus a voucher.
 
-    Inventory is folded to one row per PNR first.
+    Only flights of eligible PNRs are folded, to one row per PNR.
     """
+    people = events.filter("misconnect_risk").select("customer_id", "pnr").distinct()
+    tiers = profiles.select("customer_id", "loyalty_tier").filter(
+        F.col("loyalty_tier").isin(list(high_tiers))
+    )
+    eligible = attach(people, tiers, "customer_id", "inner")
     latest = (
-        inventory.filter(F.col("seats_available") > 0)
+        rows_for(inventory.filter(F.col("seats_available") > 0), "pnr", eligible)
         .groupBy("pnr")
         .agg(F.max(F.struct("arrival_time", "alternate_flight", "departure_time")).alias("latest"))
         .select("pnr", "latest.*")
@@ -154,11 +160,6 @@ def rules_baseline(
         )
         .withColumnRenamed("alternate_flight", "flight_chosen")
     )
-    people = events.filter("misconnect_risk").select("customer_id", "pnr").distinct()
-    tiers = profiles.select("customer_id", "loyalty_tier").filter(
-        F.col("loyalty_tier").isin(list(high_tiers))
-    )
-    eligible = attach(people, tiers, "customer_id", "inner")
     return (
         attach(eligible, latest, "pnr")
         .withColumn("voucher_usd", F.lit(voucher_usd))
@@ -240,9 +241,10 @@ def rules_contrast(
     events: DataFrame, profiles: DataFrame, messages: DataFrame, inventory: DataFrame
 ) -> DataFrame:
     """Rule and constraint-aware choice per PNR, and which of them meets the stated limit."""
-    # A PNR may hold several passengers; the rule picks the same flight for each of them.
+    # A PNR may hold several passengers; the rule picks the same flight for each of them.  Only
+    # PNRs with chat are contrasted.
     rule = (
-        rules_baseline(events, profiles, inventory)
+        rules_baseline(rows_for(events, "pnr", messages), profiles, inventory)
         .groupBy("pnr")
         .agg(
             F.max("flight_chosen").alias("rule_flight"),
@@ -274,18 +276,20 @@ def rules_contrast(
 # --- the concierge decision ----------------------------------------------------------------
 
 
-def final_decision(raw: Column, message: Column) -> Column:
+def final_decision(raw: Column, message: Column, templates: Mapping[str, Mapping[str, str]] | None = None) -> Column:
     """Decision struct held against the passenger's own words, with ``guardrail_applied``.
 
-    The message decides which of the two prepared decisions is right.  A raw decision on the
-    other flight, or one arguing from a cancellation nobody mentioned, is replaced by it.  A raw
-    decision that agrees and gives a reason keeps its reason, and its reply, seat and amenity
-    where it has them; flight and action code always come from the prepared decision.
+    The message decides which of the two prepared decisions, ``templates["early"]`` and
+    ``templates["later"]``, is right.  A raw decision on the other flight, or one arguing from a
+    cancellation nobody mentioned, is replaced by it.  A raw decision that agrees and gives a reason
+    keeps its reason, and its reply, seat and amenity where it has them; flight and action code always
+    come from the prepared decision.
     """
     changed = tx.changes_mind(message)
+    given = templates or wording.TEMPLATES
 
     def prepared(field: str) -> Column:
-        return F.when(changed, wording.LATER_DECISION[field]).otherwise(wording.EARLY_DECISION[field])
+        return F.when(changed, given["later"][field]).otherwise(given["early"][field])
 
     reason = present(raw["reasoning_summary"])
     argued = F.coalesce(reason, raw["passenger_reply"])
@@ -307,20 +311,30 @@ def final_decision(raw: Column, message: Column) -> Column:
     )
 
 
-def decide(messages: DataFrame, agent_text: str = "agent_text", message: str = "message_text") -> DataFrame:
+def decide(
+    messages: DataFrame,
+    agent_text: str = "agent_text",
+    message: str = "message_text",
+    templates: Mapping[str, Mapping[str, str]] | None = None,
+) -> DataFrame:
     """Final decision per message from the agent's text; all other columns are kept."""
     raw = messages.withColumn("__raw", tx.decision_from_text(F.col(agent_text)))
     return (
-        raw.withColumn("__d", final_decision(F.col("__raw"), F.col(message)))
+        raw.withColumn("__d", final_decision(F.col("__raw"), F.col(message), templates))
         .select(*messages.columns, "__d.*")
     )
 
 
+# What a message does with its customer's case.
+CONTINUE, HOLD_AGAIN, STAGE_FIRST = "CONTINUE_STAGED_CASE", "HOLD_AGAIN_AND_CONTINUE", "STAGE_FIRST"
+
+
 def next_step(profiles: DataFrame, audit: DataFrame, messages: DataFrame) -> DataFrame:
     """What a customer's next chat message leads to.
 
     Open staging: continue that case.  Otherwise earlier messages: hold the flights again and
-    continue.  Otherwise: stage first.
+    continue.  Otherwise: stage first.  Every message had an answer, so the next one is follow-up
+    number messages + 1.
     """
     staging = au.staging_state(audit).select("customer_id", "case_id", "is_open")
     history = messages.groupBy("customer_id").agg(F.count(F.lit(1)).alias("messages"))
@@ -329,27 +343,68 @@ def next_step(profiles: DataFrame, audit: DataFrame, messages: DataFrame) -> Dat
     known = known.join(history, "customer_id", "left")
     count = F.coalesce("messages", F.lit(0))
     step = (
-        F.when(F.coalesce("is_open", F.lit(False)), "CONTINUE_STAGED_CASE")
-        .when(count > 0, "HOLD_AGAIN_AND_CONTINUE")
-        .otherwise("STAGE_FIRST")
+        F.when(F.coalesce("is_open", F.lit(False)), CONTINUE)
+        .when(count > 0, HOLD_AGAIN)
+        .otherwise(STAGE_FIRST)
     )
     return known.select(
         "customer_id",
         step.alias("next_step"),
-        F.when(step != "STAGE_FIRST", F.col("case_id")).alias("case_id"),
+        F.when(step != STAGE_FIRST, F.col("case_id")).alias("case_id"),
         count.alias("messages"),
-        (F.floor(count / 2) + 1).alias("follow_up_number"),
+        (count + 1).alias("follow_up_number"),
     )
 
 
-def pull_resolution(messages: DataFrame, audit: DataFrame, as_of=None) -> DataFrame:
-    """Audit rows for chat messages answered by an agent, one per message.
+def concierge_steps(messages: DataFrame, audit: DataFrame, as_of=None, templates=None) -> DataFrame:
+    """Decided messages with the step each takes, its case and its follow-up number.
 
-    ``messages`` needs signal_id, pnr, customer_id, turn, message_text and agent_text; turn counts
-    from 0.  The case is the customer's newest staged one, or a new one.
+    ``messages`` needs signal_id, pnr, customer_id, signal_timestamp, turn, message_text and
+    agent_text; ``turn`` counts the earlier turns of both sides.  A customer's first message of the
+    batch continues an open case, and closes it; any other message with earlier turns holds again and
+    continues the newest case, the new one if the batch staged one; a message without stages first.
+    A case that is missing is null here and gets an id with its audit row.
     """
-    staged = au.latest_staging(audit).select("customer_id", "case_id")
-    decided = attach(decide(messages), staged, "customer_id")
+    decided = decide(messages, templates=templates)
+    order = F.struct("signal_timestamp", "signal_id")
+    first = messages.groupBy("customer_id").agg(
+        F.min(order).alias("__first"), F.min("turn").alias("__least")
+    )
+    staging = au.staging_state(audit).select("customer_id", F.col("case_id").alias("__case"), F.col("is_open").alias("__open"))
+    known = attach(decided, first.join(staging, "customer_id", "left"), "customer_id")
+    is_open = F.coalesce("__open", F.lit(False)) & order.eqNullSafe(F.col("__first"))
+    step = F.when(is_open, CONTINUE).when(F.col("turn") > 0, HOLD_AGAIN).otherwise(STAGE_FIRST)
+    made = known.withColumn("step", step)
+    # Whether the batch stages the customer anew: some message has no earlier turn and no open case.
+    staged = made.groupBy("customer_id").agg(F.max(F.col("step") == STAGE_FIRST).alias("__staged"))
+    made = attach(made, staged, "customer_id")
+    new_case = (F.col("step") == STAGE_FIRST) | ((F.col("step") == HOLD_AGAIN) & F.col("__staged"))
+    return made.select(
+        *decided.columns,
+        "step",
+        F.when(new_case, au.case_id(as_of=as_of)).otherwise(F.col("__case")).alias("case_id"),
+        (F.floor(F.col("turn") / 2) + 1).alias("follow_up_number"),
+    )
+
+
+def stagings(steps: DataFrame, as_of=None) -> DataFrame:
+    """Audit rows of the cases that messages stage first, one per customer and PNR."""
+    held = F.array(*[F.lit(f) for f in wording.HELD_FLIGHTS])
+    rows = steps.filter(F.col("step") == STAGE_FIRST).select("pnr", "customer_id", "case_id").distinct()
+    return au.to_audit(
+        rows.select(
+            "*",
+            F.lit(outcome.PUSH).alias("scenario"),
+            F.lit(outcome.HOLD_ACTION).alias("action_taken"),
+            tx.staging_reasoning(F.lit(CHOICE_ORIENTED), held).alias("reasoning"),
+            F.lit(outcome.STAGED).alias("status"),
+        ),
+        as_of=as_of,
+    )
+
+
+def resolutions(steps: DataFrame, as_of=None) -> DataFrame:
+    """Audit rows of decided messages, one each."""
     reasoning = tx.as_json(
         chosen_flight=F.col("chosen_flight"),
         seat=F.col("seat"),
@@ -359,7 +414,7 @@ def pull_resolution(messages: DataFrame, audit: DataFrame, as_of=None) -> DataFr
         chat_turns=F.col("turn") + 1,
         agent_reasoning=F.col("reasoning_summary"),
     )
-    rows = decided.select(
+    rows = steps.select(
         "signal_id",
         "pnr",
         "customer_id",
@@ -372,10 +427,18 @@ def pull_resolution(messages: DataFrame, audit: DataFrame, as_of=None) -> DataFr
     return au.to_audit(rows, row_key="signal_id", as_of=as_of)
 
 
-def latest_choices(messages: DataFrame) -> DataFrame:
-    """Chosen flight per PNR after the last answered message, and the flight to let go."""
+def pull_resolution(messages: DataFrame, audit: DataFrame, as_of=None, templates=None) -> DataFrame:
+    """Audit rows for chat messages answered by an agent: one per message, and the cases staged for them."""
+    steps = concierge_steps(messages, audit, as_of, templates)
+    return resolutions(steps, as_of).unionByName(stagings(steps, as_of))
+
+
+def latest_choices(steps: DataFrame) -> DataFrame:
+    """Per PNR the flight of the last decided message, the flight to let go, and whether to hold again."""
     newest = F.struct("signal_timestamp", "signal_id")
-    last = decide(messages).groupBy("pnr").agg(F.max_by("chosen_flight", newest).alias("chosen_flight"))
+    last = steps.groupBy("pnr").agg(
+        F.max_by(F.struct("chosen_flight", (F.col("step") != CONTINUE).alias("hold_again")), newest).alias("last")
+    ).select("pnr", "last.*")
     other = F.when(F.col("chosen_flight") == wording.EARLY_FLIGHT, wording.LATER_FLIGHT).otherwise(
         wording.EARLY_FLIGHT
     )
@@ -384,25 +447,64 @@ def latest_choices(messages: DataFrame) -> DataFrame:
 
 # --- explanation ---------------------------------------------------------------------------
 
+# The phases of an explanation.
+PULL_PHASES = [
+    "MULTI-TURN FOLLOW-UP", "HANDOFF FROM SCENARIO A", "PASSENGER CHAT", "CONVERSATION HISTORY", "AGENTIC WORKFLOW",
+    "DECISION GUARDRAIL", "AGENT DECISION", "ACTION EXECUTED",
+]
+PUSH_PHASES = [
+    "TRIGGER", "PROFILE EVALUATION", "ARCHETYPE", "ICEBERG INVENTORY HOLD", "DECISION (Scenario A)", "PUSH NOTIFICATION",
+]
 
-def decision_trace(messages: DataFrame) -> DataFrame:
-    """Ordered explanation steps per answered message: (signal_id, step, phase, detail, source)."""
-
-    def step(phase: str, detail: Column, source: str = "SYSTEM") -> Column:
-        return F.struct(
-            F.lit(phase).alias("phase"), detail.alias("detail"), F.lit(source).alias("source")
-        )
 
+def _trace(rows: DataFrame, keys: list[str], phases: list[str], told: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Ordered steps (keys…, step, phase, detail, source); phases without a detail are left out."""
     steps = F.array(
-        step("PASSENGER CHAT", F.col("message_text"), "Passenger"),
-        step("CONVERSATION HISTORY", F.when(F.col("turn") > 0, F.format_string("%d prior turn(s)", "turn")), "Dashboard"),
-        step("DECISION GUARDRAIL", F.when(F.col("guardrail_applied"), F.lit("Decision aligned to the passenger's words."))),
-        step("AGENT DECISION", F.col("reasoning_summary"), "Agent"),
-        step("ACTION EXECUTED", F.format_string("Confirmed %s seat %s + %s.", "chosen_flight", "seat", "amenity"), "Inventory"),
+        *[
+            F.struct(F.lit(p).alias("phase"), told[p][0].alias("detail"), F.lit(told[p][1]).alias("source"))
+            for p in phases
+        ]
     )
-    told = F.filter(steps, lambda s: s["detail"].isNotNull())
+    kept = F.filter(steps, lambda s: s["detail"].isNotNull())
     return (
-        decide(messages)
-        .select("signal_id", F.posexplode(told).alias("step", "s"))
-        .select("signal_id", (F.col("step") + 1).alias("step"), "s.phase", "s.detail", "s.source")
+        rows.select(*keys, F.posexplode(kept).alias("step", "s"))
+        .select(*keys, (F.col("step") + 1).alias("step"), "s.phase", "s.detail", "s.source")
+    )
+
+
+def decision_trace(steps: DataFrame) -> DataFrame:
+    """How each decided message came to its decision, from ``concierge_steps``."""
+    turns = F.col("turn")
+    told = {
+        "MULTI-TURN FOLLOW-UP": (
+            F.when(F.col("step") == HOLD_AGAIN, F.format_string("Follow-up %d after %d turn(s).", "follow_up_number", "turn")),
+            "Dashboard",
+        ),
+        "HANDOFF FROM SCENARIO A": (F.concat(F.lit("Staged as "), present("case_id")), "Audit"),
+        "PASSENGER CHAT": (F.col("message_text"), "Passenger"),
+        "CONVERSATION HISTORY": (F.when(turns > 0, F.format_string("%d earlier turn(s) known.", "turn")), "Dashboard"),
+        "AGENTIC WORKFLOW": (F.when(present("agent_text").isNotNull(), F.lit("An agent answered.")), "Agent"),
+        "DECISION GUARDRAIL": (F.when(F.col("guardrail_applied"), F.lit("Replaced to fit the message.")), "SYSTEM"),
+        "AGENT DECISION": (F.col("reasoning_summary"), "Agent"),
+        "ACTION EXECUTED": (F.format_string("%s, seat %s, %s", "chosen_flight", "seat", "amenity"), "Inventory"),
+    }
+    return _trace(steps, ["signal_id"], PULL_PHASES, told)
+
+
+def push_trace(routed: DataFrame, events: DataFrame, profiles: DataFrame) -> DataFrame:
+    """How each routed passenger came to their action, from ``push_routing``, events and profiles."""
+    shortest = events.filter("misconnect_risk").groupBy("customer_id", "pnr").agg(
+        F.min("new_connection_mins").alias("mins")
     )
+    tiers = profiles.select("customer_id", "loyalty_tier")
+    known = attach(attach(routed, shortest, ["customer_id", "pnr"]), tiers, "customer_id")
+    asks = F.col("status") == outcome.STAGED
+    told = {
+        "TRIGGER": (F.format_string("%d minutes left to connect", "mins"), "SYSTEM"),
+        "PROFILE EVALUATION": (F.concat(F.lit("Tier "), "loyalty_tier"), "Profile"),
+        "ARCHETYPE": (F.col("archetype"), "SYSTEM"),
+        "ICEBERG INVENTORY HOLD": (F.when(asks, F.lit("Held: " + ", ".join(wording.HELD_FLIGHTS))), "Inventory"),
+        "DECISION (Scenario A)": (F.concat_ws(": ", "action_taken", "status"), "SYSTEM"),
+        "PUSH NOTIFICATION": (F.when(asks, F.lit(wording.PUSH_PROMPT)), "SYSTEM"),
+    }
+    return _trace(known, ["customer_id", "pnr"], PUSH_PHASES, told)

@@ -87,12 +87,16 @@ def confirm_and_release(
     Flights to release are the listed ones, or every other flight when none is listed.  Release
     comes after confirmation: a flight in both ends released, with inventory confirmed.
 
+    Where ``choices`` have a true ``hold_again``, the flights on offer are held anew first, which frees
+    what an earlier choice had confirmed.
+
     ``bucketed`` says that both tables are stored in buckets of the PNR: they then meet without
     a shuffle, at the price that a hot PNR stays in its bucket.
     """
     lists = choices.columns
     listed = F.col("release_flights") if "release_flights" in lists else F.lit(None).cast("string")
-    lookup = choices.select("pnr", "chosen_flight", flight_list(listed).alias("__listed"))
+    again = F.col("hold_again") if "hold_again" in lists else F.lit(False)
+    lookup = choices.select("pnr", "chosen_flight", flight_list(listed).alias("__listed"), again.alias("__again"))
     if bucketed:
         joined = inventory.join(lookup, "pnr", "left")
     else:
@@ -104,16 +108,31 @@ def confirm_and_release(
             (flight != "") & (flight != F.col("chosen_flight"))
         )
     )
+    anew = is_true(F.col("__again")) & flight.isin(wording.HELD_FLIGHTS)
     held = (
         F.when(freed, RELEASED["hold_status"])
         .when(chosen, CONFIRMED["hold_status"])
+        .when(anew, HELD["hold_status"])
         .otherwise(F.col("hold_status"))
     )
-    state = F.when(chosen, CONFIRMED["inventory_status"]).otherwise(F.col("inventory_status"))
+    state = (
+        F.when(chosen, CONFIRMED["inventory_status"])
+        .when(anew, HELD["inventory_status"])
+        .otherwise(F.col("inventory_status"))
+    )
     next_state = {"hold_status": held, "inventory_status": state}
     return joined.select(*[next_state.get(c, F.col(c)).alias(c) for c in inventory.columns])
 
 
+def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of ``after`` whose hold or inventory state differs from ``before``, by lookup_id."""
+    state = ["hold_status", "inventory_status"]
+    old = before.select("lookup_id", *[F.col(c).alias(f"__{c}") for c in state])
+    joined = attach(after, old, "lookup_id", "inner")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in state]
+    return joined.filter(~(same[0] & same[1])).select(*after.columns)
+
+
 def release_candidates(inventory: DataFrame, choices: DataFrame) -> DataFrame:
     """Flights of a PNR other than the chosen one."""
     joined = attach(inventory, choices.select("pnr", "chosen_flight"), "pnr", "inner")

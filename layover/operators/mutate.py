@@ -59,16 +59,17 @@ def merge_upsert(
     """Matched rows take the given expressions, source rows without a match are inserted.
 
     Expressions see the table's columns by name and the source's as ``new_<name>``.  Source keys
-    must be unique, or the job fails.  Written as a left join plus an anti join, because a hot
+    that are not null must be unique, or the job fails.  Written as a left join plus an anti join, because a hot
     key of the table could not be split in a full outer join.
     """
-    source = one_row_per_key(source, on)
+    loose = source.filter(F.col(on).isNull())  # matches nothing, so it is inserted
+    source = one_row_per_key(source.filter(F.col(on).isNotNull()), on)
     fresh = source.select(
         on, F.lit(True).alias("__found"), *[F.col(c).alias(f"new_{c}") for c in source.columns if c != on]
     )
     joined = attach(table, fresh, on)
     updated = update_where(joined, F.col("__found"), matched).select(*table.columns)
-    inserted = source.join(table.select(on).distinct(), on, "left_anti")
+    inserted = source.join(table.select(on).distinct(), on, "left_anti").unionByName(loose)
     return updated.unionByName(inserted, allowMissingColumns=True).select(*table.columns)
 
 

@@ -10,12 +10,11 @@ from layover.functions import text as tx
 from layover.functions.exact import exact_avg
 from layover.operators.keys import attach, newest_rank
 
-ALL_AFFECTED = "EVT-900"
-
-
-def affected(events: DataFrame, event_prefix: str = ALL_AFFECTED) -> DataFrame:
-    """Distinct passengers at risk of a misconnect in events whose id starts with the prefix."""
-    hit = F.col("misconnect_risk") & F.col("event_id").startswith(event_prefix)
+def affected(events: DataFrame, event_prefix: str | None = None) -> DataFrame:
+    """Distinct passengers at risk of a misconnect; with a prefix, in events whose id starts with it."""
+    hit = F.col("misconnect_risk")
+    if event_prefix:
+        hit = hit & F.col("event_id").startswith(event_prefix)
     return (
         events.filter(hit)
         .select("customer_id", "pnr", "event_id", "new_connection_mins", "misconnect_risk")
@@ -93,27 +92,15 @@ def passenger_context(events: DataFrame, signals: DataFrame, profiles: DataFrame
 
 
 def context_items(events: DataFrame, signals: DataFrame) -> DataFrame:
-    """All events and all chat signals of all customers as one long table, without a shuffle."""
-    happened = events.select(
-        "customer_id",
-        "pnr",
-        F.lit("EVENT").alias("kind"),
-        F.col("event_id").alias("item_id"),
-        F.col("event_timestamp").alias("item_at"),
-        F.format_string(
-            "%s %s: %dm → %dm",
-            "flight_number", "itinerary", "orig_connection_mins", "new_connection_mins",
-        ).alias("detail"),
-    )
-    said = signals.select(
-        "customer_id",
-        "pnr",
-        F.lit("SIGNAL").alias("kind"),
-        F.col("signal_id").alias("item_id"),
-        F.col("signal_timestamp").alias("item_at"),
-        F.col("message_text").alias("detail"),
+    """All events and all chat signals of all customers, with all their columns, as one long table.
+
+    Columns an item does not have are null.  Nothing is joined or shuffled.
+    """
+    happened = events.withColumnsRenamed({"event_id": "item_id", "event_timestamp": "item_at"})
+    said = signals.withColumnsRenamed({"signal_id": "item_id", "signal_timestamp": "item_at"})
+    return happened.withColumn("kind", F.lit("EVENT")).unionByName(
+        said.withColumn("kind", F.lit("SIGNAL")), allowMissingColumns=True
     )
-    return happened.unionByName(said)
 
 
 # --- uplift history ------------------------------------------------------------------------
@@ -211,7 +198,7 @@ def tier_counts(profiles: DataFrame) -> DataFrame:
 
 def tier_average_spend(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("loyalty_tier").agg(
-        exact_avg(F.col("lifetime_spend_usd"), scale=2).alias("avg_lifetime_spend")
+        exact_avg(F.col("lifetime_spend_usd")).alias("avg_lifetime_spend")
     )
 
 

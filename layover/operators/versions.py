@@ -45,6 +45,20 @@ def replace_rows(
 # --- the log -------------------------------------------------------------------------------
 
 
+def commit(commits: DataFrame, snapshot: int, as_of=None) -> DataFrame:
+    """The commit log with one more snapshot, which must be newer than all others.
+
+    Write rows with ``add_rows`` or ``remove_rows`` first: a snapshot shows once it is committed.
+    """
+    newer = F.raise_error(F.lit("a snapshot must be newer than those committed"))
+    latest = commits.agg(F.max("snapshot_id").alias("latest"))
+    row = latest.select(
+        F.when(F.col("latest") >= snapshot, newer).otherwise(F.lit(snapshot)).cast(commits.schema["snapshot_id"].dataType).alias("snapshot_id"),
+        moment(as_of).cast(commits.schema["committed_at"].dataType).alias("committed_at"),
+    )
+    return commits.unionByName(row, allowMissingColumns=True)
+
+
 def snapshot_log(versions: DataFrame, commits: DataFrame) -> DataFrame:
     """Per snapshot: commit time, operation, rows added and removed.
 
@@ -80,7 +94,8 @@ def snapshot_log(versions: DataFrame, commits: DataFrame) -> DataFrame:
 def snapshot_history(commits: DataFrame) -> DataFrame:
     """When each snapshot became current, and the one before it.
 
-    Works on the commit log, one row per commit, never on the table's rows.
+    Works on the commit log of one table, one row per commit, never on the table's rows.  The log is
+    put in order by a single task: it must stay a log of commits, not of changes.
     """
     order = W.orderBy("committed_at", "snapshot_id")
     return commits.select(

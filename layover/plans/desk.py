@@ -56,7 +56,7 @@ class Desk:
         return rows_for(self.signals, "customer_id", customers)
 
     def operational_context(self, customers: Keys) -> DataFrame:
-        """Events and chat signals of customers as one long table."""
+        """All events and chat signals of customers, with all their columns."""
         return passengers.context_items(self.events_of(customers), self.signals_of(customers))
 
     def uplift_and_actions(self, customers: Keys) -> DataFrame:
@@ -65,7 +65,7 @@ class Desk:
     def profile_of(self, customers: Keys) -> DataFrame:
         return rows_for(self.profiles, "customer_id", customers)
 
-    def affected(self, event_prefix: str = passengers.ALL_AFFECTED) -> DataFrame:
+    def affected(self, event_prefix: str | None = None) -> DataFrame:
         return passengers.affected(self.events, event_prefix)
 
     def recent_events(self) -> DataFrame:
@@ -77,6 +77,14 @@ class Desk:
     def segment_cards(self) -> DataFrame:
         return passengers.segment_cards(self.profiles, self.uplift)
 
+    def push_trace(self, event_prefix: str | None = None) -> DataFrame:
+        """Why each affected passenger gets their action, step by step."""
+        routed = decisions.push_routing(self.affected(event_prefix), self.uplift, self.shelf)
+        return decisions.push_trace(routed, self.events, self.profiles)
+
+    def pull_trace(self, messages: DataFrame, as_of=None) -> DataFrame:
+        return decisions.decision_trace(decisions.concierge_steps(messages, self.audit, as_of))
+
     # --- about the audit log
 
     def results(
@@ -95,7 +103,8 @@ class Desk:
         return self.results("1w", "all", scenario, since, 20, as_of)
 
     def stats(self, window: str = "1d", as_of=None) -> DataFrame:
-        return au.execution_stats(self.audit, window, as_of)
+        """Counts, conversion and the rows by scenario, status and action of one window, as one row."""
+        return au.whole_stats(self.audit, window, as_of)
 
     def staging_of(self, customers: Keys) -> DataFrame:
         return au.latest_staging(rows_for(self.audit, "customer_id", customers))
@@ -122,7 +131,7 @@ class Desk:
 
     # --- whole jobs
 
-    def push(self, event_prefix: str = passengers.ALL_AFFECTED, as_of=None) -> tuple[DataFrame, DataFrame]:
+    def push(self, event_prefix: str | None = None, as_of=None) -> tuple[DataFrame, DataFrame]:
         """Decide for every affected passenger: (audit rows to append, inventory after holds).
 
         The decisions are written to the shared folder first: both results start from them.
@@ -132,15 +141,17 @@ class Desk:
         asked = routed.filter(F.col("status") == STAGED)
         return au.to_audit(routed, as_of=as_of), inventory.place_holds(self.inventory, asked)
 
-    def pull(self, messages: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def pull(self, messages: DataFrame, as_of=None, templates=None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Resolve answered chat messages: (audit rows, chat rows, inventory afterwards).
 
+        Per message a case is continued, held again or staged first (``decisions.concierge_steps``).
         The choices are written to the shared folder first, so that a few of them do not make the
         whole inventory move.
         """
-        resolved = decisions.pull_resolution(messages, self.audit, as_of)
+        steps = decisions.concierge_steps(messages, self.audit, as_of, templates)
+        resolved = decisions.resolutions(steps, as_of).unionByName(decisions.stagings(steps, as_of))
         said = messages.select("pnr", "customer_id", "message_text", "signal_id")
-        choices = settle(decisions.latest_choices(messages), "choices")
+        choices = settle(decisions.latest_choices(steps), "choices")
         after = inventory.confirm_and_release(self.inventory, choices)
         return resolved, to_chat(said, row_key="signal_id", as_of=as_of), after
 

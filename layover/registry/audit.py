@@ -135,6 +135,14 @@ query(
     ),
 )(lambda t: au.count_by_fields(t.exec))
 
+query(
+    "execution_breakdown",
+    " UNION ALL ".join(
+        f"SELECT '{f}' AS field, coalesce(nullif({f}, ''), 'UNKNOWN') AS value, count(*) AS n FROM v_exec WHERE {in_window(168)} GROUP BY 2"
+        for f in ("scenario", "status", "action_taken")
+    ),
+)(lambda t: au.execution_breakdown(t.exec, "1w", AS_OF))
+
 query(
     "metric_tiles",
     f"""SELECT unnest([0, 1, 2, 3, 4, 5]) AS "position",

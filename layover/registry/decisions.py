@@ -8,7 +8,7 @@ from layover.operators import decisions, inventory, passengers
 from layover.registry import audit as _audit  # noqa: F401  (shared oracle parts)
 from layover.registry import part, query
 from layover.registry.inventory import COLUMNS, inv
-from layover.registry.passengers import mean
+from layover.registry.passengers import mean, rounded
 from layover.sources import seeds
 from layover.sources.testviews import AS_OF
 
@@ -27,7 +27,7 @@ part(
 query(
     "guardrails",
     "SELECT customer_id, archetype, action_id, action_code, cost_usd, requires_human, mean_uplift, verdict, reasons FROM d_guard",
-)(lambda t: decisions.guardrails(t.uplift, seeds.action_shelf(t.spark)).drop("first_experiment"))
+)(lambda t: rounded(decisions.guardrails(t.uplift, seeds.action_shelf(t.spark)).drop("first_experiment"), "mean_uplift"))
 
 part(
     "d_best",
@@ -37,7 +37,7 @@ FROM d_archetype a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY customer
  FROM d_guard WHERE verdict <> 'BLOCK' AND mean_uplift > 0) b ON b.customer_id = a.customer_id AND b.rn = 1""",
 )
 query("best_action", "SELECT * FROM d_best")(
-    lambda t: decisions.best_action(t.uplift, seeds.action_shelf(t.spark))
+    lambda t: rounded(decisions.best_action(t.uplift, seeds.action_shelf(t.spark)), "mean_uplift")
 )
 
 part(
@@ -55,7 +55,7 @@ LEFT JOIN d_best b ON b.customer_id = e.customer_id""",
 
 
 def routed(t):
-    people = passengers.affected(t.flight_events, "EVT-")
+    people = passengers.affected(t.flight_events)
     return decisions.push_routing(people, t.uplift, seeds.action_shelf(t.spark))
 
 
@@ -69,6 +69,19 @@ part(
 )
 query("push_audit_rows", "SELECT * FROM d_push_audit")(lambda t: au.to_audit(routed(t), as_of=AS_OF))
 
+query(
+    "push_trace",
+    f"""SELECT customer_id, pnr, CAST(row_number() OVER (PARTITION BY customer_id, pnr ORDER BY k) AS INTEGER) AS step, phase, detail, source FROM (
+ SELECT customer_id, pnr, 1 AS k, 'TRIGGER' AS phase, (SELECT min(e.new_connection_mins) FROM v_flight_events e
+   WHERE e.misconnect_risk AND e.customer_id = p.customer_id AND e.pnr = p.pnr) || ' minutes left to connect' AS detail, 'SYSTEM' AS source FROM d_push p
+ UNION ALL SELECT p.customer_id, pnr, 2, 'PROFILE EVALUATION', 'Tier ' || loyalty_tier, 'Profile' FROM d_push p JOIN v_profile v ON v.customer_id = p.customer_id
+ UNION ALL SELECT customer_id, pnr, 3, 'ARCHETYPE', archetype, 'SYSTEM' FROM d_push
+ UNION ALL SELECT customer_id, pnr, 4, 'ICEBERG INVENTORY HOLD', 'Held: EK372, EK380', 'Inventory' FROM d_push WHERE status = 'STAGED_FOR_CONCIERGE'
+ UNION ALL SELECT customer_id, pnr, 5, 'DECISION (Scenario A)', action_taken || ': ' || status, 'SYSTEM' FROM d_push
+ UNION ALL SELECT customer_id, pnr, 6, 'PUSH NOTIFICATION', '{wording.PUSH_PROMPT.replace("'", "''")}', 'SYSTEM' FROM d_push WHERE status = 'STAGED_FOR_CONCIERGE')
+WHERE detail IS NOT NULL""",
+)(lambda t: decisions.push_trace(routed(t), t.flight_events, t.profile))
+
 HELD = """i.alternate_flight IN ('EK372', 'EK380') AND i.pnr IN (SELECT pnr FROM d_push WHERE action_taken = 'HOLD_AND_PROMPT')"""
 query(
     "push_holds",
@@ -133,7 +146,7 @@ FROM d_choice c JOIN (SELECT DISTINCT pnr, flight_chosen AS rule_flight, arrival
 
 query(
     "next_step",
-    """SELECT customer_id, step AS next_step, CASE WHEN step <> 'STAGE_FIRST' THEN case_id END AS case_id, messages, messages // 2 + 1 AS follow_up_number FROM (
+    """SELECT customer_id, step AS next_step, CASE WHEN step <> 'STAGE_FIRST' THEN case_id END AS case_id, messages, messages + 1 AS follow_up_number FROM (
  SELECT p.customer_id, s.case_id, coalesce(m.n, 0) AS messages,
  CASE WHEN s.exec_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_closed c WHERE c.case_id = s.case_id) THEN 'CONTINUE_STAGED_CASE'
   WHEN coalesce(m.n, 0) > 0 THEN 'HOLD_AGAIN_AND_CONTINUE' ELSE 'STAGE_FIRST' END AS step
@@ -141,15 +154,42 @@ query(
  LEFT JOIN (SELECT customer_id, count(*) AS n FROM v_chat GROUP BY 1) m ON m.customer_id = p.customer_id)""",
 )(lambda t: decisions.next_step(t.profile, t.exec, t.chat))
 
+part(
+    "d_steps",
+    """SELECT *, CASE WHEN nth = 1 AND open THEN 'CONTINUE_STAGED_CASE' WHEN turn > 0 THEN 'HOLD_AGAIN_AND_CONTINUE' ELSE 'STAGE_FIRST' END AS step
+FROM (SELECT f.*, s.case_id AS staged_case, row_number() OVER (PARTITION BY f.customer_id ORDER BY f.signal_timestamp, f.signal_id) AS nth,
+ s.exec_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_closed c WHERE c.case_id = s.case_id) AS open
+ FROM d_final f LEFT JOIN d_latest_staging s ON s.customer_id = f.customer_id)""",
+)
+part("d_restaged", "SELECT DISTINCT customer_id FROM d_steps WHERE step = 'STAGE_FIRST'")
+query(
+    "concierge_steps",
+    """SELECT signal_id, step, CASE WHEN step = 'STAGE_FIRST' OR (step = 'HOLD_AGAIN_AND_CONTINUE' AND customer_id IN (SELECT customer_id FROM d_restaged))
+  THEN 'CASE-' || customer_id || '-20240131000000' ELSE staged_case END AS case_id, turn // 2 + 1 AS follow_up_number FROM d_steps""",
+)(
+    lambda t: decisions.concierge_steps(t.agent_output, t.exec, as_of=AS_OF).select(
+        "signal_id", "step", "case_id", "follow_up_number"
+    )
+)
+part(
+    "d_new_staging",
+    f"""SELECT DISTINCT 'EXEC-2024-01-31-000000-' || customer_id || '-' || pnr AS exec_id, 'CASE-' || customer_id || '-20240131000000' AS case_id,
+ pnr, customer_id, 'PUSH_NBA' AS scenario, 'HOLD_AND_PROMPT' AS action_taken,
+ CAST(json_object('archetype', 'CHOICE_ORIENTED', 'held_flights', ['EK372', 'EK380'], 'push_prompt',
+  '{wording.PUSH_PROMPT.replace("'", "''")}', 'handoff', 'AWAITING_PASSENGER_CHOICE') AS VARCHAR) AS reasoning,
+ 'STAGED_FOR_CONCIERGE' AS status, true AS success_flag, TIMESTAMP '2024-01-31 00:00:00' AS executed_at FROM d_steps WHERE step = 'STAGE_FIRST'""",
+)
 part(
     "d_pull",
     """SELECT 'EXEC-2024-01-31-000000-' || f.customer_id || '-' || f.signal_id AS exec_id,
- coalesce(nullif(s.case_id, ''), 'CASE-' || f.customer_id || '-20240131000000') AS case_id, f.pnr, f.customer_id,
+ CASE WHEN step = 'STAGE_FIRST' OR (step = 'HOLD_AGAIN_AND_CONTINUE' AND f.customer_id IN (SELECT customer_id FROM d_restaged))
+  THEN 'CASE-' || f.customer_id || '-20240131000000'
+  ELSE coalesce(nullif(staged_case, ''), 'CASE-' || f.customer_id || '-20240131000000') END AS case_id, f.pnr, f.customer_id,
  'PULL_CONCIERGE' AS scenario, f.action_code AS action_taken,
  CAST(json_object('chosen_flight', chosen_flight, 'seat', seat, 'amenity', amenity, 'action_code', action_code,
   'chat_message', message_text, 'chat_turns', turn + 1, 'agent_reasoning', reasoning_summary) AS VARCHAR) AS reasoning,
  'SUCCESS' AS status, true AS success_flag, TIMESTAMP '2024-01-31 00:00:00' AS executed_at
-FROM d_final f LEFT JOIN d_latest_staging s ON s.customer_id = f.customer_id""",
+FROM d_steps f UNION ALL SELECT * FROM d_new_staging""",
 )
 query("pull_resolution", "SELECT * FROM d_pull")(
     lambda t: decisions.pull_resolution(t.agent_output, t.exec, as_of=AS_OF)

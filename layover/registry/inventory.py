@@ -7,6 +7,7 @@ from layover.operators.keys import rows_for
 from layover.registry import part, query
 from layover.registry import text as _text  # noqa: F401  (shared oracle parts)
 from layover.sources.schemas import SCHEMAS
+from layover.sources.tables import settle
 
 COLUMNS = SCHEMAS["concierge_inventory_lookup"].names
 AT_RISK = "SELECT pnr FROM v_flight_events WHERE misconnect_risk"
@@ -88,7 +89,7 @@ FREED = f"""CASE WHEN trim(replace(coalesce(c.release_flights, ''), ',', '')) <>
 query(
     "confirm_and_release",
     f"SELECT {inv(f'CASE WHEN {FREED} THEN {chr(39)}RELEASED{chr(39)} WHEN {CHOSEN} THEN {chr(39)}CONFIRMED{chr(39)} ELSE i.hold_status END', CONFIRM_STATE)} {JOINED}",
-)(lambda t: inventory.confirm_and_release(t.inventory, choices(t)))
+)(lambda t: inventory.confirm_and_release(t.inventory, settle(choices(t), "choices")))
 
 query(
     "release_candidates",
@@ -107,17 +108,21 @@ query(
 
 part(
     "d_pull_choices",
-    """SELECT pnr, arg_max(chosen_flight, signal_timestamp) AS chosen_flight FROM d_final GROUP BY pnr""",
+    """SELECT pnr, arg_max(chosen_flight, (signal_timestamp, signal_id)) AS chosen_flight,
+ arg_max(step <> 'CONTINUE_STAGED_CASE', (signal_timestamp, signal_id)) AS again FROM d_steps GROUP BY pnr""",
 )
+PULL_AGAIN = "(coalesce(c.again, false) AND i.alternate_flight IN ('EK372', 'EK380'))"
 PULL_CHOSEN = "coalesce(i.alternate_flight = c.chosen_flight, false)"
 PULL_FREED = "coalesce(i.alternate_flight = CASE c.chosen_flight WHEN 'EK372' THEN 'EK380' ELSE 'EK372' END, false) AND c.pnr IS NOT NULL"
 query(
     "pull_inventory",
-    f"""SELECT {inv(f"CASE WHEN {PULL_FREED} THEN 'RELEASED' WHEN {PULL_CHOSEN} THEN 'CONFIRMED' ELSE i.hold_status END",
-                 f"CASE WHEN {PULL_CHOSEN} THEN 'CONFIRMED' ELSE i.inventory_status END")}
+    f"""SELECT {inv(f"CASE WHEN {PULL_FREED} THEN 'RELEASED' WHEN {PULL_CHOSEN} THEN 'CONFIRMED' WHEN {PULL_AGAIN} THEN 'HELD' ELSE i.hold_status END",
+                 f"CASE WHEN {PULL_CHOSEN} THEN 'CONFIRMED' WHEN {PULL_AGAIN} THEN 'AVAILABLE' ELSE i.inventory_status END")}
 FROM v_inventory i LEFT JOIN d_pull_choices c ON c.pnr = i.pnr""",
 )(
-    lambda t: inventory.confirm_and_release(t.inventory, decisions.latest_choices(t.agent_output))
+    lambda t: inventory.confirm_and_release(
+        t.inventory, settle(decisions.latest_choices(decisions.concierge_steps(t.agent_output, t.exec)), "choices")
+    )
 )
 
 # --- general mutation ----------------------------------------------------------------------

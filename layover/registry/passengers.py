@@ -12,11 +12,15 @@ part(
     f"""SELECT * REPLACE (CAST(cost_usd AS DOUBLE) AS cost_usd) FROM ({seeds.values_sql('action_gesture_shelf')})
  AS s(action_id, action_code, action_description, cost_usd, requires_human, policy_notes)""",
 )
-MEAN = "CAST(sum(CAST({x} AS DECIMAL(18,{s}))) AS DOUBLE) / count({x})"
+DIGITS = 9  # means are compared to so many digits; a plain sum of doubles is no more exact
 
 
-def mean(x: str, scale: int = 4) -> str:
-    return MEAN.format(x=x, s=scale)
+def mean(x: str) -> str:
+    return f"(round(sum({x}) / count({x}), {DIGITS}) + 0.0)"  # no negative zero
+
+
+def rounded(df, *columns: str):
+    return df.withColumns({c: F.round(c, DIGITS) for c in columns})
 
 
 query("scan_flight_events", "SELECT * FROM v_flight_events")(lambda t: t.flight_events)
@@ -45,7 +49,7 @@ query(
     "affected_passengers",
     """SELECT DISTINCT customer_id, pnr, event_id, new_connection_mins, misconnect_risk
 FROM v_flight_events WHERE misconnect_risk AND event_id LIKE 'EVT-900%'""",
-)(lambda t: px.affected(t.flight_events))
+)(lambda t: px.affected(t.flight_events, "EVT-900"))
 
 
 @query(
@@ -58,7 +62,7 @@ def target_order(t):
     listed = t.profile.filter("loyalty_tier = 'PLATINUM'").select(
         "customer_id", F.col("lifetime_flights").alias("rank")
     )
-    return px.in_target_order(px.affected(t.flight_events, "EVT-"), listed)
+    return px.in_target_order(px.affected(t.flight_events), listed)
 
 
 query(
@@ -98,9 +102,9 @@ LEFT JOIN v_profile p ON p.customer_id = e.customer_id""",
 
 query(
     "context_items",
-    """SELECT customer_id, pnr, 'EVENT' AS kind, event_id AS item_id, event_timestamp AS item_at,
- flight_number || ' ' || itinerary || ': ' || orig_connection_mins || 'm → ' || new_connection_mins || 'm' AS detail FROM v_flight_events
-UNION ALL SELECT customer_id, pnr, 'SIGNAL', signal_id, signal_timestamp, message_text FROM v_chat""",
+    """SELECT customer_id, pnr, 'EVENT' AS kind, event_id AS item_id, event_timestamp AS item_at, flight_number, itinerary,
+ orig_connection_mins, new_connection_mins, misconnect_risk, NULL::VARCHAR AS sentiment, NULL::VARCHAR AS message_text FROM v_flight_events
+UNION ALL SELECT customer_id, pnr, 'SIGNAL', signal_id, signal_timestamp, NULL, NULL, NULL, NULL, NULL, sentiment, message_text FROM v_chat""",
 )(lambda t: px.context_items(t.flight_events, t.chat))
 
 # --- uplift --------------------------------------------------------------------------------
@@ -136,17 +140,18 @@ query(
     "uplift_by_segment",
     f"""SELECT archetype, action_id, count(*) AS experiments, {mean('uplift_score')} AS mean_uplift
 FROM v_uplift GROUP BY archetype, action_id""",
-)(lambda t: px.uplift_by_segment(t.uplift))
+)(lambda t: rounded(px.uplift_by_segment(t.uplift), "mean_uplift"))
 
 query(
     "holdout_lift",
-    f"""SELECT *, treated_mean - holdout_mean AS lift FROM (
+    f"""SELECT * REPLACE (round(treated_mean, {DIGITS}) + 0.0 AS treated_mean, round(holdout_mean, {DIGITS}) + 0.0 AS holdout_mean),
+ round(treated_mean - holdout_mean, {DIGITS}) + 0.0 AS lift FROM (
  SELECT archetype, action_id, count(*) FILTER (WHERE gesture_applied) AS treated,
  count(*) FILTER (WHERE NOT gesture_applied) AS holdout,
- {mean('CASE WHEN gesture_applied THEN uplift_score END')} AS treated_mean,
- {mean('CASE WHEN NOT gesture_applied THEN uplift_score END')} AS holdout_mean
+ avg(uplift_score) FILTER (WHERE gesture_applied) AS treated_mean,
+ avg(uplift_score) FILTER (WHERE NOT gesture_applied) AS holdout_mean
  FROM v_uplift GROUP BY archetype, action_id)""",
-)(lambda t: px.holdout_lift(t.uplift))
+)(lambda t: rounded(px.holdout_lift(t.uplift), "treated_mean", "holdout_mean", "lift"))
 
 query(
     "propensity_vs_uplift",
@@ -157,7 +162,7 @@ query(
 FROM v_profile p LEFT JOIN (SELECT customer_id, max(m) AS best_uplift FROM
  (SELECT customer_id, action_id, {mean('uplift_score')} AS m FROM v_uplift GROUP BY 1, 2) GROUP BY 1) b
  ON b.customer_id = p.customer_id""",
-)(lambda t: px.propensity_vs_uplift(t.profile, t.uplift))
+)(lambda t: rounded(px.propensity_vs_uplift(t.profile, t.uplift), "best_uplift"))
 
 # --- profiles ------------------------------------------------------------------------------
 
@@ -166,8 +171,8 @@ query("tier_counts", "SELECT loyalty_tier, count(*) AS passengers FROM v_profile
 )
 query(
     "tier_avg_spend",
-    f"SELECT loyalty_tier, {mean('lifetime_spend_usd', 2)} AS avg_lifetime_spend FROM v_profile GROUP BY 1",
-)(lambda t: px.tier_average_spend(t.profile))
+    f"SELECT loyalty_tier, {mean('lifetime_spend_usd')} AS avg_lifetime_spend FROM v_profile GROUP BY 1",
+)(lambda t: rounded(px.tier_average_spend(t.profile), "avg_lifetime_spend"))
 query(
     "top_propensity",
     """SELECT customer_id, loyalty_tier, base_retention_propensity FROM v_profile

@@ -29,7 +29,7 @@ def misconnect_trigger_stream(t):
 @query("chat_ingest_stream", "SELECT * FROM v_chat")
 def chat_ingest_stream(t):
     twice = stream_of(t, "v_chat").unionByName(stream_of(t, "v_chat"))
-    unique = ingest.first_seen(twice, "signal_id", "signal_timestamp")
+    unique = ingest.first_seen(twice, "signal_id", "signal_timestamp", lateness="2 hours")
     path = new_path(t.spark, "signals")
     ingest.drain(ingest.write_files(unique, path, f"{path}-state"))
     return t.spark.read.schema(unique.schema).parquet(path)
@@ -37,8 +37,10 @@ def chat_ingest_stream(t):
 
 @query("event_ingest_stream", "SELECT * FROM v_flight_events")
 def event_ingest_stream(t):
-    twice = stream_of(t, "v_flight_events").unionByName(stream_of(t, "v_flight_events"))
-    unique = ingest.first_seen(twice, "pnr", "event_timestamp")
+    # Several files in no order of time, one per batch, each followed by a repeat of it.
     path = new_path(t.spark, "events")
-    ingest.drain(ingest.write_batches(unique, path, f"{path}-state"))
-    return t.spark.read.schema(unique.schema).option("recursiveFileLookup", "true").parquet(path)
+    t.flight_events.repartition(4, "customer_id").write.parquet(f"{path}-in")
+    files = ingest.read_files(t.spark, f"{path}-in", t.flight_events.schema, files_per_batch=1)
+    query = ingest.write_first_seen(files.unionByName(files), path, f"{path}-state", "pnr", "event_timestamp")
+    ingest.drain(query)
+    return t.spark.read.schema(files.schema).option("recursiveFileLookup", "true").parquet(path)

@@ -8,6 +8,7 @@ from layover.functions.clock import parse_moment
 from layover.operators import chat, decisions
 from layover.operators import passengers as px
 from layover.registry import part, query
+from layover.sources.testviews import AS_OF
 
 
 def quoted(text: str) -> str:
@@ -164,6 +165,7 @@ query(
     "SELECT conv_id, count(*) AS chat_turns, (count(*) - 1) // 2 + 1 AS follow_up_number FROM v_turns GROUP BY conv_id",
 )(lambda t: chat.chat_turns(t.turns))
 
+PAGE = 1000  # more turns than a test conversation has
 part("d_last_turn", "SELECT conv_id, max(turn) AS last_turn FROM v_turns WHERE role = 'user' GROUP BY conv_id")
 query(
     "transcript",
@@ -172,7 +174,17 @@ query(
   '%s') AS transcript
 FROM d_last_turn l LEFT JOIN v_turns t ON t.conv_id = l.conv_id AND t.turn < l.last_turn GROUP BY l.conv_id"""
     % wording.NO_TURNS,
-)(lambda t: chat.transcripts(chat.prior_turns(t.turns), chat.latest_turn(t.turns)))
+)(lambda t: chat.transcripts(chat.prior_turns(t.turns), PAGE, chat.latest_turn(t.turns)))
+query(
+    "transcript_lines",
+    "SELECT conv_id, turn, '[' || upper(coalesce(role, 'passenger')) || ']: ' || coalesce(text, '') AS line FROM v_turns",
+)(lambda t: chat.transcript_lines(t.turns))
+query(
+    "transcript_pages",
+    """SELECT conv_id, turn // 2 AS page, count(*) AS turns,
+ string_agg('[' || upper(coalesce(role, 'passenger')) || ']: ' || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript
+FROM v_turns GROUP BY conv_id, turn // 2""",
+)(lambda t: chat.transcripts(t.turns, 2))
 
 # --- agent answers -------------------------------------------------------------------------
 
@@ -240,10 +252,14 @@ query("finalize_decision", f"SELECT signal_id, guardrail_applied, {', '.join(_F)
 query(
     "decision_trace",
     """SELECT signal_id, CAST(row_number() OVER (PARTITION BY signal_id ORDER BY k) AS INTEGER) AS step, phase, detail, source FROM (
- SELECT signal_id, 1 AS k, 'PASSENGER CHAT' AS phase, message_text AS detail, 'Passenger' AS source FROM d_final
- UNION ALL SELECT signal_id, 2, 'CONVERSATION HISTORY', CASE WHEN turn > 0 THEN turn || ' prior turn(s)' END, 'Dashboard' FROM d_final
- UNION ALL SELECT signal_id, 3, 'DECISION GUARDRAIL', CASE WHEN guardrail_applied THEN 'Decision aligned to the passenger''s words.' END, 'SYSTEM' FROM d_final
- UNION ALL SELECT signal_id, 4, 'AGENT DECISION', reasoning_summary, 'Agent' FROM d_final
- UNION ALL SELECT signal_id, 5, 'ACTION EXECUTED', 'Confirmed ' || chosen_flight || ' seat ' || seat || ' + ' || amenity || '.', 'Inventory' FROM d_final)
+ SELECT signal_id, 1 AS k, 'MULTI-TURN FOLLOW-UP' AS phase, CASE WHEN step = 'HOLD_AGAIN_AND_CONTINUE' THEN 'Follow-up ' || (turn // 2 + 1) || ' after ' || turn || ' turn(s).' END AS detail, 'Dashboard' AS source FROM d_steps
+ UNION ALL SELECT signal_id, 2, 'HANDOFF FROM SCENARIO A', 'Staged as ' || nullif(CASE WHEN step = 'STAGE_FIRST' OR (step = 'HOLD_AGAIN_AND_CONTINUE' AND customer_id IN (SELECT customer_id FROM d_restaged))
+  THEN 'CASE-' || customer_id || '-20240131000000' ELSE staged_case END, ''), 'Audit' FROM d_steps
+ UNION ALL SELECT signal_id, 3, 'PASSENGER CHAT', message_text, 'Passenger' FROM d_steps
+ UNION ALL SELECT signal_id, 4, 'CONVERSATION HISTORY', CASE WHEN turn > 0 THEN turn || ' earlier turn(s) known.' END, 'Dashboard' FROM d_steps
+ UNION ALL SELECT s.signal_id, 5, 'AGENTIC WORKFLOW', CASE WHEN a.agent_text <> '' THEN 'An agent answered.' END, 'Agent' FROM d_steps s JOIN v_agent_output a USING (signal_id)
+ UNION ALL SELECT signal_id, 6, 'DECISION GUARDRAIL', CASE WHEN guardrail_applied THEN 'Replaced to fit the message.' END, 'SYSTEM' FROM d_steps
+ UNION ALL SELECT signal_id, 7, 'AGENT DECISION', reasoning_summary, 'Agent' FROM d_steps
+ UNION ALL SELECT signal_id, 8, 'ACTION EXECUTED', chosen_flight || ', seat ' || seat || ', ' || amenity, 'Inventory' FROM d_steps)
 WHERE detail IS NOT NULL""",
-)(lambda t: decisions.decision_trace(t.agent_output))
+)(lambda t: decisions.decision_trace(decisions.concierge_steps(t.agent_output, t.exec, as_of=AS_OF)))

@@ -49,6 +49,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths handed out and not yet removed.
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder; nothing is ever overwritten."""
-    return f"{shared_dir(spark)}/layover-{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; nothing is ever overwritten.  ``sweep`` removes them."""
+    _PATHS.append(f"{shared_dir(spark)}/layover-{label}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Remove what was written under the paths handed out so far; how many there were.
+
+    For the session's owner, once no result that reads them is needed any more.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = 0
+    while _PATHS:
+        base = _PATHS.pop()
+        for suffix in ("", "-in", "-state"):
+            path = jvm.org.apache.hadoop.fs.Path(base + suffix)
+            found += bool(path.getFileSystem(conf).delete(path, True))
+    return found

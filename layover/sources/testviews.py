@@ -81,7 +81,7 @@ UPLIFT = View(
         "archetype": "CASE o_custkey % 4 WHEN 0 THEN 'SURE_THING' WHEN 1 THEN 'PERSUADABLE' WHEN 2 THEN 'SLEEPING_DOG' ELSE 'CHOICE_ORIENTED' END",
         "action_id": "'ACT-00' || CAST(1 + o_orderkey % 5 AS VARCHAR(1))",
         "gesture_applied": "o_orderstatus <> 'F'",
-        "uplift_score": "CAST(CAST(floor(o_totalprice) AS BIGINT) % 68 - 25 AS DOUBLE) / 100",
+        "uplift_score": "CAST(CAST(floor(o_totalprice) AS BIGINT) % 68 - 25 AS DOUBLE) / 100 + CAST(o_orderkey % 7 AS DOUBLE) / 10000000",
     },
 )
 

@@ -38,10 +38,11 @@ def read_files(
     return reader.parquet(folder)
 
 
-def first_seen(
-    stream: DataFrame, key: str, at: str, lateness: str = "2 hours", salts: int = 8
-) -> DataFrame:
-    """First arrival of each id; repeats within the lateness bound are dropped.
+def first_seen(stream: DataFrame, key: str, at: str, lateness: str, salts: int = 8) -> DataFrame:
+    """First arrival of each id in a live tail; repeats within the lateness bound are dropped.
+
+    A row that is later than the bound is dropped as well, which ``dropped_late`` counts.  Old files in
+    no order of time are no live tail: read them with ``write_first_seen``, which loses nothing.
 
     Repeats of one id may be a large share of the stream, and a streaming deduplication sends
     all of them to one task.  So they are first dropped per (id, salt), where the salt is taken
@@ -90,6 +91,48 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
+def _lacking(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def write_first_seen(stream: DataFrame, path: str, checkpoint: str, key: str, at: str) -> StreamingQuery:
+    """Write the first arrival of each id, whatever its time, one folder per micro-batch.
+
+    Within a batch the earliest row of an id counts, unknown times last; ids already in the folders of
+    earlier batches are left out.  Rows without an id are all kept.  No state is held and no row is
+    late; a batch that is run again overwrites its own folder and reads only those before it.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, columns = batch.sparkSession, batch.columns
+        rest = F.struct(*columns)
+        earliest = F.min_by(rest, F.struct(F.col(at).isNull().alias("unknown"), F.col(at), F.xxhash64(*columns)))
+        known = batch.filter(F.col(key).isNotNull())
+        fresh = known.groupBy(key).agg(earliest.alias("__row")).select("__row.*")
+        if not _lacking(spark, path):
+            before = spark.read.schema(f"`{key}` {dict(batch.dtypes)[key]}, batch_id long").parquet(path)
+            fresh = fresh.join(before.filter(F.col("batch_id") < batch_id).select(key), key, "left_anti")
+        rows = fresh.select(*columns).unionByName(batch.filter(F.col(key).isNull()))
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows a query has dropped because they came after the lateness bound, over its recent batches."""
+    return sum(
+        state["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress
+        for state in progress["stateOperators"]
+    )
+
+
 def drain(query: StreamingQuery) -> None:
     """Wait until the available input is used up; a failed query raises."""
     query.awaitTermination()

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from layover.session import configured_dir, tune  # noqa: E402
+from layover.session import configured_dir, sweep, tune  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF = "/root/testdata/sf0.01"
@@ -32,4 +32,9 @@ def make_session() -> SparkSession:
 
 @pytest.fixture(scope="session")
 def spark():
-    return make_session()
+    session = make_session()
+    yield session
+    for table in session.catalog.listTables():
+        if table.name.startswith("layover_"):
+            session.sql(f"DROP TABLE IF EXISTS {table.name}")
+    sweep(session)

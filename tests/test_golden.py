@@ -1,5 +1,7 @@
 """Expected answers on the golden rows."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from layover.plans.desk import Desk
 from layover.sources import seeds
 
 AS_OF = "2026-08-12 12:00:00"
+AS_OF_TIME = dt.datetime(2026, 8, 12, 11, 0)
 
 
 @pytest.fixture(scope="module")
@@ -253,6 +256,127 @@ def test_push_then_pull(spark, desk, david):
     assert stats["staged_to_completed_conversion_rate"] == 1.0
 
 
+def pull_of(spark, desk, staged_rows, turn, stock=None):
+    """Pull one message of CUST-404 against an audit log of the given (case, scenario, status) rows."""
+    from dataclasses import replace
+
+    from layover.sources.schemas import SCHEMAS
+
+    rows = [
+        (f"EXEC-{i}", case, "PNR-404D", "CUST-404", scenario, "HOLD_AND_PROMPT", None, status, True, AS_OF_TIME)
+        for i, (case, scenario, status) in enumerate(staged_rows)
+    ]
+    audit = spark.createDataFrame(rows, SCHEMAS["irop_execution_results"])
+    asked = spark.sql(
+        f"""SELECT 'SIG-9' AS signal_id, 'PNR-404D' AS pnr, 'CUST-404' AS customer_id, TIMESTAMP_NTZ '2026-08-12 12:01:00' AS signal_timestamp,
+        'CALM' AS sentiment, 'Dinner is cancelled' AS message_text, {turn} AS turn, 'EK380' AS agent_text"""
+    )
+    given = replace(desk, audit=audit, inventory=stock if stock is not None else desk.inventory)
+    resolved, _, after = given.pull(asked, as_of="2026-08-12 12:05:00")
+    return resolved.collect(), after
+
+
+CLOSED = [("CASE-OLD", "PUSH_NBA", "STAGED_FOR_CONCIERGE"), ("CASE-OLD", "PULL_CONCIERGE", "SUCCESS")]
+
+
+def test_a_new_chat_after_a_closed_case_is_staged_first(spark, desk):
+    rows, _ = pull_of(spark, desk, CLOSED, turn=0)
+    assert {(r["scenario"], r["status"]) for r in rows} == {
+        ("PUSH_NBA", "STAGED_FOR_CONCIERGE"), ("PULL_CONCIERGE", "SUCCESS"),
+    }
+    assert {r["case_id"] for r in rows} == {"CASE-CUST-404-20260812120500"}
+
+
+def test_a_follow_up_after_a_closed_case_continues_it(spark, desk):
+    rows, _ = pull_of(spark, desk, CLOSED, turn=2)
+    assert [(r["scenario"], r["case_id"]) for r in rows] == [("PULL_CONCIERGE", "CASE-OLD")]
+
+
+def test_an_open_case_is_continued(spark, desk):
+    rows, _ = pull_of(spark, desk, CLOSED[:1], turn=0)
+    assert [(r["scenario"], r["case_id"]) for r in rows] == [("PULL_CONCIERGE", "CASE-OLD")]
+
+
+def test_a_changed_mind_frees_what_was_confirmed(spark, desk):
+    choice = spark.createDataFrame([("PNR-404D", "EK372", "EK380")], "pnr string, chosen_flight string, release_flights string")
+    confirmed = inventory.confirm_and_release(desk.inventory, choice)
+    _, after = pull_of(spark, desk, CLOSED, turn=2, stock=confirmed)
+    state = {
+        r["alternate_flight"]: (r["hold_status"], r["inventory_status"])
+        for r in after.filter("pnr = 'PNR-404D'").collect()
+    }
+    assert state == {"EK372": ("RELEASED", "AVAILABLE"), "EK380": ("CONFIRMED", "CONFIRMED")}
+    changed = inventory.changed_rows(confirmed, after).collect()
+    assert {r["alternate_flight"] for r in changed} == {"EK372", "EK380"}
+
+
+def test_follow_up_number_counts_both_sides(spark, desk):
+    one = desk.signals.filter("customer_id = 'CUST-404'")
+    after = {r["customer_id"]: r["follow_up_number"] for r in desk.next_steps().collect()}
+    assert after["CUST-404"] == one.count() + 1
+
+
+def test_push_decides_for_everybody_at_risk(spark, desk):
+    from dataclasses import replace
+
+    others = desk.events.withColumn("event_id", F.concat(F.lit("X-"), "event_id")).withColumn("pnr", F.concat("pnr", F.lit("-X")))
+    more = replace(desk, events=desk.events.unionByName(others))
+    assert more.push(as_of=AS_OF)[0].count() == 2 * desk.push(as_of=AS_OF)[0].count()
+    assert more.push(event_prefix="X-", as_of=AS_OF)[0].count() == desk.push(as_of=AS_OF)[0].count()
+
+
+def test_a_slight_harm_is_blocked_and_a_slight_good_is_taken(spark, desk):
+    def verdicts(score):
+        history = desk.uplift.filter("experiment_id = 'none'").unionByName(
+            desk.uplift.limit(1).withColumns({"uplift_score": F.lit(score), "archetype": F.lit("PERSUADABLE"), "action_id": F.lit("ACT-001")})
+        )
+        row = decisions.guardrails(history, desk.shelf).collect()[0]
+        best = decisions.best_action(history, desk.shelf).collect()[0]
+        return row["verdict"], row["mean_uplift"], best["action_code"]
+
+    assert verdicts(-0.00004) == ("BLOCK", -0.00004, "NO_ACTION_MONITOR")
+    assert verdicts(0.00004) == ("ALLOW", 0.00004, "PROACTIVE_REBOOK_NOTIFY")
+    assert verdicts(1e14)[1] == 1e14
+    assert verdicts(1e30)[1] == 1e30
+
+
+def test_merge_inserts_source_rows_without_a_key(spark):
+    from layover.operators import mutate
+
+    table = spark.createDataFrame([(1, "a"), (None, "b")], "id int, data string")
+    source = spark.createDataFrame([(1, "x"), (None, "y"), (None, "z"), (2, "w")], "id int, data string")
+    got = mutate.merge_upsert(table, source, "id", {"data": F.col("new_data")})
+    assert sorted((str(r["id"]), r["data"]) for r in got.collect()) == [
+        ("1", "x"), ("2", "w"), ("None", "b"), ("None", "y"), ("None", "z"),
+    ]
+    keys = mutate.merge_upsert(table.select("id"), source.select("id"), "id", {})
+    assert keys.count() == 5
+
+
+def test_stats_hold_the_breakdowns(spark, desk):
+    from dataclasses import replace
+
+    audit, _ = desk.push(as_of=AS_OF)
+    row = replace(desk, audit=audit).stats(as_of=AS_OF).collect()[0]
+    assert row["by_scenario"] == {"PUSH_NBA": 4} and sum(row["by_action"].values()) == row["total_audit_rows"] == 4
+
+
+def test_a_commit_makes_a_snapshot_visible(spark):
+    commits = spark.sql("SELECT 1 AS snapshot_id, TIMESTAMP_NTZ '2026-01-01 00:00:00' AS committed_at")
+    after = versions.commit(commits, 2, as_of="2026-01-02 00:00:00")
+    assert [r["snapshot_id"] for r in after.orderBy("snapshot_id").collect()] == [1, 2]
+    with pytest.raises(Exception, match="newer"):
+        versions.commit(after, 2).collect()
+
+
+def test_templates_are_given(spark):
+    mine = {k: {f: f"{k} {f}" for f in wording.DECISION_FIELDS} for k in ("early", "later")}
+    mine["early"]["chosen_flight"], mine["later"]["chosen_flight"] = "EK372", "EK380"
+    asked = spark.sql("SELECT 'Dinner is cancelled' AS message_text, 'EK372' AS agent_text")
+    row = decisions.decide(asked, templates=mine).collect()[0]
+    assert (row["chosen_flight"], row["seat"], row["passenger_reply"]) == ("EK380", "later seat", "later passenger_reply")
+
+
 def test_desk_lookups(desk):
     assert desk.events_of("CUST-404").count() == 1
     assert desk.signals_of(["CUST-303", "CUST-202"]).count() == 2

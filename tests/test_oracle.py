@@ -7,7 +7,7 @@ from tests.compare import difference, oracle_connection
 from tests.conftest import SF_SMALL
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-ROWS_ONLY = {"sample_rows", "table_layout", "data_files"}
+ROWS_ONLY = {"sample_rows"}
 
 
 @pytest.fixture(scope="module")

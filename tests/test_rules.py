@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from layover.functions import clock, outcome
+from layover.functions import clock, outcome, wording
 from layover.functions import text as tx
 from layover.operators import audit as au
 from layover.operators import chat
@@ -35,6 +35,14 @@ AT = dt.datetime(2026, 8, 12, 11, 30, 5)
         ("2026-08-12T11:30:05.250000+00:00", AT.replace(microsecond=250000)),
         ("Wed, 12 Aug 2026 11:30:05 GMT", AT),
         ("2026-08-12", dt.datetime(2026, 8, 12)),
+        ("2026-08-12T11", AT.replace(minute=0, second=0)),
+        ("2026-08-12T11:30", AT.replace(second=0)),
+        ("20260812T113005", AT),
+        ("20260812T113005Z", AT),
+        ("20260812T113005+0400", AT),
+        ("20260812T1130", AT.replace(second=0)),
+        ("20260812T11", AT.replace(minute=0, second=0)),
+        ("20260812", dt.datetime(2026, 8, 12)),
         ("2026", None),
         ("2026-13-01 00:00:00", None),
         ("Wed, 12 Foo 2026 11:30:05 GMT", None),
@@ -276,5 +284,5 @@ def test_the_present_is_the_default(spark):
 
 def test_silent_conversations_get_the_notice(spark):
     turns = spark.sql("SELECT * FROM VALUES (1L, 0L, 'user', 'hi') AS t(conv_id, turn, role, text)")
-    rows = chat.transcripts(chat.prior_turns(turns), turns).collect()
-    assert [r["transcript"] for r in rows] == ["(no prior turns — this is the first concierge message)"]
+    rows = chat.transcripts(chat.prior_turns(turns), 100, turns).collect()
+    assert [r["transcript"] for r in rows] == [wording.NO_TURNS]

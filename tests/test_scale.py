@@ -300,7 +300,7 @@ def test_last_state_by_aggregation_matches_the_timeline(spark, long_chat):
 def test_transcript_pages_join_to_the_whole(spark, long_chat):
     _, rows = long_chat
     turns = spark.createDataFrame([(c, t, "user", s) for c, t, s in rows], "conv_id long, turn long, role string, text string")
-    pages = chat.transcripts(turns, page_turns=50).orderBy("page").collect()
+    pages = chat.transcripts(turns, 50).orderBy("page").collect()
     whole = {}
     for r in pages:
         assert r["turns"] <= 50

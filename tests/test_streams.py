@@ -48,7 +48,7 @@ def drop_repeats_twice(spark, folder, salts):
 
     def run():
         stream = ingest.read_files(spark, f"{folder}/in", chat.schema, files_per_batch=1)
-        unique = ingest.first_seen(stream, "signal_id", "signal_timestamp", salts=salts)
+        unique = ingest.first_seen(stream, "signal_id", "signal_timestamp", lateness="2 hours", salts=salts)
         ingest.drain(ingest.write_files(unique, f"{folder}/out", f"{folder}/state"))
         return keys(spark.read.schema(chat.schema).parquet(f"{folder}/out"), "signal_id")
 
@@ -63,7 +63,7 @@ def test_a_hot_id_with_many_copies_leaves_one(spark, folder):
     hot = chat.limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("copy")
     chat.unionByName(hot).repartition(6).write.parquet(f"{folder}/in")
     stream = ingest.read_files(spark, f"{folder}/in", chat.schema)
-    unique = ingest.first_seen(stream, "signal_id", "signal_timestamp")
+    unique = ingest.first_seen(stream, "signal_id", "signal_timestamp", lateness="2 hours")
     ingest.drain(ingest.write_files(unique, f"{folder}/out", f"{folder}/state"))
     assert keys(spark.read.schema(chat.schema).parquet(f"{folder}/out"), "signal_id") == keys(chat, "signal_id")
 
@@ -77,3 +77,32 @@ def test_batch_folders_hold_each_row_once_when_a_batch_runs_again(spark, folder)
         ingest.drain(ingest.write_batches(stream, f"{folder}/out", f"{folder}/state-{attempt}"))
     got = spark.read.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
     assert keys(got, "pnr") == keys(events, "pnr")
+
+
+def four_files(spark, folder):
+    """Events in four files in no order of time, some times unknown, and every row a second time."""
+    events = spark_view(spark, SF_SMALL, "v_flight_events").withColumn(
+        "event_timestamp", F.expr("CASE WHEN pmod(hash(pnr), 10) = 0 THEN NULL ELSE event_timestamp END")
+    )
+    events.repartition(4, "customer_id").write.parquet(f"{folder}/in")
+    events.repartition(2, "pnr").write.mode("append").parquet(f"{folder}/in")
+    return events, ingest.read_files(spark, f"{folder}/in", events.schema, files_per_batch=1)
+
+
+def test_old_files_in_any_order_lose_nothing(spark, folder):
+    events, stream = four_files(spark, folder)
+    for _ in range(2):  # the second run finds nothing new
+        ingest.drain(ingest.write_first_seen(stream, f"{folder}/out", f"{folder}/state", "pnr", "event_timestamp"))
+    got = spark.read.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    assert keys(got, "pnr") == keys(events, "pnr")
+    assert got.filter("event_timestamp IS NULL").count() == events.filter("event_timestamp IS NULL").count()
+
+
+def test_a_live_tail_counts_what_came_too_late(spark, folder):
+    events, stream = four_files(spark, folder)
+    unique = ingest.first_seen(stream, "pnr", "event_timestamp", lateness="1 hour")
+    query = ingest.write_files(unique, f"{folder}/out", f"{folder}/state")
+    ingest.drain(query)
+    written = spark.read.schema(events.schema).parquet(f"{folder}/out")
+    assert ingest.dropped_late(query) > 0
+    assert written.select("pnr").distinct().count() + ingest.dropped_late(query) >= events.count()
