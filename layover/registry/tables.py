@@ -40,7 +40,9 @@ def _schema_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
-query("table_schemas", _schema_sql())(lambda t: tables.schema_report(declared(t)))
+query("table_schemas", _schema_sql())(
+    lambda t: tables.schema_report(declared(t)).join(tables.fill_report(declared(t)), ["table_name", "column_name"])
+)
 
 query(
     "table_row_counts",
@@ -112,11 +114,12 @@ def insert_select(t):
     return t.spark.table(name)
 
 
-@query("table_layout")
+@query("table_layout", "SELECT * FROM (VALUES ('Provider', 'parquet'), ('Type', 'EXTERNAL')) AS t(col_name, data_type)")
 def table_layout(t):
     name, path = _table_name("layout"), new_path(t.spark, "layout")
     tables.create_from(t.exec, name, path)
-    return tables.layout(t.spark, name)
+    found = tables.layout(t.spark, name)
+    return found.filter(F.col("col_name").isin("Provider", "Type")).select("col_name", "data_type")
 
 
 _FIELDS = {f.name: f.name for f in SCHEMAS["irop_execution_results"].fields}
@@ -125,4 +128,8 @@ query(
     "rows_as_json",
     f"""SELECT CAST(json_object({", ".join(f"'{name}', {value}" for name, value in _FIELDS.items())}) AS VARCHAR) AS "row" FROM v_exec""",
 )(lambda t: tables.rows_as_json(t.exec))
-query("data_files")(lambda t: tables.data_files(t.base("lineitem")))
+query("data_files", "SELECT 'lineitem.parquet' AS file_name, count(*) AS \"rows\" FROM lineitem")(
+    lambda t: tables.data_files(t.base("lineitem")).select(
+        F.substring_index("file_path", "/", -1).alias("file_name"), "rows"
+    )
+)

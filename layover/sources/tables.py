@@ -116,27 +116,25 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def schema_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Declared columns per table with the type found and how many values are filled in."""
+    """Declared columns per table with the type found.  Reads schemas only, no rows."""
+    rows = [
+        (name, i, f.name, f.dataType.simpleString(), dict(df.dtypes).get(f.name) == f.dataType.simpleString())
+        for name, df in tables.items()
+        for i, f in enumerate(SCHEMAS[name].fields, start=1)
+    ]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(
+        rows, "table_name string, ordinal int, column_name string, declared_type string, as_declared boolean"
+    )
+
+
+def fill_report(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Filled values per declared column: one scan of every table."""
 
     def one(name: str, df: DataFrame) -> DataFrame:
-        found = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-        filled = df.agg(*[F.count(f.name).alias(f.name) for f in SCHEMAS[name].fields])
-        rows = F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("table_name"),
-                        F.lit(i).alias("ordinal"),
-                        F.lit(f.name).alias("column_name"),
-                        F.lit(f.dataType.simpleString()).alias("declared_type"),
-                        F.lit(found.get(f.name) == f.dataType.simpleString()).alias("as_declared"),
-                        F.col(f.name).alias("filled_values"),
-                    )
-                    for i, f in enumerate(SCHEMAS[name].fields, start=1)
-                ]
-            )
-        )
-        return filled.select(rows.alias("r")).select("r.*")
+        columns = [f.name for f in SCHEMAS[name].fields]
+        filled = df.agg(*[F.count(c).alias(c) for c in columns])
+        return filled.unpivot([], columns, "column_name", "filled_values").withColumn("table_name", F.lit(name))
 
     return _union([one(name, df) for name, df in tables.items()])
 
