@@ -7,7 +7,7 @@ from layover.operators import audit as au
 from layover.operators import decisions, inventory, passengers
 from layover.registry import audit as _audit  # noqa: F401  (shared oracle parts)
 from layover.registry import part, query
-from layover.registry.inventory import COLUMNS, inv
+from layover.registry.inventory import inv
 from layover.registry.passengers import mean, rounded
 from layover.sources import seeds
 from layover.sources.testviews import AS_OF

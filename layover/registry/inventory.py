@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from layover.operators import decisions, inventory, mutate, passengers
-from layover.operators.keys import rows_for
+from layover.operators import decisions, inventory, mutate
 from layover.registry import part, query
 from layover.registry import text as _text  # noqa: F401  (shared oracle parts)
 from layover.sources.schemas import SCHEMAS

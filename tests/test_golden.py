@@ -430,3 +430,21 @@ def test_final_decision(spark, message, flight, reason, reply, chosen, replaced,
     assert row["action_code"] == prepared["action_code"]
     assert row["reasoning_summary"] == (reason if kept else prepared["reasoning_summary"])
     assert row["seat"] == ("9F" if kept else prepared["seat"])
+
+
+def test_phrases_are_these():
+    """The fixed phrases, spelt out once more, so that a slip in the library does not pass unseen."""
+    assert wording.CHANGE_OF_MIND == [
+        "dinner is cancelled", "dinner cancelled", "dinner canceled", "change of plans", "prefer to take some rest",
+        "later flight", "meet a friend at airport", "meet a friend",
+    ]
+    assert wording.CANCELLATION_CLAIMS == [
+        "dinner cancel", "cancelling their dinner", "cancelled their dinner", "canceled their dinner", "cancel their dinner",
+        "change of mind", "updated preference after cancel", "no longer needs to land before", "constraint lifted",
+        "later flight suits", "prefers the later", "prefer the later", "allows more rest",
+        "lounge access instead of a quiet pod",
+    ]
+    assert (wording.EARLY_FLIGHT, wording.LATER_FLIGHT, wording.HANDOFF) == ("EK372", "EK380", "AWAITING_PASSENGER_CHOICE")
+    assert [wording.TEMPLATES[k]["action_code"] for k in ("early", "later")] == [
+        "CONFIRM_REBOOK_QUIET_POD", "CONFIRM_REBOOK_LATER_LOUNGE",
+    ]

@@ -7,12 +7,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from layover import registry
 from layover.functions import text as tx
 from layover.operators import audit as au
-from layover.operators import chat, inventory, mutate, passengers
+from layover.operators import chat, decisions, inventory, mutate, passengers
 from layover.operators.keys import attach, match, one_row_per_key, rows_for
 from layover.session import RUNTIME_CONF, new_path, tune
+from layover.sources import seeds
 from layover.sources.testviews import AS_OF, spark_view
 from tests.conftest import SF, SF_SMALL
 
@@ -52,10 +53,10 @@ SMALL_SKEW = {
 # --- plans ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - STREAMS))
 def test_no_pairing_and_no_python_in_any_plan(spark, name):
     with conf(spark, **NO_BROADCAST):
-        plan = plan_of(entry.queries()[name](spark, SF_SMALL))
+        plan = plan_of(registry.queries()[name](spark, SF_SMALL))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "Generate explode(sequence"):
         assert bad not in plan
 
@@ -88,7 +89,7 @@ def test_stats_read_only_their_columns(spark):
 def test_projections_do_not_shuffle(spark):
     for name in ("disruption_board", "context_items", "change_of_mind", "audit_reasoning", "parse_decision",
                  "finalize_decision", "misconnect_trigger", "profile_fields", "cat_failed", "read_snapshot"):
-        assert "Exchange" not in plan_of(entry.queries()[name](spark, SF_SMALL)), name
+        assert "Exchange" not in plan_of(registry.queries()[name](spark, SF_SMALL)), name
 
 
 def test_latest_rows_are_cut_before_the_shuffle(spark):
@@ -346,3 +347,29 @@ def test_hot_profile_text_is_parsed_once_per_row(spark):
     lines = "\n".join(f"Field {i}: {i}" for i in range(200))
     row = spark.range(1).select(tx.profile_fields(F.lit(lines)).alias("f")).collect()[0]
     assert len(row["f"]) == 200
+
+
+@pytest.mark.parametrize("what", ["push_routing", "rules_baseline", "rules_contrast"])
+def test_only_the_rows_of_those_asked_about_are_folded(spark, what):
+    """The semi join stands below the aggregate, so nobody else's history or flights are folded."""
+    view = lambda name: spark_view(spark, SF_SMALL, f"v_{name}")
+    few = view("flight_events").limit(5)
+    made = {
+        "push_routing": lambda: decisions.push_routing(passengers.affected(few), view("uplift"), seeds.action_shelf(spark)),
+        "rules_baseline": lambda: decisions.rules_baseline(few, view("profile"), view("inventory")),
+        "rules_contrast": lambda: decisions.rules_contrast(few, view("profile"), view("chat"), view("inventory")),
+    }
+    plan = made[what]()._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    base = "o_totalprice" if what == "push_routing" else "l_quantity"
+
+    def above(i):
+        return [k for k in range(i) if depth[k] < depth[i] and all(depth[m] > depth[k] for m in range(k + 1, i + 1))]
+
+    scans = [i for i, line in enumerate(lines) if "Relation [" in line and base in line]
+    folded = [i for i in scans if any("Aggregate" in lines[k] and "Distinct" not in lines[k] for k in above(i))]
+    assert any(
+        any("LeftSemi" in lines[k] for k in above(i)[above(i).index(a):])
+        for i in folded for a in above(i) if "Aggregate" in lines[a]
+    )
