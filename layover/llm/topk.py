@@ -163,21 +163,20 @@ def search_all(k: int):
 def top_k(rows: DataFrame, every: int, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``, against all rows."""
     known = usable(rows.select(F.col("vec_id").cast("long"), "embedding"))
-    sizes = known.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    shards = F.greatest(F.ceil(F.col("n") / shard_rows), F.lit(1)).cast("int")
-    dealt = known.join(sizes, "dim")
+    total = known.count()
+    shards = max(1, -(-total // shard_rows))
     # Repeated ids are spread by their vectors, so one id cannot fill a shard.
-    sharded = dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), shards).cast("int"))
+    sharded = known.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
     indexed = sharded.select("dim", "shard", "vec_id", "embedding").groupBy("dim", "shard").applyInArrow(
         trees, "dim int, shard int, tree binary"
     )
-    asked = dealt.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = F.greatest(F.ceil(F.col("n") / every / BLOCK_QUERIES), F.lit(1)).cast("int")
-    blocked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("query")), blocks).cast("int"))
+    asked = known.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    blocked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks)).cast("int"))
     queries = blocked.select("dim", "block", "vec_id", "embedding").groupBy("dim", "block").applyInArrow(
         query_blocks, "dim int, block int, queries binary"
     )
-    everywhere = queries.join(sizes, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
+    everywhere = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     pairs = everywhere.join(indexed, ["dim", "shard"]).select("dim", "block", "queries", "tree")
     answers = pairs.mapInArrow(search_all(k), ANSWERS)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
