@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from layover.llm.components import components
 from layover.llm.vectors import matrix, packed, unpacked, usable
+from layover.operators.keys import match
 
 COSINE = 0.98
 BLOCK_ROWS = 2048
@@ -31,6 +32,9 @@ LEAF = 24
 #: Children of one node that are compared at once with all children of another.
 STRIP = 512
 
+#: A table of labels with at most this many rows is broadcast.
+BROADCAST_LABELS = 10_000
+
 FOUND = "id long, links long, root long"
 
 
@@ -174,9 +178,12 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, block_rows: int = BLOC
     folded = known.select("vec_id", "embedding", "label", "dim", *prints).groupBy(*key).agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.any_value("embedding").alias("embedding")
     ).checkpoint()
-    sizes = folded.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    sizes = folded.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     n_blocks = F.ceil(F.col("n") / block_rows).cast("int")
-    dealt = folded.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("f2", "f1"), n_blocks).cast("int"))
+    # A label may own any share of the rows: they are not moved to their number, or split by the join.
+    few = sizes.count() <= BROADCAST_LABELS
+    sized = folded.join(F.broadcast(sizes), ["label", "dim"]) if few else match(folded, sizes, ["label", "dim"], "inner")
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("f2", "f1"), n_blocks).cast("int"))
     grown = dealt.select("label", "dim", "block", "id", "weight", "embedding").groupBy("label", "dim", "block").applyInArrow(
         blocks, f"label {dict(rows.dtypes)['label']}, dim int, block int, tree binary"
     ).checkpoint()
