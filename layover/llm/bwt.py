@@ -38,7 +38,9 @@ PLACE_BITS = 28
 #: Bytes of segments that one task merges.
 TASK_BYTES = 3 << 20
 
-OCCURRENCES = "doc_id long, start int, n int, anchor long, segment long"
+#: ``at`` holds a segment's first byte and, in its low bits, its windows less one: they are 31 at most.
+OCCURRENCES = "doc_id long, at long, anchor long, segment long"
+WINDOW_BITS = 5
 FIRSTS = "anchor long, segment long, runs array<struct<at:int,first:long>>"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,end:int>>"
 
@@ -81,7 +83,7 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(block.first, block.n).take(pa.array(text)),
-                    pa.array((start - block.offsets[text]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                    pa.array(((start - block.offsets[text]) << WINDOW_BITS) + n - 1),
                     pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)),
                 ],
                 names=[f.split()[0] for f in OCCURRENCES.split(", ")],
@@ -195,6 +197,12 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from whole.to_batches(max_chunksize=20_000)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """``at`` as the first byte (start) and the number of windows (n)."""
+    n = F.col("at").bitwiseAND(F.lit((1 << WINDOW_BITS) - 1)) + 1
+    return rows.withColumn("start", F.shiftright("at", WINDOW_BITS).cast("int")).withColumn("n", n.cast("int")).drop("at")
+
+
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the union of their ranges."""
     for batch in batches:
@@ -233,9 +241,9 @@ def repeated_ranges(plain: DataFrame) -> DataFrame:
     both = stands.withColumn("low", F.min("doc_id").over(by_anchor)).withColumn("high", F.max("doc_id").over(by_anchor))
     shared = keep(both.filter("low < high").drop("low", "high"), "bwt-anchors")
     release(spark)
-    place = F.min(F.struct("doc_id", "start", "n")).alias("at")
-    segments = shared.groupBy("anchor", "segment").agg(place).withColumn("kinds", F.count(F.lit(1)).over(by_anchor))
-    segments = keep(segments.select("anchor", "segment", "at.*", "kinds"), "bwt-segments")
+    first = F.min(F.struct("doc_id", "at")).alias("first")
+    segments = shared.groupBy("anchor", "segment").agg(first).withColumn("kinds", F.count(F.lit(1)).over(by_anchor))
+    segments = placed(keep(segments.select("anchor", "segment", "first.*", "kinds"), "bwt-segments"))
     several = segments.filter("kinds > 1")
     size = several.agg(F.sum(F.col("n") + LENGTH - 1)).first()[0] or 0
     raw = F.encode("text", "UTF-8")
@@ -249,7 +257,7 @@ def repeated_ranges(plain: DataFrame) -> DataFrame:
     )
     firsts = keep(merged.unionByName(alone), "bwt-firsts")
     release(spark)
-    judged = shared.join(firsts, ["anchor", "segment"])
+    judged = placed(shared.join(firsts, ["anchor", "segment"]))
     stop = lambda k: F.coalesce(F.get("runs", k + 1)["at"], F.col("n"))
     ranges = F.transform(
         "runs",

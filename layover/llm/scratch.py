@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 
 from layover.session import new_path
@@ -20,8 +24,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the session drop shuffle files of steps that are over; a driver with idle memory keeps them."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the session drop shuffle files of steps that are over, and give the driver's free memory back.
+
+    A driver with idle memory keeps both.  The first collection lets go of the plans, the second of the
+    shuffles they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
