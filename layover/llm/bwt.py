@@ -100,7 +100,7 @@ def suffixes(codes: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(9)) | wide[k : k + n]
     reach = 6
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get equal ranks, so their order is free
         ordered = key[order]
         rank = np.empty(n, dtype=np.uint64)
         rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])).astype(np.uint64)
@@ -128,12 +128,15 @@ def interleave(one: np.ndarray, two: np.ndarray, rounds: int) -> tuple[np.ndarra
     interval = np.zeros(n, dtype=np.int32)
     codes = np.empty(n, dtype=one.dtype)
     cut = np.zeros(n, dtype=bool)
+    counts = np.bincount(one, minlength=256) + np.bincount(two, minlength=256) if one.dtype == np.uint8 else np.bincount(np.append(one, two))
+    first = (np.cumsum(counts) - counts)[counts > 0][1:]
     for _ in range(rounds):
         codes[~source] = one
         codes[source] = two
         order = np.argsort(codes, kind="stable")
-        source, interval, ordered = source[order], interval[order], codes[order]
-        cut[1:] = (ordered[1:] != ordered[:-1]) | (interval[1:] != interval[:-1])
+        source, interval = source[order], interval[order]
+        np.not_equal(interval[1:], interval[:-1], out=cut[1:])
+        cut[first] = True  # where the next code begins
         interval = np.cumsum(cut, dtype=np.int32)
     return source, interval
 
