@@ -98,14 +98,14 @@ def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iter
 class Hasher:
     """Finds and hashes the words of blocks; keeps its tables from block to block."""
 
-    def __init__(self, lower: bool):
-        self.values, self.space = byte_values(lower), space_bytes()
+    def __init__(self, lower: bool, block: int = BLOCK_BYTES):
+        self.values, self.space, self.block = byte_values(lower), space_bytes(), block
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """Hash of data[s:e] is (p[e] - p[s]) * down[s]."""
         if len(self.up) <= len(data):
-            size = max(len(data) + 1, BLOCK_BYTES + 1)
+            size = max(len(data) + 1, self.block + 1)
             self.up, self.down = powers(BASE, size), powers(INVERSE, size)
         out = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self.values[data] * self.up[: len(data)], out=out[1:])

@@ -26,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layover.llm.blocks import Block, Hasher, Lookup, Words, blocks, mix
+from layover.llm.blocks import BLOCK_BYTES, Block, Hasher, Lookup, Words, blocks, mix
 from layover.llm.samples import Sample, calibrate, fold, probability, sample
+from layover.llm.scratch import release
 
 DISCOUNT = 0.75
 #: Bytes of a word that are looked at, its end counting as one.
 DEPTH = 12
 #: Beginnings found in fewer documents of the sample are not told apart from unseen ones.
 CUTOFF = 2
+#: Bytes of the sample that the driver spells at once.
+SAMPLE_BLOCK = 1 << 18
 ROOT = np.uint64(0x5BF0A8B1456ABCDE)
 LENGTH_FACTOR, END = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
 
@@ -75,24 +78,26 @@ def steps(spelling: Spelling) -> Iterator[tuple[int, np.ndarray]]:
         yield k, which
 
 
-def spellings(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[Block, Words, Spelling]]:
-    hasher = Hasher(lower=True)
-    for block in blocks(texts):
+def spellings(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[tuple[Block, Words, Spelling]]:
+    hasher = Hasher(lower=True, block=limit)
+    for block in blocks(texts, limit):
         words = hasher.words(block)
         yield block, words, Spelling.of(hasher, block, words)
 
 
 def beginnings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, key of what it continues, documents) of every beginning in the texts."""
-    keys, parents, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for _, _, spelling in spellings(pa.array(texts, pa.string())):
+    found = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    for _, _, spelling in spellings(pa.array(texts, pa.string()), SAMPLE_BLOCK):
+        # Merged block by block, so that only different beginnings are held.
+        parts = [found]
         for k, which in steps(spelling):
-            keys.append(spelling.beginning(which, k))
-            parents.append(spelling.beginning(which, k - 1) if k else np.full(len(which), ROOT))
-            counts.append(spelling.documents[which])
-    found, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    n = np.bincount(place, weights=np.concatenate(counts), minlength=len(found))
-    return found, np.concatenate(parents)[first], n
+            parent = spelling.beginning(which, k - 1) if k else np.full(len(which), ROOT)
+            parts.append((spelling.beginning(which, k), parent, spelling.documents[which]))
+        keys, first, place = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([p[2] for p in parts]), minlength=len(keys))
+        found = keys, np.concatenate([p[1] for p in parts])[first], n.astype(np.int32)
+    return found
 
 
 def corpus_counts(keys: np.ndarray):
@@ -202,9 +207,12 @@ def train(docs: DataFrame, found: Sample) -> Model:
     shared[np.searchsorted(keys, counts.column("key").to_numpy().astype(np.int64).view(np.uint64))] = counts.column("n").to_numpy()
     model = build(counted, keys, parents, shared)
     tune = np.flatnonzero(found.tune)
-    features = [model.features(b.n, w, s) for b, w, s in spellings(pa.array([found.texts[i] for i in tune], pa.string()))]
+    kept = pa.array([found.texts[i] for i in tune], pa.string())
+    features = [model.features(b.n, w, s) for b, w, s in spellings(kept, SAMPLE_BLOCK)]
     slope, model.shift = calibrate(np.concatenate([np.zeros((0, 2)), *features]), found.labels[tune], found.share)
     model.slope = tuple(slope)
+    del learn, counted, counts, features, kept
+    release(spark)
     return model
 
 
