@@ -7,12 +7,13 @@ estimate of their similarity; pairs estimated at 0.5 or more are confirmed on th
 at 0.75 is missed by all bands, or estimated below 0.5, with a probability under 1e-9.
 
 Equal sets are folded into one class first.  Within a bucket nobody is compared with everybody: all
-members meet one centre, confirmed links make components, and centres are drawn anew for those still
-apart.  At the end every pair of a bucket that is still in different components is compared, so no
-component is split for lack of a comparison.
+members meet one centre, confirmed links join labels, and centres are drawn anew for those still apart.
+At the end every pair of a bucket that still has different labels is compared, so no component is split
+for lack of a comparison.
 
 Null or wordless texts have an empty set and link with nothing.  A null id links with nothing, has no
-component and is kept.  Rows that share an id are one document: it links if one of its rows does.
+component and is kept.  Ids are expected to be unique; of rows that share one, each has its own set, and
+all link as the document of that id.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layover.llm.blocks import Block, Hasher, blocks, mix, shingles
+from layover.llm.blocks import Hasher, blocks, mix, shingles
 from layover.llm.components import components
-from layover.llm.scratch import keep
+from layover.llm.scratch import keep, release
 
 WIDTH = 5
 HASHES, BITS = 128, 4
@@ -35,7 +36,9 @@ LONGS = HASHES * BITS // 64
 #: Candidates estimated below this similarity are not confirmed: six standard errors under 0.75.
 ESTIMATE = 0.5
 #: Rounds in which a bucket's members meet one centre, before the rest is compared pair by pair.
-CENTRE_ROUNDS = 4
+CENTRE_ROUNDS = 3
+#: At most so many ids (eight bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>, bands array<long>"
 
@@ -140,18 +143,70 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures look similar enough to be confirmed."""
+    """Distinct pairs (a, b) whose signatures look similar enough to be confirmed."""
     left = signed.select(F.col("doc_id").alias("a"), F.col("sig").alias("__sa"))
     right = signed.select(F.col("doc_id").alias("b"), F.col("sig").alias("__sb"))
     known = pairs.join(left, "a").join(right, "b")
-    return known.filter(estimate(F.col("__sa"), F.col("__sb")) >= ESTIMATE).select("a", "b").distinct()
+    return known.filter(estimate(F.col("__sa"), F.col("__sb")) >= ESTIMATE).select("a", "b")
+
+
+def rows_with(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is among the distinct ``ids``: broadcast if they are few, else shuffled."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, threshold_pct: int) -> DataFrame:
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """Those pairs (a, b) that reach the threshold on their whole sets."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().checkpoint()
+    needed = rows_with(texts, ends)
+    left = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(overlaps(threshold_pct), "a long, b long").distinct()
+    return both.mapInArrow(overlaps(threshold_pct), "a long, b long")
+
+
+def centres(labelled: DataFrame, turn: int) -> DataFrame:
+    """Buckets that still hold different labels: (bucket, m, n, main, rank, centre).
+
+    Of m members n carry the most frequent label, main, and the centre is one of these: first the member
+    that meets most others in all its buckets, as the original of many copies does, then another each turn.
+    """
+    rank = F.col("degree") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    drawn = F.struct(rank.alias("rank"), F.col("id").alias("centre"))
+    counted = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.max(drawn).alias("drawn"))
+    main = F.max(F.struct("n", "drawn", "label"))
+    stats = counted.groupBy("bucket").agg(F.sum("n").alias("m"), main.alias("main")).filter("m > main.n")
+    return stats.select("bucket", "m", "main.n", F.col("main.label").alias("main"), "main.drawn.*")
+
+
+def still_apart(apart: DataFrame, labelled: DataFrame, signed: DataFrame, checked: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of a bucket with different labels that have not been confirmed or refuted yet.
+
+    One of a pair lies outside its bucket's main label.  Signatures are compared as pairs meet.
+    """
+    sig = signed.select(F.col("doc_id").alias("id"), "sig")
+    one = apart.select("bucket", "id", "label").join(sig, "id")
+    two = labelled.join(apart.select("bucket").distinct(), "bucket", "left_semi").join(sig, "id")
+    left = one.select("bucket", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("sig").alias("sx"))
+    right = two.select("bucket", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("sig").alias("sy"))
+    alike = (F.col("lx") != F.col("ly")) & (estimate(F.col("sx"), F.col("sy")) >= ESTIMATE)
+    met = left.join(right, "bucket").filter(alike).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    return met.distinct().join(checked, ["a", "b"], "left_anti")
+
+
+def relabelled(labels: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Labels after one step along confirmed links: a label takes the smallest one it is linked to.
+
+    Rows of one label are always connected; a component may still have several labels.
+    """
+    la = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
+    lb = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+    linked = confirmed.join(la, "a").join(lb, "b").filter("la <> lb")
+    step = linked.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("__to")).checkpoint()
+    further = step.select(F.col("label").alias("__to"), F.col("__to").alias("__end"))
+    step = step.join(further, "__to", "left").select("label", F.coalesce("__end", "__to").alias("__to"))
+    return labels.join(step, "label", "left").select("id", "degree", F.coalesce("__to", "label").alias("label"))
 
 
 def classes(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
@@ -162,54 +217,55 @@ def classes(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
     plain = docs.select("doc_id", "text")
     signed = keep(plain.mapInArrow(sign, SIGNED), "minhash-signatures")
     print_key = ["n_shingles", "f1", "f2"]
-    able = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    prints = signed.select("doc_id", *print_key).filter("doc_id IS NOT NULL AND n_shingles > 0")
     # One class per set, known by its smallest id; only that document goes on.
-    sets = able.groupBy(*print_key).agg(F.min("doc_id").alias("rep"))
+    sets = prints.groupBy(*print_key).agg(F.min("doc_id").alias("rep")).checkpoint()
     named = sets.select(F.col("rep").alias("doc_id"), *print_key)
-    reps = keep(able.join(named, ["doc_id", *print_key], "left_semi").select("doc_id", "sig", "bands"), "minhash-classes")
-    placed = reps.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct("bands")).alias("bucket")).distinct()
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = keep(placed.join(shared, "bucket"), "minhash-buckets")
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = keep(plain.join(ids, "doc_id", "left_semi"), "minhash-texts")
-    signed_ids = reps.select("doc_id", "sig")
+    chosen = signed.join(named, ["doc_id", *print_key], "left_semi").select("doc_id", "sig", "bands")
+    reps = keep(chosen.dropDuplicates(["doc_id"]), "minhash-classes")
+    placed = reps.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct("bands")).alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    sized = keep(placed.join(shared, "bucket"), "minhash-buckets")
+    degrees = sized.groupBy("id").agg(F.sum("m").alias("degree")).checkpoint()
+    members = sized.drop("m")
+    size = members.count()
 
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
-    checked = links
-    found = spark.createDataFrame([], "id long, component long")
-    size = members.count()
+    if size:
+        ids = degrees.select(F.col("id").alias("doc_id"))
+        texts = keep(rows_with(plain, ids), "minhash-texts")
+        signed_ids = keep(rows_with(reps.select("doc_id", "sig"), ids), "minhash-candidates")
+        release(spark)
+    labels, checked = degrees.withColumn("label", F.col("id")), links
     for turn in range(CENTRE_ROUNDS + 1 if size else 0):
-        labelled = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-        counted = labelled.groupBy("bucket", "label").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("first")
-        )
-        stats = counted.groupBy("bucket").agg(
-            F.sum("n").alias("m"),
-            F.max(F.struct("n", "label", F.col("first.id").alias("centre"))).alias("main"),
-        ).filter("m > main.n")
-        stats = keep(stats.select("bucket", "m", F.col("main.n").alias("n"), F.col("main.label").alias("main"), "main.centre"), "minhash-centres")
+        labels = labels.checkpoint()
+        labelled = members.join(labels, "id")
+        stats = centres(labelled, turn).checkpoint()
         work = stats.agg(F.sum(F.col("m") * (F.col("m") - F.col("n")))).first()[0] or 0
         if not work:
             break
         apart = labelled.join(stats, "bucket").filter("label <> main")
-        last = turn == CENTRE_ROUNDS or work <= 4 * size
-        if last:  # every pair still apart, at least one of it outside the bucket's main component
-            other = labelled.select("bucket", F.col("id").alias("b"), F.col("label").alias("other"))
-            some = apart.select("bucket", F.col("id").alias("a"), "label").join(other, "bucket").filter("label <> other")
-        else:
-            some = apart.select(F.col("id").alias("a"), F.col("centre").alias("b"))
-        some = some.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        fresh = likely(some.join(checked, ["a", "b"], "left_anti"), signed_ids).checkpoint()
-        links = links.unionByName(confirm(fresh, texts, threshold_pct)).checkpoint()
-        checked = checked.unionByName(fresh)
-        found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        last = turn == CENTRE_ROUNDS or work <= size
+        if last:
+            fresh = still_apart(apart, labelled, signed_ids, checked)
+        else:  # everybody outside meets one centre of all its buckets
+            met = apart.filter("id <> centre").groupBy("id").agg(
+                F.max_by("centre", F.struct("rank", "centre")).alias("centre")
+            )
+            some = met.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
+            fresh = likely(some.join(checked, ["a", "b"], "left_anti") if turn else some, signed_ids)
+        fresh = fresh.checkpoint()
+        confirmed = confirm(fresh, texts, threshold_pct).checkpoint()
+        links = links.unionByName(confirmed)
         if last:
             break
+        checked = checked.unionByName(fresh)
+        labels = relabelled(labels, confirmed)
+    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     by_class = sets.join(found, sets.rep == found.id, "left").select(
         *print_key, F.coalesce("component", "rep").alias("component")
     )
-    # Rows that share an id but not a text are one document: its smallest component counts.
     rows = signed.select("doc_id", *print_key).join(by_class, print_key, "left")
     component = F.when(
         F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
