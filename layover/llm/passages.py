@@ -1,14 +1,18 @@
-"""Repeated passages removed by hashing of units: the earliest occurrence stays, the rest goes.
+"""Repeated passages removed word by word: the earliest occurrence stays, the rest goes.
 
-A line is cut into units where its own words say so: before a word whose hash with its left neighbour
-is the smallest among the nine around it (every 16 words where one word repeats).  Equal passages are therefore cut alike wherever they stand,
-in the middle of a line too.  Units are normalised (A to Z lower-cased, white space ignored) and hashed;
-digests are grouped over all documents; the first by document id and place is kept.  Neighbouring
-repeated units form a run, and a run of at least ``min_words`` words is removed, up to the next unit.
+Words are compared normalised (A to Z lower-cased, white space ignored).  A passage is repeated if
+``min_words`` words in a row, a window, stand at an earlier place, by document id and word; all words
+of a repeated window go, so a passage loses exactly the words that agree.  An occurrence that overlaps
+the earliest one in the same document is no repeat of it.
 
-Offsets are bytes of the original UTF-8 text.  A null text has no units and stays null.  Rows with a
-null id take no part and are unchanged.  Rows that share an id have their units judged by id and place;
-an exact repeat of a row, id included, is the same row and is judged alike.
+Every window has an anchor: the smallest hash of ``ANCHOR`` words in it.  Equal windows have equal anchors
+wherever they stand, and neighbouring windows with one anchor form a piece.  Only pieces whose anchor
+stands more than once are moved further; equal pieces are judged as a whole, and single windows are
+compared only where one anchor has different pieces.
+
+A removed run reaches to the next word.  Offsets are bytes of the original UTF-8 text.  A null text has
+no words and stays null.  Rows with a null id take no part and are unchanged.  Rows that share an id
+are judged by id and place; an exact repeat of a row, id included, is the same row and is judged alike.
 """
 
 from __future__ import annotations
@@ -17,45 +21,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from layover.llm.blocks import BASE, INVERSE, Block, Hasher, Words, blocks, mix, powers
 
-REACH = 4
-PERIOD = 16
+ANCHOR = 6
 MIN_WORDS = 13
 
-UNITS = "doc_id long, unit int, start int, end int, n_words int, digest long"
+PIECES = "doc_id long, at int, n_words int, anchor long, piece long, windows array<long>"
+SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
-def unit_starts(block: Block, words: Words, reach: int = REACH) -> np.ndarray:
-    """Index of the first word of every unit, ascending."""
+def window_pieces(words: Words, digest, min_words: int) -> tuple[np.ndarray, ...]:
+    """(first word, words, anchor, windows before, digests of windows) of runs of windows with one anchor."""
     n = len(words.hash)
-    lines = np.concatenate([[0], np.cumsum(block.data == 10, dtype=np.int64)])
-    begins = np.ones(n, dtype=bool)
-    begins[1:] = (words.text[1:] != words.text[:-1]) | (lines[words.start[1:]] != lines[words.end[:-1]])
-    value = np.full(n + 2 * reach, np.iinfo(np.uint64).max, dtype=np.uint64)
-    pair = mix(mix(words.hash[:-1]) * np.uint64(3) + words.hash[1:])
-    value[reach + 1 : reach + n] = pair
-    owner = np.full(n + 2 * reach, -1)
-    owner[reach : reach + n] = words.text
-    here = value[reach : reach + n]
-    least = np.ones(n, dtype=bool)
-    for k in range(1, reach + 1):  # texts do not see each other; the first word of one is a start anyway
-        left, right = slice(reach - k, reach - k + n), slice(reach + k, reach + k + n)
-        before = (owner[left] == words.text) & (np.arange(n) - k > words.first[words.text])
-        least &= ~before | (here < value[left])
-        least &= (owner[right] != words.text) | (here <= value[right])
-    # A word repeated over and over has no smallest place: cut its run every PERIOD words.
-    fresh = np.ones(n, dtype=bool)
-    fresh[1:] = (words.hash[1:] != words.hash[:-1]) | (words.text[1:] != words.text[:-1])
-    at = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    return np.flatnonzero(begins | least | ((at > 0) & (at % PERIOD == 0)))
-
-
-def cut_units(reach: int):
+    width = min(ANCHOR, min_words)
+    at = np.flatnonzero(words.text[: n - min_words + 1] == words.text[min_words - 1 :]) if n >= min_words else np.zeros(0, np.int64)
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64), np.zeros(1, np.int64), none.astype(np.uint64)
+    grams = digest(np.arange(n - width + 1), width)
+    best, where = grams[at], at.copy()
+    for k in range(1, min_words - width + 1):
+        value = grams[at + k]
+        less = value < best
+        best[less], where[less] = value[less], at[less] + k
+    first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+    before = np.append(first, len(at))
+    return at[first], np.diff(before) + min_words - 1, best[first], before, digest(at, min_words)
+
+
+def cut_pieces(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
         up = down = np.ones(0, np.uint64)
@@ -68,50 +67,95 @@ def cut_units(reach: int):
                     continue
                 if len(up) <= n:
                     up, down = powers(BASE, 2 * n), powers(INVERSE, 2 * n)
-                first = unit_starts(block, words, reach)
-                stop = np.append(first[1:], n)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash) * up[:n])])
-                digest = mix((sums[stop] - sums[first]) * down[first] + (stop - first).astype(np.uint64))
+
+                def digest(first, size):
+                    return mix((sums[first + size] - sums[first]) * down[first] + np.asarray(size).astype(np.uint64))
+
+                first, size, anchor, before, values = window_pieces(words, digest, min_words)
                 owner = words.text[first]
-                fresh = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                ordinal = np.arange(len(first)) - np.repeat(fresh, np.diff(np.append(fresh, len(first))))
-                base = block.offsets[owner]
-                begin = words.start[first] - base
-                last = np.append(owner[1:] != owner[:-1], True)
-                end = np.where(last, block.offsets[owner + 1] - base, np.append(begin[1:], 0))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[block.first + owner]), pa.array(ordinal.astype(np.int32)),
-                        pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)),
-                        pa.array((stop - first).astype(np.int32)), pa.array(digest.view(np.int64)),
+                        pa.array(ids[block.first + owner]), pa.array((first - words.first[owner]).astype(np.int32)),
+                        pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)),
+                        pa.array(digest(first, size).view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(values.view(np.int64))),
                     ],
-                    names=["doc_id", "unit", "start", "end", "n_words", "digest"],
+                    names=["doc_id", "at", "n_words", "anchor", "piece", "windows"],
                 )
 
     return run
 
 
-def units(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """Every unit of every document (doc_id, text) with its byte bounds and digest."""
+def pieces(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every piece of every document (doc_id, text): its words, anchor and digests."""
     known = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return known.mapInArrow(cut_units(reach), UNITS)
-
-
-def repeated_spans(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, spans) of documents that lose something: byte spans (start, end), ascending."""
-    cut = units(docs, reach)
-    often = cut.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    shared = cut.join(often, "digest").checkpoint()
-    place = F.struct("doc_id", "unit")
-    firsts = shared.groupBy("digest").agg(F.min(place).alias("kept"))
-    later = shared.join(firsts, "digest").filter(place > F.col("kept")).drop("digest", "kept").distinct()
-    order = W.partitionBy("doc_id").orderBy("unit")
-    runs = later.withColumn("run", F.col("unit") - F.row_number().over(order))
-    spans = runs.groupBy("doc_id", "run").agg(
-        F.sum("n_words").alias("n_words"), F.min("start").alias("start"), F.max("end").alias("end")
+    return known.mapInArrow(cut_pieces(min_words), PIECES)
+
+
+def match(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key and its hash, so that both sides are shuffled for it and a hot key can be split."""
+    hashed = F.xxhash64(key)
+    return rows.withColumn("__hash", hashed).join(found.withColumn("__hash", hashed), [key, "__hash"]).drop("__hash")
+
+
+def repeated_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, ranges) of documents that lose something: ranges of words (at, stop), ascending, may overlap."""
+    cut = pieces(docs, min_words)
+    often = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    shared = match(cut, often, "anchor").checkpoint()
+    place = F.struct("doc_id", "at")
+    kinds = shared.groupBy("anchor", "piece").agg(F.min(place).alias("kept"))
+    judged = match(shared, kinds.drop("anchor"), "piece")
+    apart = (F.col("doc_id") != F.col("kept.doc_id")) | (F.col("at") >= F.col("kept.at") + min_words)
+    later = (place > F.col("kept")) & apart
+    whole = judged.filter(later).select("doc_id", "at", (F.col("at") + F.col("n_words")).alias("stop"))
+    # Different pieces with one anchor may still have equal windows.
+    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    some = match(judged.filter(~later).drop("kept", "piece"), mixed, "anchor")
+    single = some.select("doc_id", "at", F.posexplode("windows").alias("k", "window"))
+    single = single.select("window", "doc_id", (F.col("at") + F.col("k")).alias("at"))
+    firsts = single.groupBy("window").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    windows = match(single, firsts, "window").filter(later).select("doc_id", "at", (F.col("at") + min_words).alias("stop"))
+    ranges = whole.unionByName(windows)
+    return ranges.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "stop"))).alias("ranges"))
+
+
+def spans_of(block: Block, words: Words, ranges: pa.Array) -> pa.Array:
+    """Byte spans of ranges of words, joined where they touch, one list per text of the block."""
+    sizes = pc.fill_null(pc.list_value_length(ranges), 0).to_numpy()
+    at, stop = (ranges.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+    owner = np.repeat(np.arange(block.n), sizes)
+    gone = np.zeros(len(words.hash) + 1, np.int64)
+    for place, step in ((at, 1), (stop, -1)):  # rows that share an id may be shorter
+        np.add.at(gone, np.minimum(words.first[owner] + place, words.first[owner + 1]), step)
+    gone = np.cumsum(gone[:-1]) > 0
+    fresh = np.append(True, words.text[1:] != words.text[:-1])[: len(gone)]
+    begins = np.flatnonzero(gone & (fresh | ~np.append(False, gone[:-1])[: len(gone)]))
+    ends = np.flatnonzero(gone & (np.append(fresh[1:], True) | ~np.append(gone[1:], False))[: len(gone)]) + 1
+    text = words.text[begins]
+    base = block.offsets[text]
+    to = np.where(ends == words.first[text + 1], block.offsets[text + 1], np.append(words.start, 0)[ends])
+    spans = pa.StructArray.from_arrays(
+        [pa.array((words.start[begins] - base).astype(np.int32)), pa.array((to - base).astype(np.int32))], names=["start", "end"]
     )
-    removed = spans.filter(F.col("n_words") >= min_words)
-    return removed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(block.n + 1)).astype(np.int32)), spans)
+
+
+def locate(text_at: int):
+    """Replaces the last column, ranges of words, by spans of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(lower=True)
+        for batch in batches:
+            *rest, ranges = batch.columns
+            for block in blocks(rest[text_at]):
+                spans = spans_of(block, hasher.words(block), ranges.slice(block.first, block.n))
+                yield pa.RecordBatch.from_arrays(
+                    [c.slice(block.first, block.n) for c in rest] + [spans], names=[*batch.schema.names[:-1], "__spans"]
+                )
+
+    return run
 
 
 def without(text: Column, spans: Column) -> Column:
@@ -123,15 +167,17 @@ def without(text: Column, spans: Column) -> Column:
     return F.array_join(kept, "")
 
 
-def remove_repeats(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and the ``spans`` removed from the original.
 
     All columns and rows are kept; a column named spans is replaced.  Documents that lose nothing have
     an empty list.
     """
-    found = repeated_spans(docs.select("doc_id", "text"), reach, min_words).withColumnRenamed("spans", "__spans")
-    joined = docs.drop("spans").join(found, "doc_id", "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("__spans")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    rest = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns if c != "spans"]
-    return joined.select(*rest, F.coalesce("__spans", none).alias("spans"))
+    found = repeated_words(docs.select("doc_id", "text"), min_words).withColumnRenamed("ranges", "__ranges")
+    columns = [c for c in docs.columns if c != "spans"]
+    joined = docs.select(*columns).join(found, "doc_id", "left").select(*columns, "__ranges")
+    kinds = StructType([*joined.schema.fields[:-1], StructField("__spans", SPANS)])
+    cut = joined.mapInArrow(locate(columns.index("text")), kinds)
+    text = F.when(F.size("__spans") == 0, F.col("text")).otherwise(without(F.col("text"), F.col("__spans")))
+    rest = [F.col(c) if c != "text" else text.alias("text") for c in columns]
+    return cut.select(*rest, F.col("__spans").alias("spans"))
