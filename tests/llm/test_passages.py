@@ -1,4 +1,4 @@
-"""Repeated passages against a plain comparison of words, which knows nothing of anchors and pieces."""
+"""Repeated passages against a plain comparison of words and lines, which knows nothing of anchors and pieces."""
 
 import random
 import re
@@ -12,9 +12,21 @@ from tests.llm.test_text import pairs
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def whole(raw: bytes, bounds: list[tuple]) -> set:
+    """(first word, word after) of every line and every paragraph."""
+    out = set()
+    for edge in (rb"\n", rb"\n[\x20\x09-\x0D]*\n"):
+        stops = [m.start() for m in re.finditer(edge, raw)] + [len(raw)]
+        for a, b in zip([0, *stops], stops):
+            inside = [k for k, (x, y) in enumerate(bounds) if a <= x and y <= b]
+            if inside:
+                out.add((inside[0], inside[-1] + 1))
+    return out
+
+
 def plain(docs: list[tuple], least: int = 13) -> dict:
-    """doc_id -> text without the words of windows that stand at an earlier place."""
-    found, first = {}, {}
+    """doc_id -> text without the words of windows, lines and paragraphs that stand at an earlier place."""
+    found, first, lines = {}, {}, {}
     for i, t in sorted(d for d in docs if None not in d):
         bounds = [(m.start(), m.end()) for m in WORD.finditer(t.encode())]
         found[i] = bounds, [t.encode()[a:b].lower() for a, b in bounds]
@@ -22,6 +34,8 @@ def plain(docs: list[tuple], least: int = 13) -> dict:
     for i, (_, words) in found.items():
         for k, w in windows(words):
             first.setdefault(w, (i, k))
+        for a, b in sorted(whole(dict(docs)[i].encode(), found[i][0])):
+            lines.setdefault(tuple(words[a:b]), (i, a))
     out = dict(docs)
     for i, (bounds, words) in found.items():
         gone = set()
@@ -30,6 +44,9 @@ def plain(docs: list[tuple], least: int = 13) -> dict:
             if doc != i or k >= at + least:
                 gone.update(range(k, k + least))
         raw = out[i].encode()
+        for a, b in whole(raw, bounds):
+            if lines[tuple(words[a:b])] != (i, a):
+                gone.update(range(a, b))
         ends = [a for a, _ in bounds[1:]] + [len(raw)]
         kept = [raw[a:end] for k, ((a, _), end) in enumerate(zip(bounds, ends)) if k not in gone]
         out[i] = (raw[: bounds[0][0] if bounds else len(raw)] + b"".join(kept)).decode()
@@ -69,6 +86,21 @@ def test_equal_lines_are_cut_alike_in_any_surroundings(spark):
     assert all(len(got[i].split()) == 3 for i, _ in docs if i % 3)
 
 
+def test_whole_lines_and_paragraphs_go_whatever_their_length(spark):
+    docs = [
+        (0, "Page\nfirst own text here\n\nAll rights reserved\n"),
+        (1, "second own text there\nALL  rights\treserved\nand more of it\npage"),
+        (2, "all rights reserved in a line of its own\npage one"),
+        (3, "third text\n \nAll rights\nreserved\n\npage"),
+        (4, "}\n}\nnew"), (5, "all rights reserved"), (6, "new\nnewer"),
+    ]
+    got = cut(spark, docs)
+    assert got == plain(docs)
+    assert got[0] == docs[0][1] and got[2] == docs[2][1]
+    assert got[1] == "second own text there\nand more of it\n" and got[3] == "third text\n \n"
+    assert got[4] == "}\nnew" and got[5] == "" and got[6] == "newer"
+
+
 def test_repeats_within_a_text_and_few_different_words(spark):
     random.seed(7)
     docs = [(0, "word " * 400), (1, "a b " * 60 + "c"), (2, "b a " * 60), (3, ""), (4, None), (5, " ")]
