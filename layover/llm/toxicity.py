@@ -1,7 +1,8 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary texts, over the letters of words.
 
 A word is spelt byte by byte, each byte after the whole beginning of its word, so an expression and its
-inflections share what they begin with.  Each class is counted on a bounded labelled sample, in how
+inflections share what they begin with.  In scripts without spaces every character begins a word, of
+itself and the next ones.  Each class is counted on a bounded labelled sample, in how
 many of its documents a beginning stands; a discount is taken from every count and what it frees goes
 to one distribution shared by both classes: the same counts over every document of the corpus.  A rare
 expression therefore weighs what its class adds to the shared counts and no more, and beginnings that
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from layover.llm.samples import Sample, calibrate, fold, probability, sample
 from layover.llm.scratch import release
 
 DISCOUNT = 0.75
-#: Bytes of a word that are looked at, its end counting as one.
-DEPTH = 12
+#: Characters of a word in scripts that are written without spaces; every character begins one.
+CHARACTERS = 4
 #: Beginnings found in fewer documents of the sample are not told apart from unseen ones.
 CUTOFF = 2
 #: Bytes of the sample that the driver spells at once.
@@ -41,6 +43,47 @@ ROOT = np.uint64(0x5BF0A8B1456ABCDE)
 LENGTH_FACTOR, END = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
 
 
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """First bytes of characters of scripts without spaces: Thai to Lao, Burmese, Khmer, kana and Han."""
+    after = np.append(data[1:], 0)
+    found = (data >= 0xE3) & (data <= 0xE9)
+    found |= (data == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+    found |= (data == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | (after == 0x9E) | (after == 0x9F))
+    return found | ((data == 0xF0) & (after >= 0xA0) & (after <= 0xB3))
+
+
+def split(hasher: Hasher, block: Block, words: Words) -> Words:
+    """Words as they are, but in scripts without spaces from every character over the next ones of its run."""
+    data = block.data
+    if not len(data) or not (data >= 0xE0).any():
+        return words
+    lead = unspaced(data)
+    if not lead.any():
+        return words
+    character = (data & 0xC0) != 0x80
+    inside = np.zeros(len(data) + 1, np.int32)
+    inside[words.start] += 1
+    np.subtract.at(inside, words.end, 1)
+    inside = np.cumsum(inside[:-1]) > 0
+    own = np.maximum.accumulate(np.where(character, np.arange(len(data)), 0))  # the character of every byte
+    dense = lead[own] & inside
+    edge = np.zeros(len(data), bool)
+    edge[words.start] = True
+    edge[1:] |= inside[1:] & (dense[1:] != dense[:-1])  # stretches of one kind
+    stretch = np.flatnonzero(edge)
+    run = np.searchsorted(words.start, stretch, side="right") - 1
+    stop = np.minimum(np.append(stretch[1:], len(data)), words.end[run])
+    start = np.flatnonzero(edge | (lead & inside))
+    end = stop[np.searchsorted(stretch, start, side="right") - 1]
+    places = np.append(np.flatnonzero(character), np.full(CHARACTERS, len(data)))
+    ahead = places[np.searchsorted(places, start) + CHARACTERS]
+    end = np.where(dense[start], np.minimum(end, ahead), end)
+    p = hasher.prefix(data)
+    first = np.searchsorted(start, block.offsets)
+    text = np.repeat(np.arange(block.n), np.diff(first))
+    return Words(start, end, text, mix((p[end] - p[start]) * hasher.down[start]), first)
+
+
 @dataclass
 class Spelling:
     """Different words of a block: byte bounds, in how many texts each stands, and the word of every token."""
@@ -60,28 +103,28 @@ class Spelling:
         start = words.start[first]
         return Spelling(start, words.end[first] - start, documents, token, hasher.prefix(block.data), hasher.down)
 
-    def beginning(self, which: np.ndarray, k: int) -> np.ndarray:
+    def beginning(self, which: np.ndarray, k: int | np.ndarray) -> np.ndarray:
         """Key of the first k + 1 symbols of words that have so many; the last symbol is the end."""
         size = np.minimum(k + 1, self.size[which])
         at = self.start[which]
         value = (self.prefix[at + size] - self.prefix[at]) * self.down[at]
-        return mix(value + np.uint64((k + 1) * LENGTH_FACTOR % (1 << 64)) + (size <= k).astype(np.uint64) * END)
+        length = np.asarray(k + 1).astype(np.uint64) * np.uint64(LENGTH_FACTOR)
+        return mix(value + length + (size <= k).astype(np.uint64) * END)
 
 
-def steps(spelling: Spelling) -> Iterator[tuple[int, np.ndarray]]:
-    """For each depth the words that reach it."""
-    which = np.arange(len(spelling.start))
-    for k in range(DEPTH):
-        which = which[spelling.size[which] >= k]
-        if not len(which):
-            return
-        yield k, which
+def steps(spelling: Spelling) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, depths) of all beginnings, so many at a time."""
+    before = np.append(0, np.cumsum(spelling.size + 1))
+    for at in range(0, int(before[-1]), SAMPLE_BLOCK):
+        place = np.arange(at, min(at + SAMPLE_BLOCK, before[-1]))
+        which = np.searchsorted(before, place, side="right") - 1
+        yield which, place - before[which]
 
 
 def spellings(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[tuple[Block, Words, Spelling]]:
     hasher = Hasher(lower=True, block=limit)
     for block in blocks(texts, limit):
-        words = hasher.words(block)
+        words = split(hasher, block, hasher.words(block))
         yield block, words, Spelling.of(hasher, block, words)
 
 
@@ -91,8 +134,8 @@ def beginnings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for _, _, spelling in spellings(pa.array(texts, pa.string()), SAMPLE_BLOCK):
         # Merged block by block, so that only different beginnings are held.
         parts = [found]
-        for k, which in steps(spelling):
-            parent = spelling.beginning(which, k - 1) if k else np.full(len(which), ROOT)
+        for which, k in steps(spelling):
+            parent = np.where(k > 0, spelling.beginning(which, np.maximum(k, 1) - 1), ROOT)
             parts.append((spelling.beginning(which, k), parent, spelling.documents[which]))
         keys, first, place = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
         n = np.bincount(place, weights=np.concatenate([p[2] for p in parts]), minlength=len(keys))
@@ -108,7 +151,7 @@ def corpus_counts(keys: np.ndarray):
         for batch in batches:
             for _, _, spelling in spellings(batch.column(0)):
                 which = np.arange(len(spelling.start))
-                for k in range(DEPTH):
+                for k in count():
                     which = which[spelling.size[which] >= k]
                     at = table.find(spelling.beginning(which, k))
                     which, at = which[at < len(keys)], at[at < len(keys)]
@@ -135,7 +178,7 @@ class Model:
         total = np.zeros(len(spelling.start))
         which = np.arange(len(total))
         known = np.full(len(total), len(self.table.keys) - 1)
-        for k in range(DEPTH):
+        for k in count():
             which = which[spelling.size[which] >= k]
             if not len(which):
                 break
@@ -172,27 +215,27 @@ def build(counted: list[tuple], keys: np.ndarray, parents: np.ndarray, shared: n
     base = np.maximum(shared, 0.5) / np.maximum(shared_total[parent], 1.0)
     chance, left = [], []
     for own, own_parents, n in counted:
-        count = np.zeros(missing + 1)
+        held = np.zeros(missing + 1)
         at = table.find(own)
-        count[at] = n
-        count[missing] = 0
+        held[at] = n
+        held[missing] = 0
         # Totals and kinds of continuations count those below the cutoff as well.
         context = table.find(own_parents)
         known = (context < missing) | (own_parents == ROOT)
         total = np.bincount(context[known], weights=n[known], minlength=missing + 1)
         kinds = np.bincount(context[known], minlength=missing + 1)
         free = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1.0), 1.0)
-        added = np.where(total[parent] > 0, np.maximum(count[:-1] - DISCOUNT, 0.0) / np.maximum(total[parent], 1.0), 0.0)
+        added = np.where(total[parent] > 0, np.maximum(held[:-1] - DISCOUNT, 0.0) / np.maximum(total[parent], 1.0), 0.0)
         chance.append(added + free[parent] * base)
         left.append(free)
     step = np.log(chance[1] / chance[0])
     value = np.zeros(missing + 1)
     value[:-1] = step
-    # A beginning's value is the sum along it; parents are added level by level.
-    ancestor = parent
-    for _ in range(DEPTH):
-        value[:-1] += np.append(step, 0.0)[ancestor]
-        ancestor = np.append(parent, missing)[ancestor]
+    # A beginning's value is the sum along it; each round doubles how far it has been summed.
+    ancestor = np.append(parent, missing)
+    while (ancestor < missing).any():
+        value += value[ancestor]
+        ancestor = ancestor[ancestor]
     return Model(table, value, np.log(left[1] / left[0]))
 
 
