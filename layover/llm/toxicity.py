@@ -4,9 +4,10 @@ A word is spelt byte by byte, each byte after the whole beginning of its word, s
 inflections share what they begin with.  In scripts without spaces every character begins a word, of
 itself and the next ones.  Each class is counted on a bounded labelled sample, in how
 many of its documents a beginning stands; a discount is taken from every count and what it frees goes
-to one distribution shared by both classes: the same counts over every document of the corpus.  A rare
-expression therefore weighs what its class adds to the shared counts and no more, and beginnings that
-no sample has twice cannot tell the classes apart.
+to one distribution shared by both classes, of distinct contexts: in how many different words of the
+whole corpus a beginning stands.  A rare expression therefore weighs what its class adds to the shared
+counts and no more, be it in one document of the sample; beginnings that no sample has add the same to
+both classes.
 
 A word's value is the difference of its log-likelihoods.  A document is judged by the mean value of its
 words and by the mean square of the positive ones, both length-normalised: a few strong expressions
@@ -35,8 +36,8 @@ from layover.llm.scratch import release
 DISCOUNT = 0.75
 #: Characters of a word in scripts that are written without spaces; every character begins one.
 CHARACTERS = 4
-#: Beginnings found in fewer documents of the sample are not told apart from unseen ones.
-CUTOFF = 2
+#: Different words that a task remembers so as not to send them again.
+SEEN = 1 << 20
 #: Bytes of the sample that the driver spells at once.
 SAMPLE_BLOCK = 1 << 18
 ROOT = np.uint64(0x5BF0A8B1456ABCDE)
@@ -143,13 +144,36 @@ def beginnings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found
 
 
+def corpus_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different words of the texts, A to Z lower-cased; some come from several blocks."""
+    hasher = Hasher(lower=True)
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    seen = np.zeros(0, np.uint64)
+    for batch in batches:
+        for block in blocks(batch.column(0)):
+            words = split(hasher, block, hasher.words(block))
+            keys, first = np.unique(words.hash, return_index=True)
+            fresh = ~np.isin(keys, seen, assume_unique=True)
+            seen = np.union1d(seen, keys[fresh]) if len(seen) < SEEN else keys[fresh]
+            start, size = (x[first[fresh]] for x in (words.start, words.end - words.start))
+            offsets = np.append(0, np.cumsum(size))
+            data = lower[block.data[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])],
+                names=["word"],
+            )
+
+
 def corpus_counts(keys: np.ndarray):
-    """(key, n) for the given beginnings over all texts of a task: documents' words that begin so."""
+    """(key, n) for the given beginnings over different words: how many begin so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = Lookup(keys), np.zeros(len(keys) + 1, np.int64)
+        hasher = Hasher(lower=True)
         for batch in batches:
-            for _, _, spelling in spellings(batch.column(0)):
+            for block in blocks(batch.column(0)):
+                spelling = Spelling.of(hasher, block, hasher.words(block))
                 which = np.arange(len(spelling.start))
                 for k in count():
                     which = which[spelling.size[which] >= k]
@@ -199,11 +223,9 @@ class Model:
 
 
 def table_of(counted: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and parents of the beginnings that stand in enough documents of the sample."""
-    keys, first, place = np.unique(np.concatenate([c[0] for c in counted]), return_index=True, return_inverse=True)
-    n = np.bincount(place, weights=np.concatenate([c[2] for c in counted]), minlength=len(keys))
-    parents = np.concatenate([c[1] for c in counted])[first]
-    return keys[n >= CUTOFF], parents[n >= CUTOFF]
+    """Keys and parents of all beginnings of the sample."""
+    keys, first = np.unique(np.concatenate([c[0] for c in counted]), return_index=True)
+    return keys, np.concatenate([c[1] for c in counted])[first]
 
 
 def build(counted: list[tuple], keys: np.ndarray, parents: np.ndarray, shared: np.ndarray) -> Model:
@@ -219,7 +241,6 @@ def build(counted: list[tuple], keys: np.ndarray, parents: np.ndarray, shared: n
         at = table.find(own)
         held[at] = n
         held[missing] = 0
-        # Totals and kinds of continuations count those below the cutoff as well.
         context = table.find(own_parents)
         known = (context < missing) | (own_parents == ROOT)
         total = np.bincount(context[known], weights=n[known], minlength=missing + 1)
@@ -244,8 +265,10 @@ def train(docs: DataFrame, found: Sample) -> Model:
     learn = [[t for t, y, k in zip(found.texts, found.labels, found.tune) if y == c and not k] for c in (0, 1)]
     counted = [beginnings(each) for each in learn]
     keys, parents = table_of(counted)
-    # Every document of the corpus is counted; what comes back is bounded by the sample's table.
-    counts = docs.select("text").mapInArrow(corpus_counts(keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    # The table of different words grows with the corpus and stays distributed; rare ones are kept.  Beginnings
+    # that no class has cancel out of the difference, so only the sample's are loaded from it.
+    words = docs.select("text").mapInArrow(corpus_words, "word binary").distinct()
+    counts = words.mapInArrow(corpus_counts(keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     shared = np.zeros(len(keys))
     shared[np.searchsorted(keys, counts.column("key").to_numpy().astype(np.int64).view(np.uint64))] = counts.column("n").to_numpy()
     model = build(counted, keys, parents, shared)

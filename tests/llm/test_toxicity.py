@@ -1,5 +1,6 @@
 """What the toxicity models read."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -24,11 +25,26 @@ def test_words_are_read_to_their_end(spark):
 
 def test_runs_without_spaces_are_read_throughout(spark):
     plain = lambda i: "".join(chr(0x4E00 + (i * 37 + k * 101) % 3000) for k in range(30))
-    toxic = lambda i: plain(i) + "\u8a9e\u8a9f" + plain(i + 1)
-    fine = lambda i: plain(i) + "\u8a90\u8a9e" + plain(i + 1)
-    found = scores(spark, toxic, fine, [f(i) for f in (fine, toxic) for i in range(1000, 1020)])
-    above = sum(low < high for low in found[:20] for high in found[20:])
-    assert above > 0.95 * 400
+    around = lambda i, own: plain(i // 2 % 20) + own + plain(i // 2 % 20 + 20)
+    toxic, fine = (lambda i, own=own: around(i, own) for own in ("\u8a9e\u8a9f", "\u8a90\u8a9e"))
+    found = scores(spark, toxic, fine, [f(i) for f in (fine, toxic) for i in range(0, 40, 2)])
+    assert max(found[:20]) < 0.3 and min(found[20:]) > 0.7
+
+
+def test_corpus_words_grow_with_the_corpus_and_rare_ones_stay(spark):
+    texts = [f"Same words and rare{i}" for i in range(500)]
+    docs = spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(4)
+    found = [bytes(r["word"]).decode() for r in docs.mapInArrow(toxicity.corpus_words, "word binary").distinct().collect()]
+    assert sorted(found) == sorted({w for t in texts for w in t.lower().split()})
+
+
+def test_an_expression_of_one_document_counts():
+    learn = [["all fine here", "more words here"], ["all fine here", "more vileword here"]]
+    counted = [toxicity.beginnings(each) for each in learn]
+    keys, parents = toxicity.table_of(counted)
+    model = toxicity.build(counted, keys, parents, np.ones(len(keys)))
+    mean = [model.features(b.n, w, s)[0, 0] for t in ("all vileword", "all words") for b, w, s in toxicity.spellings(pa.array([t]))]
+    assert mean[0] > 0 > mean[1]
 
 
 @pytest.mark.parametrize("text,known", [
