@@ -1,4 +1,4 @@
-"""Toxicity by two Kneser-Ney models, one of toxic and one of ordinary texts, over the letters of words.
+"""Toxicity by two absolute-discount models, one of toxic and one of ordinary texts, over the letters of words.
 
 A word is spelt byte by byte, each byte after the whole beginning of its word, so an expression and its
 inflections share what they begin with.  In scripts without spaces every character begins a word, of
