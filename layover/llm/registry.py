@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layover.llm import bwt, chat, covertree, minhash, mixing, nbsvm, packing, passages, topk, toxicity
+from layover.llm import bwt, chat, covertree, decontam, merkle, minhash, mixing, nbsvm, packing, passages, topk, toxicity
 from layover.llm.scratch import read
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,116 @@ def cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_bwt_dedup")
 def bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.digest(bwt.remove_repeated_bytes(read(spark, sf_dir, "documents")))
+
+
+# --- manifest ------------------------------------------------------------------------------
+
+MERKLE_SQL = """
+WITH RECURSIVE told AS (
+    SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree,
+        list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT)),
+            lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+        coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n,
+        coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS n1,
+        coalesce(strlen(text) || ':' || text, '-') AS body
+    FROM documents
+), leaves AS (
+    SELECT doc_id, tree, sha256(head || n || body) AS leaf,
+        CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || n1 || body) ELSE sha256(head || n || body) END AS claim
+    FROM told
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), up AS (
+    SELECT tree, 0 AS level, pos, leaf AS node, n FROM placed
+    UNION ALL
+    SELECT tree, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY tree, level, pos // 2, n
+), trees AS (
+    SELECT tree, node AS subroot, level AS depth, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+    SELECT 0 AS level, pos, subroot AS node, n FROM trees
+    UNION ALL
+    SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY level, pos // 2, n
+), steps AS (
+    SELECT doc_id, leaf, claim, placed.tree, placed.pos AS place, up.level, placed.pos >> up.level AS spot, up.n AS width
+    FROM placed JOIN (SELECT DISTINCT tree, level, n FROM up WHERE n > 1) up ON placed.tree = up.tree
+    UNION ALL
+    SELECT doc_id, leaf, claim, placed.tree, placed.pos, depth + top.level, trees.pos >> top.level, top.n
+    FROM placed JOIN trees ON placed.tree = trees.tree JOIN (SELECT DISTINCT level, n FROM top WHERE n > 1) top ON true
+), met AS (
+    SELECT steps.*, CASE WHEN steps.level < depth THEN up.node ELSE top.node END AS sibling
+    FROM steps JOIN trees ON steps.tree = trees.tree
+    LEFT JOIN up ON steps.level < depth AND up.tree = steps.tree AND up.level = steps.level AND up.pos = xor(spot, 1)
+    LEFT JOIN top ON steps.level >= depth AND top.level = steps.level - depth AND top.pos = xor(spot, 1)
+), folded AS (
+    SELECT tree, pos, 0 AS level, claim AS node FROM placed
+    UNION ALL
+    SELECT folded.tree, folded.pos, folded.level + 1, sha256(CASE WHEN spot % 2 = 1 THEN coalesce(sibling, '') || node ELSE node || coalesce(sibling, '') END)
+    FROM folded JOIN met ON met.tree = folded.tree AND met.place = folded.pos AND met.level = folded.level
+), ends AS (
+    SELECT tree, pos, arg_max(node, level) AS folded_root FROM folded GROUP BY tree, pos
+), proofs AS (
+    SELECT tree, place AS pos, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256 FROM met GROUP BY tree, place
+)
+SELECT doc_id, leaf, subroot, top.node AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+    folded_root = top.node AS verified
+FROM placed JOIN trees ON placed.tree = trees.tree JOIN ends ON ends.tree = placed.tree AND ends.pos = placed.pos
+LEFT JOIN proofs ON proofs.tree = placed.tree AND proofs.pos = placed.pos
+JOIN top ON top.n = 1
+"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    longer = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.COLUMNS]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    checked = merkle.proofs(merkle.build(docs, claim=F.when(tampered, merkle.leaf(longer))))
+    digest = lambda c: F.lower(F.hex(c))
+    return checked.select(
+        F.col("name").cast("long").alias("doc_id"), digest("leaf").alias("leaf"), digest("subroot").alias("subroot"),
+        digest("root").alias("root"), digest("proof").alias("proof_sha256"), digest("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+# --- benchmark passages --------------------------------------------------------------------
+
+DECONTAM_SQL = r"""
+WITH low AS (
+    SELECT doc_id, row_number() OVER () AS row,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, words, least(len(words), 10) AS size FROM (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+        FROM benchmark
+    ) WHERE len(words) > 0
+), patterns AS (
+    SELECT DISTINCT item, size, array_to_string(words[i : i + size - 1], ' ') AS pattern
+    FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM items)
+), places AS (
+    SELECT row, i, size, array_to_string(words[i : i + size - 1], ' ') AS pattern
+    FROM (SELECT low.*, size, unnest(range(1, len(words) - size + 2)) AS i FROM low, (SELECT DISTINCT size FROM items))
+), met AS (
+    SELECT row, i, size, item FROM places JOIN patterns USING (size, pattern)
+), hit AS (
+    SELECT row, count(*) AS n_hit FROM (SELECT DISTINCT row, unnest(range(i, i + size)) AS word FROM met) GROUP BY row
+), named AS (
+    SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM met) GROUP BY row
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
+"""
+
+
+@query("op11_wu_manber_decontamination", DECONTAM_SQL)
+def wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["stop"] - h["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+    )
