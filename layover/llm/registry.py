@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layover.llm import bwt, chat, covertree, decontam, merkle, minhash, mixing, nbsvm, packing, passages, topk, toxicity
+from layover.llm import bwt, chat, covertree, decontam, merkle, minhash, mixing, nbsvm, packing, passages, phrases, topk, toxicity
 from layover.llm.scratch import read
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,3 +308,45 @@ def wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+# --- collocations --------------------------------------------------------------------------
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), said AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+    SELECT lang, sum(len(w)) AS n FROM said GROUP BY lang
+), runs AS (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM said, range(1, 6) sizes(k))
+), known AS (
+    SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY lang, k, phrase HAVING count(*) >= 100
+), halves AS (
+    SELECT lang, phrase, k, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS tail
+    FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS c FROM known WHERE k > 1)
+), scored AS (
+    SELECT halves.lang, halves.phrase, halves.k, halves.a, c, x.a AS l, y.a AS r, n,
+        CAST(1000 AS HUGEINT) * halves.a * n // (CAST(x.a AS HUGEINT) * y.a) AS score
+    FROM halves JOIN known x ON x.lang = halves.lang AND x.phrase = head JOIN known y ON y.lang = halves.lang AND y.phrase = tail
+    JOIN totals ON totals.lang = halves.lang
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), kept AS (
+    SELECT * FROM best WHERE NOT EXISTS (
+        SELECT 1 FROM known longer WHERE longer.lang = best.lang AND longer.k > best.k AND 100 * longer.a >= 100 * best.a
+            AND contains(' ' || longer.phrase || ' ', ' ' || best.phrase || ' '))
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op13_rabin_karp_phrases", PHRASES_SQL)
+def rabin_karp_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents")).drop("first_doc")
