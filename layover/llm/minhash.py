@@ -1,19 +1,20 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on whole shingle sets.
 
-A document's set holds the hashes of its distinct 5-word shingles, A to Z lower-cased.  128 minima are
-kept as 4 low bits each, packed into 8 longs; 40 bands of 3 minima give buckets of candidates; the
+A document's set holds the hashes of its distinct 5-word shingles, A to Z lower-cased.  512 minima are
+kept as 4 low bits each, packed into 32 longs; 40 bands of 3 minima give buckets of candidates; the
 packed signatures of a candidate pair give, by bit counts and corrected for chance collisions, an
-estimate of their similarity; pairs estimated at 0.5 or more are confirmed on their whole sets.  A pair
-at 0.75 is missed by all bands, or estimated below 0.5, with a probability under 1e-9.
+estimate of their similarity; pairs estimated at 0.63 or more are confirmed on their whole sets.  A pair
+at 0.75 is missed by all bands, or estimated below 0.63, with a probability under 2e-9.
 
-Equal sets are folded into one class first.  Within a bucket nobody is compared with everybody: all
-members meet one centre, confirmed links join labels, and centres are drawn anew for those still apart.
-At the end every pair of a bucket that still has different labels is compared, so no component is split
-for lack of a comparison.
+Equal sets are folded into one class first.  Within a bucket nobody is compared with everybody: members
+outside the most frequent label meet the centres of all their buckets, drawn from that label, by signature;
+the likeliest centre is confirmed, confirmed links join labels, and centres are drawn anew for those still
+apart.  Members of a group that is held together by links are soon of one label.  Those who stay apart meet
+the rest of their buckets by signature, so no component is split for lack of a comparison.
 
 Null or wordless texts have an empty set and link with nothing.  A null id links with nothing, has no
-component and is kept.  Ids are expected to be unique; of rows that share one, each has its own set, and
-all link as the document of that id.
+component and is kept.  Of rows that share an id each has its own set, and all link as the document of that
+id.  Repeated rows are one document.
 """
 
 from __future__ import annotations
@@ -27,19 +28,23 @@ from pyspark.sql import functions as F
 
 from layover.llm.blocks import Hasher, blocks, mix, shingles
 from layover.llm.components import components
-from layover.llm.scratch import keep, release
+from layover.llm.scratch import keep
 
 WIDTH = 5
-HASHES, BITS = 128, 4
+HASHES, BITS = 512, 4
 BANDS, ROWS = 40, 3
 LONGS = HASHES * BITS // 64
 #: Candidates estimated below this similarity are not confirmed: six standard errors under 0.75.
-ESTIMATE = 0.5
-#: Rounds in which a bucket's members meet one centre, before the rest is compared pair by pair.
-CENTRE_ROUNDS = 3
+ESTIMATE = 0.63
+#: Rounds in which members meet centres, before those still apart meet the rest of their buckets.
+CENTRE_ROUNDS = 4
+#: So many centres, drawn anew each round, are compared with a member by the first longs of their signatures.
+CENTRES, BRIEF = 6, 8
 #: At most so many ids (eight bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
+#: What tells sets apart: their size and two sums over their hashes.
+PRINT = ["n_shingles", "f1", "f2"]
 SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>, bands array<long>"
 
 
@@ -48,7 +53,7 @@ def factors() -> np.ndarray:
 
 
 def signatures(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed signature (n, 8) and band hashes (n, 40) of sets that are not empty."""
+    """Packed signature (n, 32) and band hashes (n, 40) of sets that are not empty."""
     minima = np.empty((HASHES, len(first)), dtype=np.uint64)
     for k, a in enumerate(factors()):
         minima[k] = np.minimum.reduceat(values * a, first)
@@ -94,6 +99,17 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the prints of their sets, for rows whose id does not tell the set."""
+    for batch in batches:
+        at = 0
+        for signed in sign(iter([batch])):
+            yield pa.RecordBatch.from_arrays(
+                [*signed.columns[:4], batch.column(1).slice(at, signed.num_rows)], names=["doc_id", *PRINT, "text"]
+            )
+            at += signed.num_rows
+
+
 def overlaps(threshold_pct: int):
     """Confirm pairs on whole sets: keeps (a, b) with 100 * intersection >= pct * union."""
 
@@ -127,11 +143,11 @@ def text_sets(hasher: Hasher, column: pa.Array) -> list[np.ndarray]:
     return [none if i is None else found[i] for i in encoded.indices.to_pylist()]
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, longs: int = LONGS) -> Column:
     """Similarity from two packed signatures: share of equal minima, corrected for chance."""
     ones = int("1" * 16, 16)
     differ = None
-    for i in range(LONGS):
+    for i in range(longs):
         x = a[i].bitwiseXOR(b[i])
         # A differing minimum leaves at least one of its four bits; fold them onto the lowest.
         folded = x.bitwiseOR(F.shiftrightunsigned(x, 1))
@@ -139,15 +155,26 @@ def estimate(a: Column, b: Column) -> Column:
         count = F.bit_count(folded)
         differ = count if differ is None else differ + count
     chance = 1.0 / (1 << BITS)
-    return ((F.lit(1.0) - differ / F.lit(float(HASHES))) - chance) / (1.0 - chance)
+    return ((F.lit(1.0) - differ / F.lit(float(longs * 64 // BITS))) - chance) / (1.0 - chance)
+
 
+def likeliest(met: DataFrame, signed: DataFrame, checked: DataFrame, turn: int) -> DataFrame:
+    """For each id of ``met`` (id, centre) the one of some centres it looks most similar to: pairs (a, b).
 
-def likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) whose signatures look similar enough to be confirmed."""
-    left = signed.select(F.col("doc_id").alias("a"), F.col("sig").alias("__sa"))
-    right = signed.select(F.col("doc_id").alias("b"), F.col("sig").alias("__sb"))
-    known = pairs.join(left, "a").join(right, "b")
-    return known.filter(estimate(F.col("__sa"), F.col("__sb")) >= ESTIMATE).select("a", "b")
+    Which of its centres, one per bucket, is drawn by a hash that differs from turn to turn.  The first part of
+    the signatures decides; whoever is left out meets others in the next turn, or everybody at the end.
+    """
+    drawn = F.collect_set(F.struct(F.xxhash64("id", "centre", F.lit(turn)).alias("rank"), "centre"))
+    some = met.groupBy("id").agg(F.slice(F.array_sort(drawn), 1, CENTRES).alias("some"))
+    some = some.select("id", F.explode("some").alias("c")).select("id", "c.centre")
+    pair = [F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")]
+    some = some.select("id", "centre", *pair).join(checked, ["a", "b"], "left_anti")
+    brief = F.slice("sig", 1, BRIEF)
+    left = signed.select(F.col("doc_id").alias("id"), brief.alias("own"))
+    right = signed.select(F.col("doc_id").alias("centre"), brief.alias("theirs"))
+    known = some.join(right, "centre").join(left, "id").select("id", "centre", estimate(F.col("own"), F.col("theirs"), BRIEF).alias("alike"))
+    best = known.filter(F.col("alike") >= ESTIMATE).groupBy("id").agg(F.max_by("centre", F.struct("alike", "centre")).alias("centre"))
+    return best.select(*pair).distinct()
 
 
 def rows_with(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -167,17 +194,18 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold_pct: int) -> DataFrame
 
 
 def centres(labelled: DataFrame, turn: int) -> DataFrame:
-    """Buckets that still hold different labels: (bucket, m, n, main, rank, centre).
+    """Buckets that still hold different labels: (bucket, m, n, main, centre).
 
     Of m members n carry the most frequent label, main, and the centre is one of these: first the member
-    that meets most others in all its buckets, as the original of many copies does, then another each turn.
+    that meets most others in all its buckets, as the original of many copies does, then another each turn,
+    drawn per bucket, so that a member of many buckets meets many centres.
     """
-    rank = F.col("degree") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    rank = F.col("degree") if turn == 0 else F.xxhash64("bucket", "id", F.lit(turn))
     drawn = F.struct(rank.alias("rank"), F.col("id").alias("centre"))
     counted = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.max(drawn).alias("drawn"))
     main = F.max(F.struct("n", "drawn", "label"))
     stats = counted.groupBy("bucket").agg(F.sum("n").alias("m"), main.alias("main")).filter("m > main.n")
-    return stats.select("bucket", "m", "main.n", F.col("main.label").alias("main"), "main.drawn.*")
+    return stats.select("bucket", "m", "main.n", F.col("main.label").alias("main"), "main.drawn.centre")
 
 
 def still_apart(apart: DataFrame, labelled: DataFrame, signed: DataFrame, checked: DataFrame) -> DataFrame:
@@ -209,20 +237,57 @@ def relabelled(labels: DataFrame, confirmed: DataFrame) -> DataFrame:
     return labels.join(step, "label", "left").select("id", "degree", F.coalesce("__to", "label").alias("label"))
 
 
+def nodes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A node per set, (node, least, *PRINT), and links (a, b) between sets of one id, from (doc_id, *PRINT).
+
+    ``least`` is the smallest id of the set, and its node; of several sets with one smallest id all but one are
+    known by numbers beyond all ids, which never are the smallest of a component.
+    """
+    spark = prints.sparkSession
+    sets = prints.groupBy(*PRINT).agg(F.min("doc_id").alias("least")).checkpoint()
+    ends = prints.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in PRINT])
+    several = ends.filter(" OR ".join(f"min_{c} <> max_{c}" for c in PRINT)).select("doc_id").checkpoint()
+    if not several.limit(1).count():
+        return sets.withColumn("node", F.col("least")), spark.createDataFrame([], "a long, b long")
+    shared = prints.join(several, "doc_id", "left_semi").distinct()
+    chosen = shared.groupBy("doc_id").agg(F.min(F.struct(*PRINT)).alias("lo")).select(F.col("doc_id").alias("least"), "lo.*")
+    twice = sets.join(several.withColumnRenamed("doc_id", "least"), "least", "left_semi").join(chosen, ["least", *PRINT], "left_anti")
+    top = prints.agg(F.max("doc_id")).first()[0]
+    other = twice.select(*PRINT, (F.lit(top + 1) + F.monotonically_increasing_id()).alias("other")).checkpoint()
+    named = sets.join(other, PRINT, "left").withColumn("node", F.coalesce("other", "least")).drop("other").checkpoint()
+    of = shared.join(named, PRINT).select("doc_id", "node")
+    first = of.groupBy("doc_id").agg(F.min("node").alias("first"))
+    joined = of.join(first, "doc_id").filter("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    # The id itself belongs to the component, whatever its sets are known by.
+    own = first.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    return named, joined.unionByName(own).distinct().checkpoint()
+
+
+def texts_of(docs: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """A text (doc_id, text) for each node among ``ids``; equal texts may come back."""
+    wanted = rows_with(sets.select(F.col("node").alias("doc_id"), "least", *PRINT), ids)
+    odd = wanted.filter("doc_id <> least").select("least").distinct().checkpoint()
+    found = rows_with(docs.select("doc_id", "text"), wanted.select(F.col("least").alias("doc_id")).distinct())
+    if not odd.limit(1).count():
+        return found
+    odd = odd.withColumnRenamed("least", "doc_id")
+    told = found.join(odd, "doc_id", "left_semi").mapInArrow(printed, "doc_id long, n_shingles long, f1 long, f2 long, text string")
+    told = told.join(wanted.withColumnRenamed("doc_id", "node"), PRINT).filter("doc_id = least").select(F.col("node").alias("doc_id"), "text")
+    return found.join(odd, "doc_id", "left_anti").unionByName(told)
+
+
 def classes(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): (doc_id, n_shingles, component_id, kept).
 
     ``component_id`` is the smallest id reachable over links of at least the threshold.
     """
-    plain = docs.select("doc_id", "text")
-    signed = keep(plain.mapInArrow(sign, SIGNED), "minhash-signatures")
-    print_key = ["n_shingles", "f1", "f2"]
-    prints = signed.select("doc_id", *print_key).filter("doc_id IS NOT NULL AND n_shingles > 0")
-    # One class per set, known by its smallest id; only that document goes on.
-    sets = prints.groupBy(*print_key).agg(F.min("doc_id").alias("rep")).checkpoint()
-    named = sets.select(F.col("rep").alias("doc_id"), *print_key)
-    chosen = signed.join(named, ["doc_id", *print_key], "left_semi").select("doc_id", "sig", "bands")
-    reps = keep(chosen.dropDuplicates(["doc_id"]), "minhash-classes")
+    spark = docs.sparkSession
+    signed = keep(docs.select("doc_id", "text").mapInArrow(sign, SIGNED), "minhash-signatures")
+    prints = signed.select("doc_id", *PRINT).filter("doc_id IS NOT NULL AND n_shingles > 0")
+    # One class per set; only one document of it goes on.
+    sets, links = nodes(prints)
+    first = signed.join(sets.withColumnRenamed("least", "doc_id"), ["doc_id", *PRINT])
+    reps = keep(first.select(F.col("node").alias("doc_id"), "sig", "bands").dropDuplicates(["doc_id"]), "minhash-classes")
     placed = reps.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct("bands")).alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     sized = keep(placed.join(shared, "bucket"), "minhash-buckets")
@@ -230,14 +295,11 @@ def classes(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
     members = sized.drop("m")
     size = members.count()
 
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
     if size:
         ids = degrees.select(F.col("id").alias("doc_id"))
-        texts = keep(rows_with(plain, ids), "minhash-texts")
         signed_ids = keep(rows_with(reps.select("doc_id", "sig"), ids), "minhash-candidates")
-        release(spark)
-    labels, checked = degrees.withColumn("label", F.col("id")), links
+        texts = keep(texts_of(docs, sets, ids), "minhash-texts")
+    labels, checked = degrees.withColumn("label", F.col("id")), spark.createDataFrame([], "a long, b long")
     for turn in range(CENTRE_ROUNDS + 1 if size else 0):
         labels = labels.checkpoint()
         labelled = members.join(labels, "id")
@@ -249,12 +311,8 @@ def classes(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
         last = turn == CENTRE_ROUNDS or work <= size
         if last:
             fresh = still_apart(apart, labelled, signed_ids, checked)
-        else:  # everybody outside meets one centre of all its buckets
-            met = apart.filter("id <> centre").groupBy("id").agg(
-                F.max_by("centre", F.struct("rank", "centre")).alias("centre")
-            )
-            some = met.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
-            fresh = likely(some.join(checked, ["a", "b"], "left_anti") if turn else some, signed_ids)
+        else:
+            fresh = likeliest(apart.select("id", "centre").distinct(), signed_ids, checked, turn)
         fresh = fresh.checkpoint()
         confirmed = confirm(fresh, texts, threshold_pct).checkpoint()
         links = links.unionByName(confirmed)
@@ -263,10 +321,10 @@ def classes(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
         checked = checked.unionByName(fresh)
         labels = relabelled(labels, confirmed)
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    by_class = sets.join(found, sets.rep == found.id, "left").select(
-        *print_key, F.coalesce("component", "rep").alias("component")
+    by_class = sets.join(found, sets.node == found.id, "left").select(
+        *PRINT, F.coalesce("component", "node").alias("component")
     )
-    rows = signed.select("doc_id", *print_key).join(by_class, print_key, "left")
+    rows = signed.select("doc_id", *PRINT).join(by_class, PRINT, "left")
     component = F.when(
         F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     )

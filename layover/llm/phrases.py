@@ -10,9 +10,10 @@ task, then by a shuffle) where a bitmap of the frequent prints of length k - 1 a
 ``FILTER_BITS`` bits however many prints there are; where it lets one through in error, it is counted in vain.
 
 Only frequent prints are spelled out.  In every block the occurrences of a print are compared with its first
-one: words byte by byte, phrases by their words.  The first one's text goes on with the number that agree
-and a document they stand in; others with the same print are groups of their own.  So final counts are of
-texts, and a collision of prints costs work but never a count.
+one, to which it points: words byte by byte, phrases by their words.  The first one's text is compared with what the
+task has under this print and goes on with the number that agree and a document they stand in; others with
+the same print are groups of their own.  So final counts are of texts, and a collision of prints costs work
+but never a count.
 
 Null texts are empty.  Null ids count, but are never named as ``first_doc``; rows that share an id, and exact
 repeats, all count.  Ties in score are broken by count, then by the phrase's bytes.  An empty table has no
@@ -41,6 +42,9 @@ ABSORB_PCT = 100
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLOCK = 4 << 20
 FILTER_BITS = 26
+#: A task hands on the phrases it has spelled out when they are so many or so long.
+POOL, POOL_BYTES = 500_000, 32 << 20
+MISSING = np.iinfo(np.int64).max
 #: Leading bits of a print that are used; fewer only to force collisions in tests.
 PRINT_BITS = 64
 
@@ -192,22 +196,83 @@ def same_bytes(words: Words, data: np.ndarray):
     return same
 
 
+def bytes_of(words: Words, data: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of the runs of ``size`` words at ``place``, words parted by a space: bytes, and the length of each."""
+    each = (place[:, None] + np.arange(size)).reshape(-1)
+    length = (words.end - words.start)[each]
+    within = spread(length + 1)
+    source = np.repeat(words.start[each], length + 1) + within
+    space = within == np.repeat(length, length + 1)
+    out = np.where(space, 32, data[np.minimum(source, len(data) - 1)]).astype(np.uint8)
+    last = np.cumsum(length + 1)[size - 1 :: size] - 1
+    return np.delete(out, last), length.reshape(-1, size).sum(axis=1) + size - 1
+
+
+class Pool:
+    """Phrases a task has met, by print: their texts, counts and least documents.  Texts of one print may differ."""
+
+    def __init__(self):
+        none = np.zeros(0, np.int64)
+        self.prints, self.data = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        self.columns = {name: none for name in ("lang", "words", "n", "doc", "start", "length")}
+
+    def add(self, prints: np.ndarray, data: np.ndarray, columns: dict[str, np.ndarray]) -> None:
+        """Phrases of a block, each text once; equal ones are added up, others join the pool."""
+        own = self.columns
+        at = np.searchsorted(self.prints, prints)
+        old = np.flatnonzero(np.append(self.prints, np.uint64(0))[at] == prints)
+        old = old[at[old] < len(self.prints)]
+        for name in ("lang", "words", "length"):
+            old = old[own[name][at[old]] == columns[name][old]]
+        n = columns["length"][old]
+        differ = np.append(0, np.cumsum(
+            data[np.repeat(columns["start"][old], n) + spread(n)] != self.data[np.repeat(own["start"][at[old]], n) + spread(n)]
+        ))
+        stop = np.cumsum(n)
+        old = old[differ[stop] == differ[stop - n]]
+        own["n"][at[old]] += columns["n"][old]
+        own["doc"][at[old]] = np.minimum(own["doc"][at[old]], columns["doc"][old])
+        new = np.ones(len(prints), dtype=bool)
+        new[old] = False
+        if new.any():
+            n = columns["length"][new]
+            texts = data[np.repeat(columns["start"][new], n) + spread(n)]
+            added = columns | {"start": np.zeros(len(prints), np.int64)}
+            added["start"][new] = len(self.data) + np.cumsum(n) - n
+            joined = np.concatenate([self.prints, prints[new]])
+            order = np.argsort(joined, kind="stable")
+            self.prints, self.data = joined[order], np.concatenate([self.data, texts])
+            self.columns = {name: np.concatenate([own[name], added[name][new]])[order] for name in own}
+
+    def rows(self, names: list[str]) -> pa.RecordBatch:
+        own = self.columns
+        order = np.argsort(own["start"])  # texts follow each other in the data
+        ends = np.append(0, np.cumsum(own["length"][order])).astype(np.int32)
+        texts = pa.StringArray.from_buffers(len(order), pa.py_buffer(ends), pa.py_buffer(self.data))
+        doc = own["doc"][order]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(names, pa.string()).take(pa.array(own["lang"][order])), texts, pa.array(own["words"][order].astype(np.int32)),
+                pa.array(own["n"][order]), pa.array(doc, mask=doc == MISSING),
+            ],
+            names=["lang", "phrase", "words", "n", "doc"],
+        )
+
+
 def spell(bitmaps: list[Bitmap]):
-    """Texts of frequent prints and how often each stands in a block."""
+    """Texts of frequent prints and how often each stands in a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader, pool, names = Reader(), Pool(), {}
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
-            names, ids = langs.dictionary.to_pylist(), batch.column(2)
-            missing = np.iinfo(np.int64).max
-            doc_of = ids.fill_null(missing).to_numpy()
+            known = np.array([names.setdefault(name, len(names)) for name in langs.dictionary.to_pylist()], dtype=np.int64)
+            codes, docs = known[langs.indices.to_numpy()], batch.column(2).fill_null(MISSING).to_numpy()
             for runs in reader.runs(batch.column(1), batch.column(0)):
-                words = runs.words
-                data = runs.block.data
+                words, data = runs.words, runs.block.data
                 data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
                 word = parted(words.hash, same_bytes(words, data))
-                code = langs.indices.to_numpy()[runs.block.first : runs.block.first + runs.block.n]
+                code = codes[runs.block.first : runs.block.first + runs.block.n]
                 for size, bitmap in enumerate(bitmaps, 1):
                     at = frequent_at(runs, size, bitmap)
                     if not len(at):
@@ -220,21 +285,19 @@ def spell(bitmaps: list[Bitmap]):
                             equal &= word[x + k] == word[y + k]
                         return equal
 
-                    group, begin, of = np.unique(parted(runs.prints(at, size), same), return_index=True, return_inverse=True)
-                    least = np.full(len(group), missing)
-                    np.minimum.at(least, of, doc_of[runs.block.first + words.text[at]])
-                    place = at[group]
-                    texts = [
-                        b" ".join([data[words.start[i + k] : words.end[i + k]].tobytes() for k in range(size)]) for i in place
-                    ]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([names[c] for c in code[words.text[place]]], pa.string()), pa.array(texts, pa.binary()).cast(pa.string()),
-                            pa.array(np.full(len(group), size, np.int32)), pa.array(np.bincount(of, minlength=len(group)).astype(np.int64)),
-                            pa.array(least, mask=least == missing),
-                        ],
-                        names=["lang", "phrase", "words", "n", "doc"],
-                    )
+                    prints = runs.prints(at, size)
+                    group, of = np.unique(parted(prints, same), return_inverse=True)
+                    least = np.full(len(group), MISSING)
+                    np.minimum.at(least, of, docs[runs.block.first + words.text[at]])
+                    text, length = bytes_of(words, data, at[group], size)
+                    pool.add(prints[group], text, {
+                        "lang": code[words.text[at[group]]], "words": np.full(len(group), size), "n": np.bincount(of, minlength=len(group)),
+                        "doc": least, "start": np.cumsum(length) - length, "length": length,
+                    })
+                if len(pool.prints) > POOL or len(pool.data) > POOL_BYTES:
+                    yield pool.rows(list(names))
+                    pool = Pool()
+        yield pool.rows(list(names))
 
     return run
 

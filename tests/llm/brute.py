@@ -68,61 +68,3 @@ def repeated_bytes(docs: list[tuple], length: int = 50) -> dict:
         rest = bytes(b for b, g in zip(raw, gone) if not g)
         out[i] = (len(raw), sum(gone), spans, hashlib.sha256(rest).hexdigest())
     return out
-
-
-def units_of(text: str, reach: int = 4, period: int = 16) -> list[tuple[int, int, tuple]]:
-    """(first byte, byte after, words) of the units of a text, from their definition and one word at a time."""
-    import numpy as np
-
-    from layover.llm.blocks import Hasher, blocks, mix
-
-    import pyarrow as pa
-
-    raw = text.encode()
-    found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-    hasher = Hasher(lower=True)
-    hashed = [int(h) for b in blocks(pa.array([text])) for h in hasher.words(b).hash]
-    value = [None]
-    for a, b in zip(hashed, hashed[1:]):
-        value.append(int(mix((mix(np.array([a], np.uint64)) * np.uint64(3) + np.uint64(b)))[0]))
-    starts, run = [], 0
-    for i, (a, _) in enumerate(found):
-        run = run + 1 if i and hashed[i] == hashed[i - 1] else 0
-        line = i == 0 or b"\n" in raw[found[i - 1][1] : a]
-        least = i > 0 and all(value[i] < value[j] for j in range(max(1, i - reach), i)) and all(
-            value[i] <= value[j] for j in range(i + 1, min(len(found), i + reach + 1))
-        )
-        if line or least or (run and run % period == 0):
-            starts.append(i)
-    out = []
-    for k, i in enumerate(starts):
-        stop = starts[k + 1] if k + 1 < len(starts) else len(found)
-        end = found[stop][0] if stop < len(found) else len(raw)
-        out.append((found[i][0], end, tuple(raw[a:b].lower() for a, b in found[i:stop])))
-    return out
-
-
-def without_repeats(docs: list[tuple], min_words: int = 13) -> dict:
-    """doc_id -> text without the runs of units that stand in an earlier place."""
-    cut = {i: units_of(t) for i, t in docs if t is not None and i is not None}
-    first: dict = {}
-    for i in sorted(cut):
-        for k, (_, _, words) in enumerate(cut[i]):
-            first.setdefault(words, (i, k))
-    out = {}
-    for i, t in docs:
-        if i not in cut:
-            out[i] = t
-            continue
-        raw, kept, place, run = t.encode(), [], 0, []
-        for k, unit in enumerate([*cut[i], None]):
-            if unit is not None and first[unit[2]] != (i, k):
-                run.append(unit)
-                continue
-            if sum(len(u[2]) for u in run) >= min_words:
-                kept.append(raw[place : run[0][0]])
-                place = run[-1][1]
-            run = []
-        kept.append(raw[place:])
-        out[i] = b"".join(kept).decode()
-    return out

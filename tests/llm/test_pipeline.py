@@ -7,6 +7,7 @@ from layover.llm import mixing, toxicity
 from layover.llm.scratch import keep
 from tests.conftest import SF_SMALL
 from tests.llm import brute
+from tests.llm.test_passages import plain as without_repeats
 from tests.llm.test_text import hold_packing, pairs
 
 
@@ -31,7 +32,7 @@ def test_stages(spark):
     assert sorted(i for i, _ in pairs(single)) == sorted(i for i, (_, c) in known.items() if i == c)
 
     fresh = run("repeated passages", single)
-    assert dict(pairs(fresh)) == brute.without_repeats(pairs(single))
+    assert dict(pairs(fresh)) == without_repeats(pairs(single))
     assert all(r["n_chars"] == len(r["text"]) for r in fresh.collect() if r["text"] is not None)
 
     mixed = run("mixing", fresh)
@@ -52,6 +53,13 @@ def test_odd_rows_go_through(spark, odd, none, tmp_path):
         assert (docs.count() > 0) == (given.count() > 0)
 
 
+def test_every_text_of_an_id_stays(spark):
+    docs = spark.createDataFrame([(1, "one text of its own", 9), (1, "and another one", 7), (1, "and another one", 7), (None, "x", 1)], "doc_id long, text string, __nth int")
+    kept = pipeline.one_of_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter({(1, "one text of its own", 9): 1, (1, "and another one", 7): 1, (None, "x", 1): 1})
+
+
 def test_one_row_of_repeated_ones_stays(spark, odd):
     kept = pipeline.one_of_near_copies(spark, odd, "")
     ids = Counter(i for i, _ in pairs(kept))

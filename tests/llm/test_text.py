@@ -174,7 +174,7 @@ def test_near_copies_against_all_pairs(spark):
     assert got == brute.near_classes(pairs(docs))
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
+@pytest.mark.parametrize("rounds", [0, 4])
 def test_near_copies_of_odd_rows(spark, odd, none, monkeypatch, rounds):
     monkeypatch.setattr(minhash, "CENTRE_ROUNDS", rounds)
     rows = minhash.classes(odd).collect()
@@ -198,6 +198,37 @@ def test_a_large_group_of_near_copies_is_one(spark):
     assert got == {i: c for i, (_, c) in known.items()}
 
 
+def test_texts_that_share_an_id_link_as_one_document(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    third = [f"u{i}" for i in range(60)]
+    say = lambda words, k: " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])
+    docs = [(1, say(base, 0)), (1, say(other, 0)), (2, say(base, 59)), (3, say(other, 59)), (4, "on its own here and now"),
+            (5, say(third, 0)), (6, say(third, 59)), (6, say(base, 58)), (7, say(other, 58)), (7, say(third, 58)), (1, say(base, 0)),
+            (9, "alone with two texts"), (9, "the second of them"), (10, "The second of them")]
+    got = minhash.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted(
+        (i, 4 if i == 4 else 9 if i > 8 else 1) for i, _ in docs
+    )
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_members_of_a_loose_group(spark):
+    """Copies similar to each other by 0.5 to 0.9, so that some link and some do not."""
+    import random
+
+    random.seed(9)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(400):
+        words = list(base)
+        for k in random.sample(range(150), random.randint(0, 9)):
+            words[k] = f"x{i}y{k}"
+        docs.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute.near_classes(docs).items()}
+
+
 # --- repeats -------------------------------------------------------------------------------
 
 
@@ -205,17 +236,13 @@ def test_repeated_passages(spark, odd, none):
     rows = passages.remove_repeats(odd)
     assert rows.columns == [*odd.columns, "spans"] and rows.count() == odd.count()
     got = {r["doc_id"]: r["text"] for r in rows.filter("doc_id IS NOT NULL").collect()}
-    assert got == brute.without_repeats([p for p in {*pairs(odd)} if p[0] is not None])
+    from tests.llm.test_passages import plain
+
+    assert got == plain([p for p in {*pairs(odd)} if p[0] is not None])
     assert sum("shared30word" in (t or "") for t in got.values()) == 1
     assert passages.remove_repeats(none).count() == 0
 
 
-def test_repeated_passages_of_the_test_table(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r["doc_id"]: r["text"] for r in passages.remove_repeats(docs).collect()}
-    assert got == brute.without_repeats(pairs(docs))
-
-
 def test_repeated_bytes(spark, odd, none):
     for docs in (odd, spark.read.parquet(f"{SF_SMALL}/documents.parquet")):
         rows = bwt.remove_repeated_bytes(docs)
