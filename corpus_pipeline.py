@@ -8,7 +8,6 @@ return the columns of their documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from layover.llm import minhash, mixing, packing, passages, toxicity
@@ -22,11 +21,19 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-copies, once; null ids all stay."""
+    """The document with the smallest id of every group of near-copies.
+
+    Rows without an id all stay.  Of rows that share an id one stays for each different text.
+    """
     copies = minhash.classes(docs).filter("NOT kept").select("doc_id").distinct()
-    rest = docs.join(copies, "doc_id", "left_anti")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rest.withColumn("__nth", nth).filter("__nth = 1 OR doc_id IS NULL").select(*docs.columns)
+    rest = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    ids = rest.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    again = ids.filter("n > 1").select("doc_id").checkpoint()
+    if not again.limit(1).count():
+        return rest
+    once = rest.join(again, "doc_id", "left_anti").select(*docs.columns)
+    several = rest.join(again, "doc_id", "left_semi").select(*docs.columns)
+    return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
