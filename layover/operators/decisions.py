@@ -19,6 +19,7 @@ from layover.functions.outcome import present
 from layover.operators import audit as au
 from layover.operators import chat
 from layover.operators.keys import attach, rows_for
+from layover.operators.mutate import is_true
 
 # Archetypes and actions the guardrails name.
 CHOICE_ORIENTED = "CHOICE_ORIENTED"
@@ -356,31 +357,50 @@ def next_step(profiles: DataFrame, audit: DataFrame, messages: DataFrame) -> Dat
     )
 
 
+def case_states(messages: DataFrame, audit: DataFrame) -> DataFrame:
+    """Per customer of the messages: the first message, the open case the audit log knows, the first new staging.
+
+    (customer_id, __first, __case, __open, __staged_from).  Messages have an order, so one staged case changes
+    every later message of its customer and none before it: the earliest staging is all that has to be known,
+    and it is a minimum, folded per customer before anything is moved.
+    """
+    order = F.struct("signal_timestamp", "signal_id")
+    bare = messages.select("customer_id", order.alias("__order"), "turn")
+    first = bare.groupBy("customer_id").agg(F.min("__order").alias("__first"))
+    staging = au.staging_state(audit).select(
+        "customer_id", F.col("case_id").alias("__case"), F.coalesce("is_open", F.lit(False)).alias("__open")
+    )
+    known = first.join(staging, "customer_id", "left").withColumn("__open", F.coalesce("__open", F.lit(False)))
+    # A message without earlier turns stages, unless it is the first one and finds a case open.
+    fresh = attach(bare.filter(~is_true(F.col("turn") > 0)), known.select("customer_id", "__first", "__open"), "customer_id")
+    stages = ~(F.coalesce("__open", F.lit(False)) & F.col("__order").eqNullSafe(F.col("__first")))
+    staged = fresh.filter(stages).groupBy("customer_id").agg(F.min("__order").alias("__staged_from"))
+    return known.join(staged, "customer_id", "left")
+
+
 def concierge_steps(messages: DataFrame, audit: DataFrame, as_of=None, templates=None) -> DataFrame:
     """Decided messages with the step each takes, its case and its follow-up number.
 
     ``messages`` needs signal_id, pnr, customer_id, signal_timestamp, turn, message_text and
-    agent_text; ``turn`` counts the earlier turns of both sides.  A customer's first message of the
-    batch continues an open case, and closes it; any other message with earlier turns holds again and
-    continues the newest case, the new one if the batch staged one; a message without stages first.
+    agent_text; ``turn`` counts the earlier turns of both sides.  The rows are those of the messages taken one by
+    one, by time and id, each seeing what the ones before it left: a customer's first message of the batch
+    continues an open case, and closes it; any other message with earlier turns holds again and continues the
+    newest case, one the batch staged before it if there is one; a message without earlier turns stages first.
     A case that is missing is null here and gets an id with its audit row.
     """
-    decided = decide(messages, templates=templates)
     order = F.struct("signal_timestamp", "signal_id")
-    first = messages.groupBy("customer_id").agg(
-        F.min(order).alias("__first"), F.min("turn").alias("__least")
-    )
-    staging = au.staging_state(audit).select("customer_id", F.col("case_id").alias("__case"), F.col("is_open").alias("__open"))
-    known = attach(decided, first.join(staging, "customer_id", "left"), "customer_id")
+    # Steps come from bare columns; texts are decided once, on the rows that leave here.
+    known = attach(messages, case_states(messages, audit), "customer_id")
     is_open = F.coalesce("__open", F.lit(False)) & order.eqNullSafe(F.col("__first"))
     step = F.when(is_open, CONTINUE).when(F.col("turn") > 0, HOLD_AGAIN).otherwise(STAGE_FIRST)
-    made = known.withColumn("step", step)
-    # Whether the batch stages the customer anew: some message has no earlier turn and no open case.
-    staged = made.groupBy("customer_id").agg(F.max(F.col("step") == STAGE_FIRST).alias("__staged"))
-    made = attach(made, staged, "customer_id")
-    new_case = (F.col("step") == STAGE_FIRST) | ((F.col("step") == HOLD_AGAIN) & F.col("__staged"))
-    return made.select(
-        *decided.columns,
+    stepped = known.withColumn("step", step)
+    after = F.coalesce(order >= F.col("__staged_from"), F.lit(False))
+    new_case = (F.col("step") == STAGE_FIRST) | ((F.col("step") == HOLD_AGAIN) & after)
+    decided = decide(stepped, templates=templates)
+    own = {"__first", "__case", "__open", "__staged_from", "step"}
+    made = [c for c in decided.columns if c not in own]
+    return decided.select(
+        *made,
         "step",
         F.when(new_case, au.case_id(as_of=as_of)).otherwise(F.col("__case")).alias("case_id"),
         (F.floor(F.col("turn") / 2) + 1).alias("follow_up_number"),

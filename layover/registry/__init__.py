@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from layover.sources import testviews
 
-MODULES = ["audit", "passengers", "text", "inventory", "versions", "decisions", "tables", "streams"]
+MODULES = ["audit", "passengers", "text", "inventory", "versions", "decisions", "seats", "tables", "streams"]
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

@@ -161,11 +161,16 @@ FROM (SELECT f.*, s.case_id AS staged_case, row_number() OVER (PARTITION BY f.cu
  s.exec_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_closed c WHERE c.case_id = s.case_id) AS open
  FROM d_final f LEFT JOIN d_latest_staging s ON s.customer_id = f.customer_id)""",
 )
-part("d_restaged", "SELECT DISTINCT customer_id FROM d_steps WHERE step = 'STAGE_FIRST'")
+part("d_restaged", "SELECT customer_id, min(struct_pack(t := signal_timestamp, i := signal_id)) AS since FROM d_steps WHERE step = 'STAGE_FIRST' GROUP BY 1")
+part(
+    "d_cases",
+    """SELECT s.*, step = 'STAGE_FIRST' OR (step = 'HOLD_AGAIN_AND_CONTINUE' AND coalesce(struct_pack(t := signal_timestamp, i := signal_id) >= since, false)) AS new_case
+FROM d_steps s LEFT JOIN d_restaged r ON r.customer_id = s.customer_id""",
+)
 query(
     "concierge_steps",
-    """SELECT signal_id, step, CASE WHEN step = 'STAGE_FIRST' OR (step = 'HOLD_AGAIN_AND_CONTINUE' AND customer_id IN (SELECT customer_id FROM d_restaged))
-  THEN 'CASE-' || customer_id || '-20240131000000' ELSE staged_case END AS case_id, turn // 2 + 1 AS follow_up_number FROM d_steps""",
+    """SELECT signal_id, step, CASE WHEN new_case THEN 'CASE-' || customer_id || '-20240131000000' ELSE staged_case END AS case_id,
+ turn // 2 + 1 AS follow_up_number FROM d_cases""",
 )(
     lambda t: decisions.concierge_steps(t.agent_output, t.exec, as_of=AS_OF).select(
         "signal_id", "step", "case_id", "follow_up_number"
@@ -182,14 +187,38 @@ part(
 part(
     "d_pull",
     """SELECT 'EXEC-2024-01-31-000000-' || f.customer_id || '-' || f.signal_id AS exec_id,
- CASE WHEN step = 'STAGE_FIRST' OR (step = 'HOLD_AGAIN_AND_CONTINUE' AND f.customer_id IN (SELECT customer_id FROM d_restaged))
+ CASE WHEN new_case
   THEN 'CASE-' || f.customer_id || '-20240131000000'
   ELSE coalesce(nullif(staged_case, ''), 'CASE-' || f.customer_id || '-20240131000000') END AS case_id, f.pnr, f.customer_id,
  'PULL_CONCIERGE' AS scenario, f.action_code AS action_taken,
  CAST(json_object('chosen_flight', chosen_flight, 'seat', seat, 'amenity', amenity, 'action_code', action_code,
   'chat_message', message_text, 'chat_turns', turn + 1, 'agent_reasoning', reasoning_summary) AS VARCHAR) AS reasoning,
  'SUCCESS' AS status, true AS success_flag, TIMESTAMP '2024-01-31 00:00:00' AS executed_at
-FROM d_steps f UNION ALL SELECT * FROM d_new_staging""",
+FROM d_cases f UNION ALL SELECT * FROM d_new_staging""",
+)
+# The same messages arriving in the opposite order: most have earlier turns before one without any stages anew.
+part("d_back", "SELECT * REPLACE (TIMESTAMP '2026-08-12 13:00:00' - INTERVAL '1' MINUTE * CAST(turn AS INT) AS signal_timestamp) FROM v_agent_output")
+part(
+    "d_back_steps",
+    """SELECT *, CASE WHEN nth = 1 AND open THEN 'CONTINUE_STAGED_CASE' WHEN turn > 0 THEN 'HOLD_AGAIN_AND_CONTINUE' ELSE 'STAGE_FIRST' END AS step
+FROM (SELECT f.signal_id, f.customer_id, f.turn, f.signal_timestamp, s.case_id AS staged_case,
+ row_number() OVER (PARTITION BY f.customer_id ORDER BY f.signal_timestamp, f.signal_id) AS nth,
+ s.exec_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_closed c WHERE c.case_id = s.case_id) AS open
+ FROM d_back f LEFT JOIN d_latest_staging s ON s.customer_id = f.customer_id)""",
+)
+query(
+    "concierge_steps_in_order",
+    """SELECT signal_id, step, turn // 2 + 1 AS follow_up_number,
+ CASE WHEN step = 'STAGE_FIRST' OR (step = 'HOLD_AGAIN_AND_CONTINUE' AND coalesce(bool_or(step = 'STAGE_FIRST') OVER (PARTITION BY customer_id
+   ORDER BY signal_timestamp, signal_id), false)) THEN 'CASE-' || customer_id || '-20240131000000' ELSE staged_case END AS case_id FROM d_back_steps""",
+)(
+    lambda t: decisions.concierge_steps(
+        t.agent_output.withColumn(
+            "signal_timestamp", F.expr("TIMESTAMP_NTZ '2026-08-12 13:00:00' - INTERVAL '1' MINUTE * CAST(turn AS INT)")
+        ),
+        t.exec,
+        as_of=AS_OF,
+    ).select("signal_id", "step", "case_id", "follow_up_number")
 )
 query("pull_resolution", "SELECT * FROM d_pull")(
     lambda t: decisions.pull_resolution(t.agent_output, t.exec, as_of=AS_OF)
