@@ -1,10 +1,11 @@
 """Queries run as streams over the test files until the input is used up."""
 
-from layover.operators import audit as au  # noqa: F401
+from pyspark.sql import functions as F
+
 from layover.registry import query
 from layover.session import new_path
 from layover.sources import testviews
-from layover.streaming import ingest
+from layover.streaming import arrivals, ingest
 
 
 def stream_of(t, name: str):
@@ -44,3 +45,21 @@ def event_ingest_stream(t):
     query = ingest.write_first_seen(files.unionByName(files), path, f"{path}-state", "pnr", "event_timestamp")
     ingest.drain(query)
     return t.spark.read.schema(files.schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+@query(
+    "keyed_arrivals_stream",
+    """SELECT * FROM (SELECT CASE WHEN right(pnr, 1) IN ('3', '8') THEN NULL ELSE signal_id END AS signal_id, * EXCLUDE (signal_id) FROM v_chat)
+WHERE signal_id IS NOT NULL UNION ALL
+SELECT NULL, v_chat.* EXCLUDE (signal_id) FROM v_chat, range(2) WHERE right(pnr, 1) IN ('3', '8')""",
+)
+def keyed_arrivals_stream(t):
+    # Every row arrives twice, in files in no order of time; some have no id and are no repeats.
+    path = new_path(t.spark, "arrivals")
+    lost = t.chat.withColumn("signal_id", F.expr("CASE WHEN right(pnr, 1) IN ('3', '8') THEN NULL ELSE signal_id END"))
+    lost.repartition(2, "customer_id").write.parquet(f"{path}-in")
+    lost.repartition(2, "message_text").write.mode("append").parquet(f"{path}-in")
+    files = ingest.read_files(t.spark, f"{path}-in", lost.schema, files_per_batch=1)
+    unique = arrivals.first_arrivals(files, "signal_id", "signal_timestamp", keep_for="30 days")
+    ingest.drain(arrivals.write_arrivals(unique, path, f"{path}-state", "signal_timestamp", lateness="1 minute"))
+    return arrivals.read_arrivals(t.spark, path, lost.schema)
