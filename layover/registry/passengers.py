@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from layover.operators import crossings
 from layover.operators import passengers as px
 from layover.operators.keys import newest_first, rows_for
 from layover.registry import part, query
@@ -76,6 +77,14 @@ query(
     "SELECT * FROM v_flight_events WHERE new_connection_mins < 40 AND new_connection_mins < orig_connection_mins",
 )(lambda t: px.misconnects(t.flight_events, 40))
 
+query(
+    "misconnect_crossings",
+    """SELECT * EXCLUDE (below, before) FROM (
+ SELECT *, lag(below) OVER (PARTITION BY customer_id ORDER BY event_timestamp NULLS LAST, pnr) AS before FROM (
+  SELECT *, new_connection_mins < 60 AND new_connection_mins < orig_connection_mins AS below FROM v_flight_events))
+WHERE below AND NOT coalesce(before, false)""",
+)(lambda t: crossings.crossings(t.flight_events, 60, key="customer_id", tie="pnr"))
+
 query("events_recent", "SELECT * FROM v_flight_events ORDER BY event_timestamp DESC, pnr DESC")(
     lambda t: t.flight_events.orderBy(*newest_first("event_timestamp", "pnr"))
 )
