@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from layover.registry import query
+from layover.registry.audit import COUNTS
 from layover.session import new_path
 from layover.sources import testviews
-from layover.streaming import arrivals, ingest
+from layover.streaming import arrivals, ingest, live
 
 
 def stream_of(t, name: str):
@@ -63,3 +64,37 @@ def keyed_arrivals_stream(t):
     unique = arrivals.first_arrivals(files, "signal_id", "signal_timestamp", keep_for="30 days")
     ingest.drain(arrivals.write_arrivals(unique, path, f"{path}-state", "signal_timestamp", lateness="1 minute"))
     return arrivals.read_arrivals(t.spark, path, lost.schema)
+
+
+def in_three_files(t, rows, path):
+    """A table as a stream of three files in no order of time, one per batch."""
+    rows.repartition(3, "exec_id").write.parquet(f"{path}-in")
+    return ingest.read_files(t.spark, f"{path}-in", rows.schema, files_per_batch=1)
+
+
+@query(
+    "window_counts_stream",
+    f"SELECT date_trunc('hour', executed_at) AS window_start, {COUNTS} FROM d_flags WHERE executed_at IS NOT NULL GROUP BY 1",
+)
+def window_counts_stream(t):
+    path = new_path(t.spark, "counts")
+    counts = live.live_counts(in_three_files(t, t.exec, path), "1 hour", lateness="60 days")
+    ingest.drain(live.write_changes(counts, path, f"{path}-state"))
+    return live.read_newest(t.spark, path, counts.schema, ["window_start"])
+
+
+@query(
+    "staged_then_resolved_stream",
+    """SELECT a.customer_id, a.exec_id AS staged_id, b.exec_id AS resolved_id, b.status FROM v_exec a JOIN v_exec b ON b.customer_id = a.customer_id
+ AND b.executed_at >= a.executed_at AND b.executed_at <= a.executed_at + INTERVAL 2 HOUR
+WHERE a.status = 'STAGED_FOR_CONCIERGE' AND b.scenario = 'PULL_CONCIERGE'""",
+)
+def staged_then_resolved_stream(t):
+    path = new_path(t.spark, "pairs")
+    rows = in_three_files(t, t.exec, path)
+    pairs = live.live_pairs(
+        rows.filter("status = 'STAGED_FOR_CONCIERGE'"), rows.filter("scenario = 'PULL_CONCIERGE'"),
+        "customer_id", "executed_at", "executed_at", "2 HOURS", lateness="60 days",
+    ).select("left.customer_id", F.col("left.exec_id").alias("staged_id"), F.col("right.exec_id").alias("resolved_id"), "right.status")
+    ingest.drain(ingest.write_files(pairs, path, f"{path}-state"))
+    return t.spark.read.schema(pairs.schema).parquet(path)
