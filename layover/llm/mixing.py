@@ -92,7 +92,8 @@ def copies(docs: DataFrame, max_rate: int = MAX_RATE, weights: DataFrame | None
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: rows of ``docs``, each as often as it is taken."""
-    counted = copies(docs, **options)
+    """The mixed corpus: rows of ``docs``, each as often as it is taken.  All its columns come back as they were."""
+    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    counted = copies(own, **options)
     again = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return counted.filter(F.col("copies") > 0).withColumn("__again", again).select(*docs.columns)
+    return counted.filter(F.col("copies") > 0).withColumn("again", again).select("row.*")

@@ -64,3 +64,28 @@ def test_one_row_of_repeated_ones_stays(spark, odd):
     kept = pipeline.one_of_near_copies(spark, odd, "")
     ids = Counter(i for i, _ in pairs(kept))
     assert ids[6] == 1 and ids[None] == 2
+
+
+def test_columns_of_the_caller_survive_every_stage(spark, tmp_path):
+    """Names the operators use themselves, in any place, keep their values; null ids and sources too."""
+    names = ["size", "target", "spans", "__ranges", "__nth", "__source", "__spans", "copies", "row", "again", "source_size", "sig", "n"]
+    kinds = ", ".join(f"{n} {'string' if n in ('target', 'row', '__source') else 'int'}" for n in names)
+    shared = " ".join(f"shared{k}" for k in range(30))
+    made = []
+    for i in range(24):
+        text = f"own{i} words{i} of{i} text{i} number{i} {shared if i % 2 else ''} tail{i} end{i}"
+        extra = [str(i * 10 + k) if n in ("target", "row", "__source") else i * 10 + k for k, n in enumerate(names)]
+        made.append((*extra[:6], None if i == 7 else i, text, "en", None if i % 5 == 0 else f"s{i % 2}", len(text), *extra[6:]))
+    schema = ", ".join([*kinds.split(", ")[:6], "doc_id long, text string, lang string, source string, n_chars long", *kinds.split(", ")[6:]])
+    docs = spark.createDataFrame(made, schema).repartition(3)
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    known = {r["size"]: r for r in docs.collect()}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = keep(stage(spark, docs, str(tmp_path)), "test-columns")
+        assert docs.dtypes == [(c, t) for c, t in spark.createDataFrame([], schema).dtypes], name
+        for r in docs.collect():
+            for c in docs.columns:
+                if c not in ("text", "n_chars"):
+                    assert r[c] == known[r["size"]][c], (name, c)
+        if name in ("near-copies", "repeated passages"):
+            assert len({r["size"] for r in docs.collect()}) == 24
