@@ -37,13 +37,18 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand in an earlier place; ``n_chars`` follows the text."""
-    cut = passages.remove_repeats(docs)
-    if "n_chars" in docs.columns:
+    """Documents without passages that stand in an earlier place; ``n_chars`` follows the text.
+
+    All other columns come back as they were, whatever their names.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = docs.select("doc_id", "text", *([F.struct(*rest).alias("row")] if rest else []))
+    cut = passages.remove_repeats(own)
+    columns = {c: F.col("row")[c] for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in rest:
         kind = docs.schema["n_chars"].dataType
-        shorter = F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
-        cut = cut.withColumn("n_chars", shorter)
-    return cut.select(*docs.columns)
+        columns["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(columns["n_chars"])
+    return cut.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
