@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from layover.operators import decisions, inventory, mutate
 from layover.registry import part, query
 from layover.registry import text as _text  # noqa: F401  (shared oracle parts)
+from layover.session import new_path
+from layover.sources import inplace
 from layover.sources.schemas import SCHEMAS
 from layover.sources.tables import settle
 
@@ -211,3 +213,23 @@ query(
         t.flight_events.select("customer_id", "pnr"), at_risk(t).select("customer_id", "pnr")
     )
 )
+
+
+# --- in place ------------------------------------------------------------------------------
+
+
+@query(
+    "hold_in_place",
+    """SELECT lookup_id, pnr, alternate_flight, seats_available,
+ CASE WHEN named THEN 'HELD' ELSE hold_status END AS hold_status, CASE WHEN named THEN 'AVAILABLE' ELSE inventory_status END AS inventory_status
+FROM (SELECT i.*, coalesce(alternate_flight IN ('EK372', 'EK380') AND e.pnr IS NOT NULL, false) AS named FROM v_inventory i
+ LEFT JOIN (SELECT DISTINCT pnr FROM v_flight_events WHERE new_connection_mins = 20) e ON e.pnr = i.pnr)""",
+)
+def hold_in_place(t):
+    path = new_path(t.spark, "inventory")
+    inplace.write_laid_out(t.inventory, path, "pnr", parts=64)
+    pnrs = t.flight_events.filter("new_connection_mins = 20").select("pnr").distinct()
+    inplace.change_keys(t.spark, path, t.inventory.schema, "pnr", pnrs, lambda rows: inventory.place_holds(rows, pnrs), parts=64)
+    return inplace.read_laid_out(t.spark, path, t.inventory.schema).select(
+        "lookup_id", "pnr", "alternate_flight", "seats_available", "hold_status", "inventory_status"
+    )
