@@ -15,6 +15,7 @@ LIMIT_PHRASE = r"(?i)cannot land after (\d{1,2})\s*(AM|PM)"
 QUIET_PHRASE = r"(?i)quiet (place|work|pod|space)"
 LOUNGE_PHRASE = r"(?i)lounge"
 PROFILE_LINE = r"^\s*[-•*]?\s*([^:]+):\s*(.+)\z"
+# What counts as an object in an agent's answer.
 FENCED_OBJECT = r"(?is)```(?:json)?\s*(\{.*?\})\s*```"
 BARE_OBJECT = r"(?s)(\{[^{}]*\"chosen_flight\"[^{}]*\})"
 
@@ -133,20 +134,65 @@ def json_fields(text: Column, *fields: str) -> Column:
     """Struct of the named fields as text, or NULL unless the text is exactly one JSON object.
 
     The text is parsed once, as the first of two list elements.  Anything after its value then
-    breaks the list, ends it early or adds to it, and the end mark is not found in second place.
+    breaks the list, ends it early or adds to it, and the end mark is not found in second place;
+    it holds a hash of the text, so a text cannot bring its own.
     Lists and objects come back as JSON text.
     """
+    own = F.xxhash64(text).cast("string")
     schema = "array<struct<" + ",".join(f"{f}:string" for f in (*fields, END_MARK)) + ">>"
-    marked = F.concat(F.lit("["), text, F.lit(f',{{"{END_MARK}":"1"}}]'))
+    marked = F.concat(F.lit("["), text, F.lit(f',{{"{END_MARK}":"'), own, F.lit('"}]'))
     parsed = F.from_json(marked, schema, STRICT_JSON)
 
     def alone(found: Column) -> Column:
-        whole = (F.size(found) == 2) & found[1][END_MARK].isNotNull() & found[0].isNotNull()
+        whole = (F.size(found) == 2) & (found[1][END_MARK] == own) & found[0].isNotNull()
         return F.when(whole, F.struct(*[found[0][f].alias(f) for f in fields]))
 
     return once(parsed, alone)
 
 
+def document(text: Column) -> Column:
+    """The text as a VARIANT, NULL unless it is exactly one JSON object; to be stored and read by path.
+
+    Numbers are kept as values, not as written: ``1.0`` is 1.  A text with a repeated field is no document.
+    The text is parsed as the first of two list elements, so that nothing may follow its object; the second
+    is a hash of the text, so a text cannot bring its own.
+    """
+    own = F.xxhash64(text).cast("string")
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), own, F.lit('"]')))
+
+    def alone(found: Column) -> Column:
+        first = F.try_variant_get(found, "$[0]", "variant")
+        whole = (F.try_variant_get(found, "$[1]", "string") == own) & F.try_variant_get(found, "$[2]", "variant").isNull()
+        return F.when(whole & F.schema_of_variant(first).startswith("OBJECT"), first)
+
+    return once(parsed, alone)
+
+
+def document_text(doc: Column, field: str) -> Column:
+    """A field of a document as text; lists and objects as JSON, a JSON null or no such field as NULL."""
+    return F.try_variant_get(doc, f"$.{field}", "string")
+
+
+def document_summary(doc: Column, reasoning: Column) -> Column:
+    """``audit_summary`` from a document that was parsed before, beside its text."""
+    plain = F.coalesce(reasoning, F.lit(""))
+
+    def part(label: str, field: str) -> Column:
+        return F.concat(F.lit(label), present(document_text(doc, field)))
+
+    held = present(document_text(doc, "held_flights"))
+    flights = F.try_variant_get(doc, "$.held_flights", "array<string>")
+    shown = F.concat_ws(
+        " · ",
+        part("Segment: ", "archetype"),
+        F.when(held.isNotNull(), F.concat(F.lit("Held: "), F.array_join(flights, ", ", ""))),
+        part("Chosen: ", "chosen_flight"),
+        part("Handoff: ", "handoff"),
+    )
+    held_is_no_list = F.coalesce(~held.startswith("["), F.lit(False))
+    return F.when(doc.isNull() | held_is_no_list | (shown == ""), plain).otherwise(shown)
+
+
 def audit_summary(reasoning: Column) -> Column:
     """One-line summary of a reasoning document; other text is shown as it is, NULL as ''."""
     plain = F.coalesce(reasoning, F.lit(""))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from layover.functions import clock, outcome, wording
+from layover.functions import text as tx
 from layover.functions.exact import rate
 from layover.operators.keys import match, newest_first
 from layover.sources.schemas import AUDIT_COLUMNS
@@ -302,3 +303,14 @@ def to_audit(decisions: DataFrame, row_key: str | None = "pnr", as_of=None) -> D
         "executed_at": clock.moment(as_of),
     }
     return decisions.select(*[made.get(c, F.col(c)).alias(c) for c in AUDIT_COLUMNS])
+
+
+def with_document(audit: DataFrame, column: str = "reasoning") -> DataFrame:
+    """The log with its reasoning as a VARIANT ``document`` beside the text, so that it is parsed once and stored."""
+    return audit.withColumn("document", tx.document(F.col(column)))
+
+
+def document_rows(audit: DataFrame, fields: list[str]) -> DataFrame:
+    """A row per filled field of a stored document: (exec_id, field, value)."""
+    values = [F.struct(F.lit(f).alias("field"), tx.document_text(F.col("document"), f).alias("value")) for f in fields]
+    return audit.select("exec_id", F.inline(F.array(*values))).filter("value <> ''")

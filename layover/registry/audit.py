@@ -7,6 +7,7 @@ from layover.functions import text as tx
 from layover.operators import audit as au
 from layover.operators import mutate
 from layover.registry import part, query
+from layover.sources import tables
 from layover.sources.testviews import AS_OF
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -232,13 +233,29 @@ FROM v_exec""",
     )
 )
 
-query(
-    "audit_reasoning",
-    """SELECT exec_id, CASE WHEN reasoning IS NULL THEN '' WHEN NOT json_valid(reasoning) THEN reasoning ELSE
+SUMMARY = """SELECT exec_id, CASE WHEN reasoning IS NULL THEN '' WHEN NOT json_valid(reasoning) THEN reasoning ELSE
  coalesce(nullif(concat_ws(' · ',
   'Segment: ' || nullif(CASE WHEN json_valid(reasoning) THEN reasoning END ->> '$.archetype', ''),
   'Held: ' || array_to_string(json_extract_string(CASE WHEN json_valid(reasoning) THEN reasoning END, '$.held_flights[*]'), ', '),
   'Chosen: ' || nullif(CASE WHEN json_valid(reasoning) THEN reasoning END ->> '$.chosen_flight', ''),
   'Handoff: ' || nullif(CASE WHEN json_valid(reasoning) THEN reasoning END ->> '$.handoff', '')), ''), reasoning) END AS summary
-FROM v_exec""",
-)(lambda t: t.exec.select("exec_id", tx.audit_summary(F.col("reasoning")).alias("summary")))
+FROM v_exec"""
+query("audit_reasoning", SUMMARY)(
+    lambda t: t.exec.select("exec_id", tx.audit_summary(F.col("reasoning")).alias("summary"))
+)
+
+
+def stored(t):
+    """The log as it is kept with its reasoning parsed: only what the questions need is read again."""
+    return tables.settle(au.with_document(t.exec.select("exec_id", "reasoning")), "documents")
+
+
+query("audit_documents", SUMMARY)(
+    lambda t: stored(t).select("exec_id", tx.document_summary(F.col("document"), F.col("reasoning")).alias("summary"))
+)
+query(
+    "audit_document_fields",
+    """SELECT exec_id, field, value FROM (SELECT exec_id, unnest(['archetype', 'held_flights', 'chosen_flight', 'handoff']) AS field,
+  unnest([d ->> '$.archetype', d ->> '$.held_flights', d ->> '$.chosen_flight', d ->> '$.handoff']) AS value
+ FROM (SELECT exec_id, CASE WHEN json_valid(reasoning) THEN reasoning END AS d FROM v_exec)) WHERE value <> ''""",
+)(lambda t: au.document_rows(stored(t), ["archetype", "held_flights", "chosen_flight", "handoff"]))

@@ -10,7 +10,7 @@ from layover.registry import decisions as _decisions  # noqa: F401  (shared orac
 from layover.registry import query
 from layover.registry.decisions import routed
 from layover.session import new_path
-from layover.sources import seeds, tables
+from layover.sources import profiles, seeds, tables
 from layover.sources.schemas import SCHEMAS
 from layover.sources.testviews import AS_OF
 
@@ -133,3 +133,17 @@ query("data_files", "SELECT 'lineitem.parquet' AS file_name, count(*) AS \"rows\
         F.substring_index("file_path", "/", -1).alias("file_name"), "rows"
     )
 )
+
+# --- profiles outside Spark ----------------------------------------------------------------
+
+
+def profile_folder(t):
+    path = new_path(t.spark, "profiles")
+    profiles.write_profiles(t.profile, path)
+    return profiles.read_folder(t.spark, path)
+
+
+query("external_profiles", "SELECT * FROM v_profile")(profile_folder)
+query("external_profile_lookup", "SELECT * FROM v_profile WHERE customer_id = 'CUST-42'")(
+    lambda t: profile_folder(t).filter("customer_id = 'CUST-42'")
+)

@@ -21,7 +21,7 @@ def read_table(spark: SparkSession, path: str, table: str, format: str = "parque
 
 
 def read_profiles(spark: SparkSession, format: str = "parquet", **options) -> DataFrame:
-    """Customer profiles from any Spark source, for example ``format="jdbc", url=…, dbtable=…``."""
+    """Customer profiles from any Spark source; ``sources/profiles.py`` has a folder and a database in ranges."""
     return spark.read.format(format).options(**options).load()
 
 

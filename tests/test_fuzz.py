@@ -77,6 +77,7 @@ def test_audit_summary(texts):
         return " · ".join(shown) or t
 
     assert results(df, tx.audit_summary(F.col("t"))) == [summary(t) for t in made]
+    assert results(df, tx.document_summary(tx.document(F.col("t")), F.col("t"))) == [summary(t) for t in made]
 
 
 def test_decision_from_text(texts):

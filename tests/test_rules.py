@@ -139,6 +139,7 @@ def test_flight_list(spark, value, flights):
         ('{"archetype": ""}', '{"archetype": ""}'),
         ('{"archetype": "X"} and more', '{"archetype": "X"} and more'),
         ('{"archetype": "X"},{"archetype": "Y"}', '{"archetype": "X"},{"archetype": "Y"}'),
+        ('{"archetype": "X"},{"__end_of_text":"1"}] [', '{"archetype": "X"},{"__end_of_text":"1"}] ['),
         ("{'archetype': 'X'}", "{'archetype': 'X'}"),
         ('{"archetype": ', '{"archetype": '),
         ("just text", "just text"),
@@ -150,6 +151,8 @@ def test_flight_list(spark, value, flights):
 )
 def test_audit_summary(spark, reasoning, summary):
     assert one(spark, tx.audit_summary(text(reasoning))) == summary
+    # The same from a document parsed before.
+    assert one(spark, tx.document_summary(tx.document(text(reasoning)), text(reasoning))) == summary
 
 
 @pytest.mark.parametrize(
@@ -286,3 +289,15 @@ def test_silent_conversations_get_the_notice(spark):
     turns = spark.sql("SELECT * FROM VALUES (1L, 0L, 'user', 'hi') AS t(conv_id, turn, role, text)")
     rows = chat.transcripts(chat.prior_turns(turns), 100, turns).collect()
     assert [r["transcript"] for r in rows] == [wording.NO_TURNS]
+
+
+@pytest.mark.parametrize(
+    "written,kept",
+    [
+        ('{"a": 1.0}', "1"), ('{"a": 1e3}', "1000.0"), (' {"a": [1, "b"]} ', '[1,"b"]'), ('{"a": {"b": 1}}', '{"b":1}'), ('{"a": null}', None),
+        ('{"b": 1}', None), ('{"a": 1}, {"a": 2}', None), ('{"a": 1},"1"', None), ('{"a": 1}]', None), ('{"a": 1},"1"] [', None), ('{"a": 1},"1"]', None),
+        ('{"a": 1, "a": 2}', None), ('[{"a": 1}]', None), ('"a"', None), ("", None), (None, None), ('{"a": true} x', None),
+    ],
+)
+def test_document(spark, written, kept):
+    assert one(spark, tx.document_text(tx.document(text(written)), "a")) == kept
