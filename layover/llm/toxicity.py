@@ -1,16 +1,15 @@
-"""Toxicity by two absolute-discount models, one of toxic and one of ordinary texts, over the letters of words.
+"""Toxicity by two Kneser-Ney models, one of toxic and one of ordinary texts, over the letters of words.
 
-A word is spelt byte by byte, each byte after the whole beginning of its word, so an expression and its
-inflections share what they begin with.  In scripts without spaces every character begins a word, of
-itself and the next ones.  Each class is counted on a bounded labelled sample, in how
-many of its documents a beginning stands; a discount is taken from every count and what it frees goes
-to one distribution shared by both classes, of distinct contexts: in how many different words of the
-whole corpus a beginning stands.  A rare expression therefore weighs what its class adds to the shared
-counts and no more, be it in one document of the sample; beginnings that no sample has add the same to
-both classes.
+A word is a start, its characters and an end.  A symbol is predicted from up to seven before it (``ORDER`` 8).
+The highest order is counted per class on a bounded labelled sample, an n-gram once per document and word; from
+every count a discount is taken, and what it frees goes to the next lower order.  Lower orders are shared by both
+classes and come from the whole corpus: continuation counts, after how many different symbols an n-gram stands in
+the different words of all documents, with the same discount, down to a uniform choice among all symbols.  A rare
+expression is therefore smoothed by all texts, and what no class has seen weighs the same in both.  In scripts
+without spaces every character begins a word, of itself and the next ones.
 
 A word's value is the difference of its log-likelihoods.  A document is judged by the mean value of its
-words and by the mean square of the positive ones, both length-normalised: a few strong expressions
+words and by the root mean square of the positive ones, both length-normalised: a few strong expressions
 count for more than a slight drift of many words.  Both become a probability on a part of the sample
 that the models have not seen.
 
@@ -22,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +29,18 @@ from pyspark.sql import functions as F
 
 from layover.llm.blocks import BLOCK_BYTES, Block, Hasher, Lookup, Words, blocks, mix
 from layover.llm.samples import Sample, calibrate, fold, probability, sample
-from layover.llm.scratch import release
+from layover.llm.scratch import keep, release
 
 DISCOUNT = 0.75
+#: Symbols of the longest n-grams.
+ORDER = 8
 #: Characters of a word in scripts that are written without spaces; every character begins one.
 CHARACTERS = 4
-#: Different words that a task remembers so as not to send them again.
+#: Different words, or n-grams, that a task remembers so as not to send them again.
 SEEN = 1 << 20
 #: Bytes of the sample that the driver spells at once.
 SAMPLE_BLOCK = 1 << 18
-ROOT = np.uint64(0x5BF0A8B1456ABCDE)
-LENGTH_FACTOR, END = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
+LENGTH_FACTOR, START, END = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x5BF0A8B1456ABCDE, 0xD1B54A32D192ED03))
 
 
 def unspaced(data: np.ndarray) -> np.ndarray:
@@ -87,12 +86,14 @@ def split(hasher: Hasher, block: Block, words: Words) -> Words:
 
 @dataclass
 class Spelling:
-    """Different words of a block: byte bounds, in how many texts each stands, and the word of every token."""
+    """Different words of a block: first character and number of them, in how many texts each stands, and the
+    word of every token."""
 
-    start: np.ndarray
+    first: np.ndarray
     size: np.ndarray
     documents: np.ndarray
     token: np.ndarray
+    places: np.ndarray
     prefix: np.ndarray
     down: np.ndarray
 
@@ -101,20 +102,23 @@ class Spelling:
         keys, first, token = np.unique(words.hash, return_index=True, return_inverse=True)
         pairs = np.unique((words.text.astype(np.int64) << 32) | token)
         documents = np.bincount(pairs & 0xFFFFFFFF, minlength=len(keys))
-        start = words.start[first]
-        return Spelling(start, words.end[first] - start, documents, token, hasher.prefix(block.data), hasher.down)
+        characters = np.flatnonzero((block.data & 0xC0) != 0x80)
+        begin, end = (np.searchsorted(characters, x[first]) for x in (words.start, words.end))
+        places = np.append(characters, len(block.data))
+        return Spelling(begin, end - begin, documents, token, places, hasher.prefix(block.data), hasher.down)
 
-    def beginning(self, which: np.ndarray, k: int | np.ndarray) -> np.ndarray:
-        """Key of the first k + 1 symbols of words that have so many; the last symbol is the end."""
-        size = np.minimum(k + 1, self.size[which])
-        at = self.start[which]
-        value = (self.prefix[at + size] - self.prefix[at]) * self.down[at]
-        length = np.asarray(k + 1).astype(np.uint64) * np.uint64(LENGTH_FACTOR)
-        return mix(value + length + (size <= k).astype(np.uint64) * END)
+    def gram(self, which: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Key of the ``n`` symbols up to symbol ``k`` of words; the start is symbol -1, the end comes last."""
+        low = k - n + 1
+        first, size = self.first[which], self.size[which]
+        a = self.places[first + np.maximum(low, 0)]
+        b = self.places[first + np.minimum(k + 1, size)]
+        value = (self.prefix[b] - self.prefix[a]) * self.down[a] + n.astype(np.uint64) * LENGTH_FACTOR
+        return mix(value + (low < 0) * START + (k == size) * END)
 
 
 def steps(spelling: Spelling) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(words, depths) of all beginnings, so many at a time."""
+    """(words, places in them) of all symbols but the start, so many at a time."""
     before = np.append(0, np.cumsum(spelling.size + 1))
     for at in range(0, int(before[-1]), SAMPLE_BLOCK):
         place = np.arange(at, min(at + SAMPLE_BLOCK, before[-1]))
@@ -129,18 +133,45 @@ def spellings(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> It
         yield block, words, Spelling.of(hasher, block, words)
 
 
-def beginnings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, key of what it continues, documents) of every beginning in the texts."""
-    found = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+@dataclass
+class Grams:
+    """Longest n-grams of a class in ascending order: key, context, length, count, and key and context of every
+    lower order; orders from the length on do not apply."""
+
+    key: np.ndarray
+    context: np.ndarray
+    length: np.ndarray
+    n: np.ndarray
+    lower: np.ndarray
+    lower_context: np.ndarray
+
+    @staticmethod
+    def merged(parts: list[Grams]) -> Grams:
+        key, first, place = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([p.n for p in parts]), minlength=len(key)).astype(np.int64)
+        kept = [np.concatenate([getattr(p, c) for p in parts])[first] for c in ("context", "length", "lower", "lower_context")]
+        return Grams(key, kept[0], kept[1], n, kept[2], kept[3])
+
+    @staticmethod
+    def none() -> Grams:
+        flat, wide = np.zeros(0, np.uint64), np.zeros((0, ORDER - 1), np.uint64)
+        return Grams(flat, flat, np.zeros(0, np.int64), np.zeros(0, np.int64), wide, wide)
+
+
+def grams(texts: list[str]) -> Grams:
+    """The longest n-grams of the texts, counted once per document and word."""
+    found = Grams.none()
     for _, _, spelling in spellings(pa.array(texts, pa.string()), SAMPLE_BLOCK):
-        # Merged block by block, so that only different beginnings are held.
-        parts = [found]
+        # Merged block by block, so that only different n-grams are held.
         for which, k in steps(spelling):
-            parent = np.where(k > 0, spelling.beginning(which, np.maximum(k, 1) - 1), ROOT)
-            parts.append((spelling.beginning(which, k), parent, spelling.documents[which]))
-        keys, first, place = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-        n = np.bincount(place, weights=np.concatenate([p[2] for p in parts]), minlength=len(keys))
-        found = keys, np.concatenate([p[1] for p in parts])[first], n.astype(np.int32)
+            n = np.minimum(ORDER, k + 2)
+            orders = [np.minimum(m, n - 1) for m in range(1, ORDER)]
+            part = Grams(
+                spelling.gram(which, k, n), spelling.gram(which, k - 1, n - 1), n, spelling.documents[which],
+                np.stack([spelling.gram(which, k, m) for m in orders], axis=1),
+                np.stack([spelling.gram(which, k - 1, m - 1) for m in orders], axis=1),
+            )
+            found = Grams.merged([found, part])
     return found
 
 
@@ -165,54 +196,121 @@ def corpus_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def corpus_counts(keys: np.ndarray):
-    """(key, n) for the given beginnings over different words: how many begin so."""
+def corpus_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different n-grams (gram, follows, context) of words: ``follows`` is the n-gram without its first symbol, of
+    a lower order, and ``context`` is that without its last; some come from several tasks."""
+    hasher = Hasher(lower=True)
+    seen = np.zeros(0, np.uint64)
+    for batch in batches:
+        for block in blocks(batch.column(0)):
+            # A row is a word of its own.
+            filled = np.flatnonzero(np.diff(block.offsets))
+            start, end = block.offsets[filled], block.offsets[filled + 1]
+            p = hasher.prefix(block.data)
+            words = Words(start, end, filled, mix((p[end] - p[start]) * hasher.down[start]), np.zeros(1, np.int64))
+            spelling = Spelling.of(hasher, block, words)
+            for which, k in steps(spelling):
+                for m in range(1, ORDER):
+                    long = k + 2 > m
+                    w, at = which[long], k[long]
+                    size = np.full(len(w), m)
+                    keys, first = np.unique(spelling.gram(w, at, size + 1), return_index=True)
+                    fresh = ~np.isin(keys, seen, assume_unique=True)
+                    seen = np.union1d(seen, keys[fresh]) if len(seen) < SEEN else keys[fresh]
+                    keys, first = keys[fresh], first[fresh]
+                    w, at, size = w[first], at[first], size[first]
+                    columns = keys, spelling.gram(w, at, size), spelling.gram(w, at - 1, size - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["gram", "follows", "context"])
+
+
+def continuations(docs: DataFrame) -> DataFrame:
+    """(context, follows, n): after how many different symbols an n-gram of a lower order stands in the words of
+    all texts.  The table is distributed, grows with the corpus and keeps rare ones."""
+    words = docs.select("text").mapInArrow(corpus_words, "word binary").distinct()
+    different = words.mapInArrow(corpus_grams, "gram long, follows long, context long").distinct()
+    return keep(different.groupBy("context", "follows").agg(F.count(F.lit(1)).alias("n")), "toxicity-continuations")
+
+
+def among(keys: np.ndarray, column: str):
+    """Rows whose ``column`` is one of some keys; they are bounded by the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = Lookup(keys), np.zeros(len(keys) + 1, np.int64)
-        hasher = Hasher(lower=True)
+        table = Lookup(keys)
         for batch in batches:
-            for block in blocks(batch.column(0)):
-                spelling = Spelling.of(hasher, block, hasher.words(block))
-                which = np.arange(len(spelling.start))
-                for k in count():
-                    which = which[spelling.size[which] >= k]
-                    at = table.find(spelling.beginning(which, k))
-                    which, at = which[at < len(keys)], at[at < len(keys)]
-                    if not len(which):
-                        break
-                    n += np.bincount(at, weights=spelling.documents[which], minlength=len(n)).astype(np.int64)
-        some = np.flatnonzero(n[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], names=["key", "n"])
+            at = table.find(batch.column(batch.schema.get_field_index(column)).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(at < len(keys)))
 
     return run
 
 
+@dataclass
+class Shared:
+    """Lower orders, as far as the sample's n-grams have them: continuation counts, and sums and kinds by context."""
+
+    follows: Lookup
+    n: np.ndarray
+    contexts: Lookup
+    total: np.ndarray
+    kinds: np.ndarray
+
+    @staticmethod
+    def load(table: DataFrame, found: Grams) -> Shared:
+        follows, contexts = np.unique(found.lower), np.unique(found.lower_context)
+        sums = table.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+
+        def loaded(df: DataFrame, key: str, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
+            df = df.select(key, *columns)
+            rows = df.mapInArrow(among(keys, key), df.schema).toArrow()
+            at = np.searchsorted(keys, rows.column(key).to_numpy().view(np.uint64))
+            out = []
+            for c in columns:
+                out.append(np.zeros(len(keys) + 1))
+                out[-1][at] = rows.column(c).to_numpy()
+            return out
+
+        n, = loaded(table, "follows", follows, "n")
+        total, kinds = loaded(sums, "context", contexts, "total", "kinds")
+        return Shared(Lookup(follows), n, Lookup(contexts), total, kinds)
+
+    def chance(self, found: Grams) -> np.ndarray:
+        """Probability of the last symbol of each n-gram by the highest of the lower orders that applies."""
+        p = np.ones(len(found.key))
+        for m in range(1, ORDER):
+            at, context = self.follows.find(found.lower[:, m - 1]), self.contexts.find(found.lower_context[:, m - 1])
+            n, total, kinds = self.n[at], self.total[context], self.kinds[context]
+            if m == 1:
+                p /= np.maximum(kinds, 1.0)
+            sure = np.maximum(total, 1.0)
+            mixed = np.maximum(n - DISCOUNT, 0.0) / sure + DISCOUNT * kinds / sure * p
+            p = np.where((found.length > m) & (total > 0), mixed, p)
+        return p
+
+
 @dataclass
 class Model:
     table: Lookup
-    #: Sum of the differences along a known beginning, and what an unknown continuation adds to it.
+    #: The difference at a known n-gram, and at an unknown one after a known context.
     value: np.ndarray
+    contexts: Lookup
     rest: np.ndarray
     slope: tuple[float, float] = (0.0, 0.0)
     shift: float = -4.0
 
+    def words(self, spelling: Spelling) -> np.ndarray:
+        """The difference of both log-likelihoods of every different word."""
+        total = np.zeros(len(spelling.first))
+        for which, k in steps(spelling):
+            n = np.minimum(ORDER, k + 2)
+            at = self.table.find(spelling.gram(which, k, n))
+            each = self.value[at]
+            lost = np.flatnonzero(at == len(self.value) - 1)
+            each[lost] = self.rest[self.contexts.find(spelling.gram(which[lost], k[lost] - 1, n[lost] - 1))]
+            total += np.bincount(which, weights=each, minlength=len(total))
+        return total
+
     def features(self, n: int, words: Words, spelling: Spelling) -> np.ndarray:
         """Mean difference, and root of the mean square of the positive ones, per text."""
-        total = np.zeros(len(spelling.start))
-        which = np.arange(len(total))
-        known = np.full(len(total), len(self.table.keys) - 1)
-        for k in count():
-            which = which[spelling.size[which] >= k]
-            if not len(which):
-                break
-            at = self.table.find(spelling.beginning(which, k))
-            seen = at < len(self.table.keys) - 1
-            lost = which[~seen]
-            total[lost] += self.rest[known[lost]]
-            which, at = which[seen], at[seen]
-            total[which], known[which] = self.value[at], at
-        each = total[spelling.token]
+        each = self.words(spelling)[spelling.token]
         size = np.maximum(np.diff(words.first), 1)
         mean = np.bincount(words.text, weights=each, minlength=n) / size
         strong = np.bincount(words.text, weights=np.maximum(each, 0.0) ** 2, minlength=n) / size
@@ -222,62 +320,38 @@ class Model:
         return probability(self.features(n, words, spelling) @ np.array(self.slope), 1.0, self.shift)
 
 
-def table_of(counted: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and parents of all beginnings of the sample."""
-    keys, first = np.unique(np.concatenate([c[0] for c in counted]), return_index=True)
-    return keys, np.concatenate([c[1] for c in counted])[first]
-
-
-def build(counted: list[tuple], keys: np.ndarray, parents: np.ndarray, shared: np.ndarray) -> Model:
-    """The difference of both class models at every known beginning.  ``shared`` are its corpus counts."""
-    table = Lookup(keys)
-    missing = len(keys)
-    parent = table.find(parents)  # the root is the missing one
-    shared_total = np.bincount(parent, weights=shared, minlength=missing + 1)
-    base = np.maximum(shared, 0.5) / np.maximum(shared_total[parent], 1.0)
+def build(counted: list[Grams], found: Grams, base: np.ndarray) -> Model:
+    """The difference of both class models at every n-gram of the sample.  ``base`` is the lower orders' chance."""
+    table, contexts = Lookup(found.key), Lookup(np.unique(found.context))
+    missing = len(contexts.keys) - 1
+    own = contexts.find(found.context)
     chance, left = [], []
-    for own, own_parents, n in counted:
-        held = np.zeros(missing + 1)
-        at = table.find(own)
-        held[at] = n
-        held[missing] = 0
-        context = table.find(own_parents)
-        known = (context < missing) | (own_parents == ROOT)
-        total = np.bincount(context[known], weights=n[known], minlength=missing + 1)
-        kinds = np.bincount(context[known], minlength=missing + 1)
-        free = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1.0), 1.0)
-        added = np.where(total[parent] > 0, np.maximum(held[:-1] - DISCOUNT, 0.0) / np.maximum(total[parent], 1.0), 0.0)
-        chance.append(added + free[parent] * base)
+    for each in counted:
+        n = np.zeros(len(found.key) + 1)
+        n[table.find(each.key)] = each.n
+        context = contexts.find(each.context)
+        total = np.bincount(context, weights=each.n, minlength=missing + 1)
+        kinds = np.bincount(context, minlength=missing + 1)
+        sure = np.maximum(total, 1.0)
+        free = np.where(total > 0, DISCOUNT * kinds / sure, 1.0)
+        chance.append(np.maximum(n[:-1] - DISCOUNT, 0.0) / sure[own] + free[own] * base)
         left.append(free)
-    step = np.log(chance[1] / chance[0])
-    value = np.zeros(missing + 1)
-    value[:-1] = step
-    # A beginning's value is the sum along it; each round doubles how far it has been summed.
-    ancestor = np.append(parent, missing)
-    while (ancestor < missing).any():
-        value += value[ancestor]
-        ancestor = ancestor[ancestor]
-    return Model(table, value, np.log(left[1] / left[0]))
+    return Model(table, np.append(np.log(chance[1] / chance[0]), 0.0), contexts, np.log(left[1] / left[0]))
 
 
 def train(docs: DataFrame, found: Sample) -> Model:
     spark = docs.sparkSession
     learn = [[t for t, y, k in zip(found.texts, found.labels, found.tune) if y == c and not k] for c in (0, 1)]
-    counted = [beginnings(each) for each in learn]
-    keys, parents = table_of(counted)
-    # The table of different words grows with the corpus and stays distributed; rare ones are kept.  Beginnings
-    # that no class has cancel out of the difference, so only the sample's are loaded from it.
-    words = docs.select("text").mapInArrow(corpus_words, "word binary").distinct()
-    counts = words.mapInArrow(corpus_counts(keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    shared = np.zeros(len(keys))
-    shared[np.searchsorted(keys, counts.column("key").to_numpy().astype(np.int64).view(np.uint64))] = counts.column("n").to_numpy()
-    model = build(counted, keys, parents, shared)
+    counted = [grams(each) for each in learn]
+    known = Grams.merged(counted)
+    # What neither class has seen weighs the same in both, so of the corpus's table only the sample's part is loaded.
+    model = build(counted, known, Shared.load(continuations(docs), known).chance(known))
     tune = np.flatnonzero(found.tune)
     kept = pa.array([found.texts[i] for i in tune], pa.string())
     features = [model.features(b.n, w, s) for b, w, s in spellings(kept, SAMPLE_BLOCK)]
     slope, model.shift = calibrate(np.concatenate([np.zeros((0, 2)), *features]), found.labels[tune], found.share)
     model.slope = tuple(slope)
-    del learn, counted, counts, features, kept
+    del learn, counted, known, features, kept
     release(spark)
     return model
 

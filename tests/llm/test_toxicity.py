@@ -1,5 +1,8 @@
 """What the toxicity models read."""
 
+import math
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -38,11 +41,77 @@ def test_corpus_words_grow_with_the_corpus_and_rare_ones_stay(spark):
     assert sorted(found) == sorted({w for t in texts for w in t.lower().split()})
 
 
-def test_an_expression_of_one_document_counts():
+def plain(corpus, classes, order):
+    """Kneser-Ney word by word with dictionaries: the difference of both log-likelihoods of a word."""
+    spelt = lambda word: ["<"] + list(word) + [">"]
+    low = lambda text: "".join(c.lower() if c.isascii() else c for c in text)
+    before = {}
+    for word in {w for t in corpus for w in low(t).split()}:
+        s = spelt(word)
+        for k in range(1, len(s)):
+            for m in range(1, order):
+                if k - m >= 0:
+                    before.setdefault(tuple(s[k - m + 1 : k + 1]), set()).add(s[k - m])
+    lower, counts = {}, []
+    for gram, symbols in before.items():
+        lower.setdefault(gram[:-1], {})[gram[-1]] = len(symbols)
+    for texts in classes:
+        counts.append({})
+        for t in texts:
+            for word in set(low(t).split()):
+                s = spelt(word)
+                for k in range(1, len(s)):
+                    after = counts[-1].setdefault(tuple(s[max(0, k - order + 1) : k]), {})
+                    after[s[k]] = after.get(s[k], 0) + 1
+
+    def interpolated(after, symbol, below):
+        if not after:
+            return below
+        total = sum(after.values())
+        return max(after.get(symbol, 0) - 0.75, 0) / total + 0.75 * len(after) / total * below
+
+    def value(word):
+        s, out = spelt(low(word)), 0.0
+        for k in range(1, len(s)):
+            history, p = s[max(0, k - order + 1) : k], 1 / len(lower[()])
+            for m in range(1, len(history) + 1):
+                p = interpolated(lower.get(tuple(history[len(history) - m + 1 :])), s[k], p)
+            one, two = (interpolated(c.get(tuple(history)), s[k], p) for c in counts)
+            out += math.log(two / one)
+        return out
+
+    return value
+
+
+def test_equals_plain_kneser_ney(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcd\u00e9\u0416") for _ in range(rng.randrange(1, 9)))
+    known = [word() for _ in range(60)]
+    texts = [" ".join(rng.choice(known) if rng.random() < 0.8 else word().upper() for _ in range(rng.randrange(0, 12))) for _ in range(60)]
+    classes = [texts[0:20], texts[20:40]]
+    counted = [toxicity.grams(each) for each in classes]
+    found = toxicity.Grams.merged(counted)
+    docs = spark.createDataFrame([(t,) for t in [*texts, None, texts[3]]], "text string").repartition(4)
+    model = toxicity.build(counted, found, toxicity.Shared.load(toxicity.continuations(docs), found).chance(found))
+    value = plain(texts, classes, toxicity.ORDER)
+    probes = texts + ["", "a", "zz abcd", "dcbaabcd" * 3]
+    got = np.concatenate([model.features(b.n, w, s)[:, 0] for b, w, s in toxicity.spellings(pa.array(probes))])
+    np.testing.assert_allclose(got, [np.mean([value(w) for w in t.split()] or [0.0]) for t in probes], rtol=1e-9, atol=1e-12)
+
+
+def test_without_labels_or_texts(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None), (None, "")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score(docs.limit(0), none).collect() == []
+    assert {r["predicted"] for r in toxicity.score(docs, none).collect()} == {0}
+
+
+def test_an_expression_of_one_document_counts(spark):
     learn = [["all fine here", "more words here"], ["all fine here", "more vileword here"]]
-    counted = [toxicity.beginnings(each) for each in learn]
-    keys, parents = toxicity.table_of(counted)
-    model = toxicity.build(counted, keys, parents, np.ones(len(keys)))
+    counted = [toxicity.grams(each) for each in learn]
+    found = toxicity.Grams.merged(counted)
+    docs = spark.createDataFrame([(t,) for each in learn for t in each], "text string")
+    model = toxicity.build(counted, found, toxicity.Shared.load(toxicity.continuations(docs), found).chance(found))
     mean = [model.features(b.n, w, s)[0, 0] for t in ("all vileword", "all words") for b, w, s in toxicity.spellings(pa.array([t]))]
     assert mean[0] > 0 > mean[1]
 
