@@ -1,6 +1,6 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary texts, over the letters of words.
 
-A word is a start, its characters and an end.  A symbol is predicted from up to seven before it (``ORDER`` 8).
+A word is a start, its characters and an end.  A symbol is predicted from up to five before it (``ORDER`` 6).
 The highest order is counted per class on a bounded labelled sample, an n-gram once per document and word; from
 every count a discount is taken, and what it frees goes to the next lower order.  Lower orders are shared by both
 classes and come from the whole corpus: continuation counts, after how many different symbols an n-gram stands in
@@ -33,16 +33,22 @@ from layover.llm.scratch import keep, release
 
 DISCOUNT = 0.75
 #: Symbols of the longest n-grams.
-ORDER = 8
+ORDER = 6
 #: Characters of a word in scripts that are written without spaces; every character begins one.
 CHARACTERS = 4
-#: Different words, or n-grams, that a task remembers so as not to send them again.
+#: Different words that a task remembers so as not to send them again.
 SEEN = 1 << 20
+#: Words that a task spells at once.
+WORDS = 1 << 18
 #: Bytes of the sample that the driver spells at once.
 SAMPLE_BLOCK = 1 << 18
 LENGTH_FACTOR, START, END = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x5BF0A8B1456ABCDE, 0xD1B54A32D192ED03))
 
 
+#: Symbols for the start and the end of a word: bytes that no UTF-8 text holds.
+FIRST, LAST = np.uint64(0xFE), np.uint64(0xFF)
+
+
 def unspaced(data: np.ndarray) -> np.ndarray:
     """First bytes of characters of scripts without spaces: Thai to Lao, Burmese, Khmer, kana and Han."""
     after = np.append(data[1:], 0)
@@ -96,6 +102,7 @@ class Spelling:
     places: np.ndarray
     prefix: np.ndarray
     down: np.ndarray
+    data: np.ndarray
 
     @staticmethod
     def of(hasher: Hasher, block: Block, words: Words) -> Spelling:
@@ -105,7 +112,7 @@ class Spelling:
         characters = np.flatnonzero((block.data & 0xC0) != 0x80)
         begin, end = (np.searchsorted(characters, x[first]) for x in (words.start, words.end))
         places = np.append(characters, len(block.data))
-        return Spelling(begin, end - begin, documents, token, places, hasher.prefix(block.data), hasher.down)
+        return Spelling(begin, end - begin, documents, token, places, hasher.prefix(block.data), hasher.down, block.data)
 
     def gram(self, which: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Key of the ``n`` symbols up to symbol ``k`` of words; the start is symbol -1, the end comes last."""
@@ -117,6 +124,28 @@ class Spelling:
         return mix(value + (low < 0) * START + (k == size) * END)
 
 
+    def characters(self) -> np.ndarray:
+        """The bytes of every character as a number, A to Z lower-cased."""
+        begin, size = self.places[:-1], np.diff(self.places)
+        out = self.data[begin].astype(np.uint64)
+        out[(out >= 65) & (out <= 90)] += np.uint64(32)
+        for j in range(1, 4):
+            more = np.flatnonzero(size > j)
+            out[more] |= self.data[begin[more] + j].astype(np.uint64) << np.uint64(8 * j)
+        return out
+
+    def symbol(self, characters: np.ndarray, which: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Symbol ``k`` of words, in 32 bits."""
+        size = self.size[which]
+        found = characters[self.first[which] + np.clip(k, 0, size - 1)]
+        return np.where(k < 0, FIRST, np.where(k == size, LAST, found))
+
+
+def pair_key(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Key of a symbol after a context."""
+    return mix(context + (symbol + np.uint64(1)) * LENGTH_FACTOR)
+
+
 def steps(spelling: Spelling) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(words, places in them) of all symbols but the start, so many at a time."""
     before = np.append(0, np.cumsum(spelling.size + 1))
@@ -163,13 +192,15 @@ def grams(texts: list[str]) -> Grams:
     found = Grams.none()
     for _, _, spelling in spellings(pa.array(texts, pa.string()), SAMPLE_BLOCK):
         # Merged block by block, so that only different n-grams are held.
+        characters = spelling.characters()
         for which, k in steps(spelling):
             n = np.minimum(ORDER, k + 2)
             orders = [np.minimum(m, n - 1) for m in range(1, ORDER)]
+            below = np.stack([spelling.gram(which, k - 1, m - 1) for m in orders], axis=1)
+            symbol = spelling.symbol(characters, which, k)
             part = Grams(
                 spelling.gram(which, k, n), spelling.gram(which, k - 1, n - 1), n, spelling.documents[which],
-                np.stack([spelling.gram(which, k, m) for m in orders], axis=1),
-                np.stack([spelling.gram(which, k - 1, m - 1) for m in orders], axis=1),
+                pair_key(below, symbol[:, None]), below,
             )
             found = Grams.merged([found, part])
     return found
@@ -196,49 +227,85 @@ def corpus_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def corpus_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different n-grams (gram, follows, context) of words: ``follows`` is the n-gram without its first symbol, of
-    a lower order, and ``context`` is that without its last; some come from several tasks."""
-    hasher = Hasher(lower=True)
-    seen = np.zeros(0, np.uint64)
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.ChunkedArray]:
+    """The first columns of batches, in pieces of about ``WORDS`` rows."""
+    held: list[pa.Array] = []
     for batch in batches:
-        for block in blocks(batch.column(0)):
-            # A row is a word of its own.
-            filled = np.flatnonzero(np.diff(block.offsets))
-            start, end = block.offsets[filled], block.offsets[filled + 1]
-            p = hasher.prefix(block.data)
-            words = Words(start, end, filled, mix((p[end] - p[start]) * hasher.down[start]), np.zeros(1, np.int64))
-            spelling = Spelling.of(hasher, block, words)
-            for which, k in steps(spelling):
-                for m in range(1, ORDER):
+        held.append(batch.column(0))
+        if sum(map(len, held)) >= WORDS:
+            yield pa.chunked_array(held)
+            held = []
+    if held:
+        yield pa.chunked_array(held)
+
+
+def corpus_grams(contexts: np.ndarray):
+    """Different n-grams (context, ends) of words, of all contexts that the sample has: ``context`` lies between the
+    first and the last symbol, which ``ends`` holds in 32 bits each.  Some come from several tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, hasher = Lookup(contexts), Hasher(lower=True)
+        for piece in gathered(batches):
+            for block in blocks(piece):
+                # A row is a word of its own.
+                filled = np.flatnonzero(np.diff(block.offsets))
+                start, end = block.offsets[filled], block.offsets[filled + 1]
+                p = hasher.prefix(block.data)
+                words = Words(start, end, filled, mix((p[end] - p[start]) * hasher.down[start]), np.zeros(1, np.int64))
+                spelling = Spelling.of(hasher, block, words)
+                characters = spelling.characters()
+                which = np.repeat(np.arange(len(spelling.size)), spelling.size + 1)
+                k = np.arange(len(which)) - np.repeat(np.cumsum(spelling.size + 1) - spelling.size - 1, spelling.size + 1)
+                first = np.unique(spelling.gram(which, k, np.minimum(ORDER, k + 2)), return_index=True)[1]
+                which, k = which[first], k[first]
+                # Shorter n-grams are ends of longer ones, so each order is read from what the one above left over.
+                for m in range(ORDER - 1, 0, -1):
                     long = k + 2 > m
                     w, at = which[long], k[long]
-                    size = np.full(len(w), m)
-                    keys, first = np.unique(spelling.gram(w, at, size + 1), return_index=True)
-                    fresh = ~np.isin(keys, seen, assume_unique=True)
-                    seen = np.union1d(seen, keys[fresh]) if len(seen) < SEEN else keys[fresh]
-                    keys, first = keys[fresh], first[fresh]
-                    w, at, size = w[first], at[first], size[first]
-                    columns = keys, spelling.gram(w, at, size), spelling.gram(w, at - 1, size - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["gram", "follows", "context"])
-
-
-def continuations(docs: DataFrame) -> DataFrame:
-    """(context, follows, n): after how many different symbols an n-gram of a lower order stands in the words of
-    all texts.  The table is distributed, grows with the corpus and keeps rare ones."""
+                    first = np.unique(spelling.gram(w, at, np.full(len(w), m + 1)), return_index=True)[1]
+                    w, at = w[first], at[first]
+                    which, k = np.append(w, which[~long]), np.append(at, k[~long])
+                    context = spelling.gram(w, at - 1, np.full(len(w), m - 1))
+                    some = table.find(context) < len(contexts)
+                    w, at, context = w[some], at[some], context[some]
+                    ends = (spelling.symbol(characters, w, at - m) << np.uint64(32)) | spelling.symbol(characters, w, at)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (context, ends)], names=["context", "ends"])
+
+    return run
+
+
+def continuations(docs: DataFrame, found: Grams) -> DataFrame:
+    """(context, symbol, n): after how many different symbols a context with this symbol next stands in the words
+    of all texts.
+
+    The table of different words is distributed, grows with the corpus and keeps rare ones; from it all that
+    follows the sample's contexts is counted, whether the sample has it or not.  Other contexts weigh the same in
+    both classes.
+    """
     words = docs.select("text").mapInArrow(corpus_words, "word binary").distinct()
-    different = words.mapInArrow(corpus_grams, "gram long, follows long, context long").distinct()
-    return keep(different.groupBy("context", "follows").agg(F.count(F.lit(1)).alias("n")), "toxicity-continuations")
+    reader = corpus_grams(np.unique(found.lower_context))
+    different = words.mapInArrow(reader, "context long, ends long").distinct()
+    symbol = F.col("ends").bitwiseAND(F.lit(0xFFFFFFFF)).alias("symbol")
+    return keep(different.groupBy("context", symbol).agg(F.count(F.lit(1)).alias("n")), "toxicity-continuations")
+
+
+def numbers(table: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy().view(np.uint64)
+
+
+def keys_of(table: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Keys of rows: of a symbol after its context, or of the context alone."""
+    context = numbers(table, "context")
+    return pair_key(context, numbers(table, "symbol")) if "symbol" in table.schema.names else context
 
 
-def among(keys: np.ndarray, column: str):
-    """Rows whose ``column`` is one of some keys; they are bounded by the sample."""
+def among(keys: np.ndarray):
+    """Rows whose key is one of some; they are bounded by the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Lookup(keys)
         for batch in batches:
-            at = table.find(batch.column(batch.schema.get_field_index(column)).to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(at < len(keys)))
+            yield batch.filter(pa.array(table.find(keys_of(batch)) < len(keys)))
 
     return run
 
@@ -258,18 +325,17 @@ class Shared:
         follows, contexts = np.unique(found.lower), np.unique(found.lower_context)
         sums = table.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
 
-        def loaded(df: DataFrame, key: str, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
-            df = df.select(key, *columns)
-            rows = df.mapInArrow(among(keys, key), df.schema).toArrow()
-            at = np.searchsorted(keys, rows.column(key).to_numpy().view(np.uint64))
+        def loaded(df: DataFrame, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
+            rows = df.mapInArrow(among(keys), df.schema).toArrow()
+            at = np.searchsorted(keys, keys_of(rows))
             out = []
             for c in columns:
                 out.append(np.zeros(len(keys) + 1))
                 out[-1][at] = rows.column(c).to_numpy()
             return out
 
-        n, = loaded(table, "follows", follows, "n")
-        total, kinds = loaded(sums, "context", contexts, "total", "kinds")
+        n, = loaded(table, follows, "n")
+        total, kinds = loaded(sums, contexts, "total", "kinds")
         return Shared(Lookup(follows), n, Lookup(contexts), total, kinds)
 
     def chance(self, found: Grams) -> np.ndarray:
@@ -344,8 +410,7 @@ def train(docs: DataFrame, found: Sample) -> Model:
     learn = [[t for t, y, k in zip(found.texts, found.labels, found.tune) if y == c and not k] for c in (0, 1)]
     counted = [grams(each) for each in learn]
     known = Grams.merged(counted)
-    # What neither class has seen weighs the same in both, so of the corpus's table only the sample's part is loaded.
-    model = build(counted, known, Shared.load(continuations(docs), known).chance(known))
+    model = build(counted, known, Shared.load(continuations(docs, known), known).chance(known))
     tune = np.flatnonzero(found.tune)
     kept = pa.array([found.texts[i] for i in tune], pa.string())
     features = [model.features(b.n, w, s) for b, w, s in spellings(kept, SAMPLE_BLOCK)]

@@ -92,7 +92,7 @@ def test_equals_plain_kneser_ney(spark):
     counted = [toxicity.grams(each) for each in classes]
     found = toxicity.Grams.merged(counted)
     docs = spark.createDataFrame([(t,) for t in [*texts, None, texts[3]]], "text string").repartition(4)
-    model = toxicity.build(counted, found, toxicity.Shared.load(toxicity.continuations(docs), found).chance(found))
+    model = toxicity.build(counted, found, toxicity.Shared.load(toxicity.continuations(docs, found), found).chance(found))
     value = plain(texts, classes, toxicity.ORDER)
     probes = texts + ["", "a", "zz abcd", "dcbaabcd" * 3]
     got = np.concatenate([model.features(b.n, w, s)[:, 0] for b, w, s in toxicity.spellings(pa.array(probes))])
@@ -111,7 +111,7 @@ def test_an_expression_of_one_document_counts(spark):
     counted = [toxicity.grams(each) for each in learn]
     found = toxicity.Grams.merged(counted)
     docs = spark.createDataFrame([(t,) for each in learn for t in each], "text string")
-    model = toxicity.build(counted, found, toxicity.Shared.load(toxicity.continuations(docs), found).chance(found))
+    model = toxicity.build(counted, found, toxicity.Shared.load(toxicity.continuations(docs, found), found).chance(found))
     mean = [model.features(b.n, w, s)[0, 0] for t in ("all vileword", "all words") for b, w, s in toxicity.spellings(pa.array([t]))]
     assert mean[0] > 0 > mean[1]
 
