@@ -10,7 +10,10 @@ Equal sets are folded into one class first.  Within a bucket nobody is compared
 outside the most frequent label meet the centres of all their buckets, drawn from that label, by signature;
 the likeliest centre is confirmed, confirmed links join labels, and centres are drawn anew for those still
 apart.  Members of a group that is held together by links are soon of one label.  Those who stay apart meet
-the rest of their buckets by signature, so no component is split for lack of a comparison.
+the rest of their small buckets by signature.  In large ones members meet by what sets them apart from the
+bucket's centre: if x does not link with the centre, it can link with y only if both lack the same shingles of
+the centre or both have the same beside it, and by a known number.  So rows meet on the first of their
+differences (a prefix filter; see ``differences``), and no component is split for lack of a comparison.
 
 Null or wordless texts have an empty set and link with nothing.  A null id links with nothing, has no
 component and is kept.  Of rows that share an id each has its own set, and all link as the document of that
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from layover.llm.blocks import Hasher, blocks, mix, shingles
@@ -40,11 +44,16 @@ ESTIMATE = 0.63
 CENTRE_ROUNDS = 4
 #: So many centres, drawn anew each round, are compared with a member by the first longs of their signatures.
 CENTRES, BRIEF = 6, 8
+#: In buckets of at most so many members those still apart meet the others directly; in larger ones by differences.
+MEET = 32
+#: The best-connected member of a label is the centre of all its buckets whose own centre is so similar to it.
+SHARED_CENTRE = 0.5
 #: At most so many ids (eight bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
 #: What tells sets apart: their size and two sums over their hashes.
 PRINT = ["n_shingles", "f1", "f2"]
+DIFFERENCES = "id long, label long, centre long, element long, cost int, excess int"
 SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>, bands array<long>"
 
 
@@ -223,6 +232,86 @@ def still_apart(apart: DataFrame, labelled: DataFrame, signed: DataFrame, checke
     return met.distinct().join(checked, ["a", "b"], "left_anti")
 
 
+def differences(threshold_pct: int):
+    """What sets members apart from the centre of a bucket: rows (id, label, centre, element, cost, excess).
+
+    Let x and y lack r and r' shingles of the centre c and have a and a' beside it, and o of these differences in
+    common.  With t for the threshold, cost = 100 * r + t * a, and excess = cost - (100 - t) * |c|, which is above 0
+    if and only if x does not link with c, x and y link if and only if (100 + t) * o >= excess of x + cost of y.
+    As the cost of y is t * o or more, such an x has 100 * o >= its excess.  A member apart that does link with
+    the centre is given by a row without element; it and members of the main label have no excess.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(lower=True)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                apart = part.column(3).to_numpy(zero_copy_only=False)
+                own, centre = (text_sets(hasher, part.column(4 + side)) for side in (0, 1))
+                rows, elements, costs, over = [], [], [], []
+                for i in range(part.num_rows):
+                    found = np.setxor1d(own[i], centre[i], assume_unique=True)
+                    lacking = (len(found) + len(centre[i]) - len(own[i])) // 2
+                    cost = 100 * lacking + threshold_pct * (len(found) - lacking)
+                    excess = cost - (100 - threshold_pct) * len(centre[i])
+                    elements.append(pa.array(found.view(np.int64)))
+                    if apart[i] and excess <= 0:
+                        elements.append(pa.nulls(1, pa.int64()))
+                    rows += [i] * (len(found) + bool(apart[i] and excess <= 0))
+                    costs.append(cost)
+                    over.append(excess if apart[i] and excess > 0 else None)
+                of = pa.array(rows, pa.int64())
+                more = [pa.array(c, pa.int32()).take(of) for c in (costs, over)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k).take(of) for k in range(3)), pa.concat_arrays(elements), *more],
+                    names=["id", "label", "centre", "element", "cost", "excess"],
+                )
+
+    return run
+
+
+def shared_centres(large: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
+    """The buckets ``large`` (bucket, main, centre), with the best-connected member of the label where it is similar."""
+    top = labels.groupBy(F.col("label").alias("main")).agg(F.max(F.struct("degree", "id"))["id"].alias("top"))
+    sig = lambda name, own: signed.select(F.col("doc_id").alias(name), F.col("sig").alias(own))
+    known = large.join(top, "main").join(sig("centre", "sc"), "centre").join(sig("top", "st"), "top")
+    chosen = F.when(estimate(F.col("sc"), F.col("st")) >= SHARED_CENTRE, F.col("top")).otherwise(F.col("centre"))
+    return known.select("bucket", "main", chosen.alias("centre"))
+
+
+def meet_by_differences(large: DataFrame, labelled: DataFrame, signed: DataFrame, texts: DataFrame, checked: DataFrame, threshold_pct: int) -> tuple[DataFrame, DataFrame]:
+    """Links found and likely pairs (a, b) of the buckets ``large`` (bucket, main, centre) with different labels.
+
+    A member's differences are ordered from the rarest.  If the first one that x and y share is not among the last
+    o of each, they share fewer than o: so members meet on what few have, never on what all have beside the centre.
+    """
+    pair = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+    spots = labelled.join(large, "bucket").filter("id <> centre")
+    spots = spots.groupBy("id", "label", "centre").agg((F.first("main") != F.col("label")).alias("apart"))
+    needed = texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("theirs"))
+    needed = needed.join(large.select("centre").distinct(), "centre", "left_semi")
+    both = spots.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").join(needed, "centre")
+    both = both.select("id", "label", "centre", "apart", "text", "theirs")
+    found = keep(both.mapInArrow(differences(threshold_pct), DIFFERENCES), "minhash-differences")
+    linked = found.filter("element IS NULL").select(*pair("id", "centre")).distinct()
+    holders = found.groupBy("centre", "element").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    # ``behind`` counts the differences from one on to the most frequent; what one member alone has meets nobody.
+    order = W.partitionBy("id", "centre").orderBy(F.col("holders").desc(), "element")
+    held = found.join(holders, ["centre", "element"]).withColumn("behind", F.row_number().over(order)).drop("holders")
+    enough = (F.col("excess") <= 100 * F.col("behind")) | (F.col("cost") < (100 + threshold_pct) * F.col("behind"))
+    placed = keep(held.filter(enough), "minhash-first-differences")
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("id", "label", "behind", "cost", "excess")]
+    one = placed.filter(F.col("excess") <= 100 * F.col("behind")).select("centre", "element", *side("x"))
+    two = placed.filter(F.col("cost") < (100 + threshold_pct) * F.col("behind")).select("centre", "element", *side("y"))
+    reach = (100 + threshold_pct) * F.least("x_behind", "y_behind") >= F.col("x_excess") + F.col("y_cost")
+    met = one.join(two, ["centre", "element"]).filter(reach & (F.col("x_label") != F.col("y_label")))
+    met = met.select(*pair("x_id", "y_id")).distinct().join(checked, ["a", "b"], "left_anti")
+    sig = lambda name, own: signed.select(F.col("doc_id").alias(name), F.col("sig").alias(own))
+    alike = met.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").filter(estimate(F.col("sa"), F.col("sb")) >= ESTIMATE)
+    return linked, alike.select("a", "b")
+
+
 def relabelled(labels: DataFrame, confirmed: DataFrame) -> DataFrame:
     """Labels after one step along confirmed links: a label takes the smallest one it is linked to.
 
@@ -309,8 +398,17 @@ def classes(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
             break
         apart = labelled.join(stats, "bucket").filter("label <> main")
         last = turn == CENTRE_ROUNDS or work <= size
-        if last:
+        if last and work <= size:
             fresh = still_apart(apart, labelled, signed_ids, checked)
+        elif last:
+            # Members that meet most others are the centres again, so that the buckets of a group agree on one.
+            stats = centres(labelled, 0).checkpoint()
+            small, large = (stats.filter(f"m {which} {MEET}") for which in ("<=", ">"))
+            near = still_apart(apart.join(small.select("bucket"), "bucket", "left_semi"), labelled, signed_ids, checked)
+            large = shared_centres(large, labels, signed_ids).checkpoint()
+            linked, met = meet_by_differences(large, labelled, signed_ids, texts, checked, threshold_pct)
+            links = links.unionByName(linked)
+            fresh = near.unionByName(met).distinct()
         else:
             fresh = likeliest(apart.select("id", "centre").distinct(), signed_ids, checked, turn)
         fresh = fresh.checkpoint()

@@ -213,20 +213,53 @@ def test_texts_that_share_an_id_link_as_one_document(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_members_of_a_loose_group(spark):
-    """Copies similar to each other by 0.5 to 0.9, so that some link and some do not."""
+def loose_group(seed: int, n: int, length: int, edits: int) -> list[tuple]:
+    """Copies similar to each other by 0.5 to 0.9, so that some link and some do not: words changed, left out, put in."""
     import random
 
-    random.seed(9)
-    base = [f"w{i}" for i in range(150)]
+    random.seed(seed)
+    base = [f"w{i}" for i in range(length)]
+    variants = [base, base[: length // 2] + [f"v{i}" for i in range(length // 8)] + base[length // 2 :]]
     docs = []
-    for i in range(400):
-        words = list(base)
-        for k in random.sample(range(150), random.randint(0, 9)):
-            words[k] = f"x{i}y{k}"
+    for i in range(n):
+        words = list(variants[i % 5 == 0])
+        for k in range(random.randint(0, edits)):
+            at, kind = random.randrange(len(words)), random.random()
+            put = [f"x{random.randrange(9)}" if kind < 0.2 else f"x{i}y{k}"]
+            words[at : at + (kind < 0.8)] = [] if 0.6 < kind < 0.75 else put
         docs.append((i, " ".join(words)))
+    return docs
+
+
+# After no rounds all members are apart, and with MEET at 1 all buckets meet by differences.
+@pytest.mark.parametrize("rounds, meet", [(1, 32), (0, 1)])
+def test_members_of_a_loose_group(spark, monkeypatch, rounds, meet):
+    monkeypatch.setattr(minhash, "CENTRE_ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "MEET", meet)
+    docs = loose_group(9, 400, 150, 11)
+    known = {i: c for i, (_, c) in brute.near_classes(docs).items()}
+    assert 10 < len(set(known.values())) < 300
     got = {r["doc_id"]: r["component_id"] for r in minhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {i: c for i, (_, c) in brute.near_classes(docs).items()}
+    assert got == known
+
+
+@pytest.mark.parametrize("threshold", [75, 60])
+def test_links_by_differences_from_a_centre(spark, threshold):
+    """All links of members apart are found by what they have in common against the centre, whichever it is."""
+    docs = loose_group(4, 120, 60, 6) + [(500, "nothing like the others at all"), (501, " ".join(f"w{i}" for i in range(25)))]
+    sets = {i: brute.shingle_set(t) for i, t in docs}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    signed = texts.mapInArrow(minhash.sign, minhash.SIGNED).select("doc_id", "sig").checkpoint()
+    none = spark.createDataFrame([], "a long, b long")
+    for centre in (0, 7, 500):
+        members = spark.createDataFrame([(1, i, i) for i in sets], "bucket long, id long, label long")
+        large = spark.createDataFrame([(1, centre, centre)], "bucket long, main long, centre long")
+        linked, met = minhash.meet_by_differences(large, members, signed, texts, none, threshold)
+        assert {(r.a, r.b) for r in linked.collect()} == {(max(i, centre), min(i, centre)) for i in sets if i != centre and alike(i, centre)}
+        found = {(r.a, r.b) for r in met.collect()}
+        sure = {(a, b) for a in sets for b in sets if a > b and centre not in (a, b) and 100 * len(sets[a] & sets[b]) >= max(75, threshold) * len(sets[a] | sets[b])}
+        assert {(a, b) for a, b in sure if not (alike(a, centre) and alike(b, centre))} <= found
 
 
 # --- repeats -------------------------------------------------------------------------------
