@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Sums of doubles below this size keep 18 decimal places; beyond it they are plain sums.
 LARGE = 1e17
+#: Decimal places of a mean that is held against a limit or another mean.
+MEAN_DIGITS = 9
 
 
 def exact_sum(value: Column) -> Column:
@@ -25,6 +27,14 @@ def exact_avg(value: Column) -> Column:
     return F.when(F.count(value) > 0, exact_sum(value) / F.count(value))
 
 
+def comparable_avg(value: Column, digits: int = MEAN_DIGITS) -> Column:
+    """Mean of a double column to hold against limits and other means: equal means are equal doubles.
+
+    A division leaves the last bits of equal means apart (0.15 / 3 is below 0.05), which must decide nothing.
+    """
+    return F.round(exact_avg(value), digits)
+
+
 def rate(part: Column, whole: Column, digits: int = 2) -> Column:
     """``part / whole`` rounded half-even, 0.0 when there is nothing to divide by."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.bround(part / whole, digits))
