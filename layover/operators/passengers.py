@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from layover.functions import outcome
 from layover.functions import text as tx
-from layover.functions.exact import exact_avg
+from layover.functions.exact import comparable_avg, exact_avg
 from layover.operators.keys import attach, newest_rank
 
 def affected(events: DataFrame, event_prefix: str | None = None) -> DataFrame:
@@ -153,7 +153,8 @@ def holdout_lift(uplift: DataFrame) -> DataFrame:
 
 
 def mean_uplift(uplift: DataFrame, *keys: str) -> DataFrame:
-    return uplift.groupBy(*keys).agg(exact_avg(F.col("uplift_score")).alias("mean_uplift"))
+    """Mean uplift per key, rounded so that it can be held against limits."""
+    return uplift.groupBy(*keys).agg(comparable_avg(F.col("uplift_score")).alias("mean_uplift"))
 
 
 def effort(propensity: Column, best_uplift: Column, high: float, worthwhile: float) -> Column:
