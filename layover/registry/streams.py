@@ -10,10 +10,11 @@ from layover.streaming import arrivals, ingest, live
 
 
 def stream_of(t, name: str):
-    """A test view over a stream of its base table's file."""
+    """A test view over a stream of its base table, which is a file or a folder of files."""
     view = testviews.VIEWS[name]
     schema = t.base(view.base).schema
-    files = ingest.read_files(t.spark, t.sf_dir, schema, f"{view.base}.parquet")
+    # As a pattern, for Spark streams a path that is no pattern only from a folder.
+    files = ingest.read_files(t.spark, f"{t.sf_dir.rstrip('/')}/{view.base}[.]parquet", schema)
     return testviews.project(view, files)
 
 

@@ -29,7 +29,11 @@ def read_files(
     name_pattern: str | None = None,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Parquet files of a folder as a stream, new ones picked up as they appear."""
+    """Parquet files of a folder as a stream, new ones picked up as they appear.
+
+    ``name_pattern`` chooses among the files by their own names.  For a table that may be one file or a folder
+    of files, ``folder`` is a pattern of its path.
+    """
     reader = spark.readStream.schema(schema)
     if name_pattern:
         reader = reader.option("pathGlobFilter", name_pattern)
