@@ -8,9 +8,9 @@ two strings to compare: all its windows first stand in that document.
 
 Segments of the other anchors are dealt by anchor to tasks of a few megabytes.  A task sorts the suffixes
 of two shards, takes their transforms, and merges these by interleave refinement: in round t the
-interleaving that sorts the suffixes of both shards by t bytes follows from that of round t - 1 by one
-stable pass over the transforms, and so do the places where the common prefix ends.  After 50 rounds the
-suffixes between two such places share 50 bytes: a repeated interval.  The smallest document of an
+interleaving that sorts the suffixes of both shards by 2t bytes follows from that of round t - 1 by one
+stable pass over the transforms, which hold the two bytes before a suffix, and so do the places where the
+common prefix ends.  After 25 rounds the suffixes between two such places share 50 bytes: a repeated interval.  The smallest document of an
 interval decides its windows; no suffix is compared with another one again.
 
 Matches never cross documents.  A null text is empty.  A row with a null id has no place in the order: it
@@ -93,12 +93,13 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffixes(codes: np.ndarray) -> np.ndarray:
     """Suffixes of a string in order of at least their first 64 codes; its last code is 0 and nowhere else."""
     n = len(codes)
-    wide = np.zeros(n + 8, dtype=np.uint64)
+    bits = max(int(codes.max()).bit_length(), 1)
+    reach = 64 // bits  # so many codes fit a key
+    wide = np.zeros(n + reach, dtype=np.uint64)
     wide[:n] = codes
     key = np.zeros(n, dtype=np.uint64)
-    for k in range(6):  # codes are below 512
-        key = (key << np.uint64(9)) | wide[k : k + n]
-    reach = 6
+    for k in range(reach):
+        key = (key << np.uint64(bits)) | wide[k : k + n]
     while True:
         order = np.argsort(key)  # equal keys get equal ranks, so their order is free
         ordered = key[order]
@@ -112,33 +113,36 @@ def suffixes(codes: np.ndarray) -> np.ndarray:
         reach *= 2
 
 
-def transform(codes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The code before every suffix, in order; before the first stands the last, 0."""
-    return codes[order - 1]
+def transform(codes: np.ndarray, order: np.ndarray, kinds: int, step: int) -> np.ndarray:
+    """The ``step`` codes, 1 or 2, before every suffix as one number, in order; before the first stands the last, 0."""
+    if step == 1:
+        return codes[order - 1]
+    return codes[(order - 2) % len(codes)].astype(np.uint16) * np.uint16(kinds) + codes[order - 1]
 
 
 def interleave(one: np.ndarray, two: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge two transforms: which shard each suffix is from, and the number of its interval.
 
-    Suffixes of one interval agree in their first ``rounds`` codes.
+    Suffixes of one interval agree in as many codes as ``rounds`` entries of the transforms hold.
     """
     n = len(one) + len(two)
-    source = np.zeros(n, dtype=bool)
-    source[len(one) :] = True
-    interval = np.zeros(n, dtype=np.int32)
+    state = np.zeros(n, dtype=np.int32)  # of each suffix the interval, and in the lowest bit the shard
+    state[len(one) :] = 1
     codes = np.empty(n, dtype=one.dtype)
     cut = np.zeros(n, dtype=bool)
-    counts = np.bincount(one, minlength=256) + np.bincount(two, minlength=256) if one.dtype == np.uint8 else np.bincount(np.append(one, two))
+    most = int(max(one.max(), two.max())) + 1
+    counts = np.bincount(one, minlength=most) + np.bincount(two, minlength=most)
     first = (np.cumsum(counts) - counts)[counts > 0][1:]
     for _ in range(rounds):
-        codes[~source] = one
-        codes[source] = two
-        order = np.argsort(codes, kind="stable")
-        source, interval = source[order], interval[order]
-        np.not_equal(interval[1:], interval[:-1], out=cut[1:])
+        source = (state & 1).astype(bool)
+        codes[np.flatnonzero(~source)] = one
+        codes[np.flatnonzero(source)] = two
+        state = state[np.argsort(codes, kind="stable")]
+        np.greater(state[1:] ^ state[:-1], 1, out=cut[1:])
         cut[first] = True  # where the next code begins
         interval = np.cumsum(cut, dtype=np.int32)
-    return source, interval
+        state = (interval << 1) | (state & 1)
+    return (state & 1).astype(bool), state >> 1
 
 
 def first_documents(first: np.ndarray, data: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -163,7 +167,10 @@ def first_documents(first: np.ndarray, data: np.ndarray, size: np.ndarray) -> np
         left = np.append(np.repeat(ends + np.arange(b - a), lengths + 1), 0) - np.arange(len(codes))
         order = suffixes(codes)
         shards.append((codes, order, owner, (left >= LENGTH) & (owner >= 0)))
-    source, interval = interleave(*(transform(c, o) for c, o, _, _ in shards), LENGTH)
+    # Two codes at a time where both fit sixteen bits, which are sorted by counting.
+    kinds = len(used) + 2
+    step = 2 if kinds <= 256 and LENGTH % 2 == 0 else 1
+    source, interval = interleave(*(transform(c, o, kinds, step) for c, o, _, _ in shards), LENGTH // step)
     value = np.full(len(source), far, dtype=np.int64)
     sides = (~source, source)
     for side, (_, order, owner, window) in zip(sides, shards):
@@ -249,7 +256,7 @@ def repeated_ranges(plain: DataFrame) -> DataFrame:
     segments = placed(keep(segments.select("anchor", "segment", "first.*", "kinds"), "bwt-segments"))
     several = segments.filter("kinds > 1")
     size = several.agg(F.sum(F.col("n") + LENGTH - 1)).first()[0] or 0
-    raw = F.encode("text", "UTF-8")
+    raw = F.col("text").cast("binary")  # not encode(), which reads the whole text anew for each of its segments
     texts = several.join(known.dropDuplicates(["doc_id"]), "doc_id").select(
         "anchor", "segment", F.col("doc_id").alias("first"), F.substring(raw, F.col("start") + 1, F.col("n") + LENGTH - 1).alias("bytes")
     )
