@@ -41,6 +41,8 @@ TOP = 2000
 ABSORB_PCT = 100
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLOCK = 4 << 20
+#: Spelling compares all bytes of a block, which takes some sixty bytes of memory for each.
+SPELL_BLOCK = 1 << 20
 FILTER_BITS = 26
 #: A task hands on the phrases it has spelled out when they are so many or so long.
 POOL, POOL_BYTES = 500_000, 32 << 20
@@ -73,8 +75,9 @@ class Runs:
 class Reader:
     """Cuts texts into runs of words, block by block."""
 
-    def __init__(self):
-        self.hasher = Hasher(lower=True, block=BLOCK)
+    def __init__(self, block: int = BLOCK):
+        self.block = block
+        self.hasher = Hasher(lower=True, block=block)
         self.breaks = np.zeros(256, dtype=bool)
         self.breaks[list(BREAKS)] = True
         self.hasher.space = self.breaks.copy()
@@ -88,7 +91,7 @@ class Reader:
             for k in range(8, len(name.encode()), 8):
                 hashed[i] = mix(hashed[i : i + 1])[0] ^ np.uint64(int.from_bytes(name.encode()[k : k + 8], "little"))
         codes = coded.indices.to_numpy()
-        for block in blocks(column, BLOCK):
+        for block in blocks(column, self.block):
             words = self.hasher.words(block)
             n = len(words.hash)
             if len(self.up) <= n:
@@ -263,7 +266,7 @@ def spell(bitmaps: list[Bitmap]):
     """Texts of frequent prints and how often each stands in a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, pool, names = Reader(), Pool(), {}
+        reader, pool, names = Reader(SPELL_BLOCK), Pool(), {}
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             known = np.array([names.setdefault(name, len(names)) for name in langs.dictionary.to_pylist()], dtype=np.int64)
