@@ -67,10 +67,14 @@ def keyed_arrivals_stream(t):
     return arrivals.read_arrivals(t.spark, path, lost.schema)
 
 
-def in_three_files(t, rows, path):
-    """A table as a stream of three files in no order of time, one per batch."""
-    rows.repartition(3, "exec_id").write.parquet(f"{path}-in")
-    return ingest.read_files(t.spark, f"{path}-in", rows.schema, files_per_batch=1)
+#: Files in each of three batches, so that as many tasks write them.
+FILES = 16
+
+
+def in_three_batches(t, rows, path):
+    """A table as a stream of three batches of files, in no order of time."""
+    rows.repartition(3 * FILES, "exec_id").write.parquet(f"{path}-in")
+    return ingest.read_files(t.spark, f"{path}-in", rows.schema, files_per_batch=FILES)
 
 
 @query(
@@ -79,7 +83,7 @@ def in_three_files(t, rows, path):
 )
 def window_counts_stream(t):
     path = new_path(t.spark, "counts")
-    counts = live.live_counts(in_three_files(t, t.exec, path), "1 hour", lateness="60 days")
+    counts = live.live_counts(in_three_batches(t, t.exec, path), "1 hour", lateness="60 days")
     ingest.drain(live.write_changes(counts, path, f"{path}-state"))
     return live.read_newest(t.spark, path, counts.schema, ["window_start"])
 
@@ -92,7 +96,8 @@ WHERE a.status = 'STAGED_FOR_CONCIERGE' AND b.scenario = 'PULL_CONCIERGE'""",
 )
 def staged_then_resolved_stream(t):
     path = new_path(t.spark, "pairs")
-    rows = in_three_files(t, t.exec, path)
+    told = t.exec.select("exec_id", "customer_id", "scenario", "status", "executed_at")
+    rows = in_three_batches(t, told, path)
     pairs = live.live_pairs(
         rows.filter("status = 'STAGED_FOR_CONCIERGE'"), rows.filter("scenario = 'PULL_CONCIERGE'"),
         "customer_id", "executed_at", "executed_at", "2 HOURS", lateness="60 days",
