@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from layover.llm import minhash, mixing, packing, passages, toxicity
 from layover.llm.registry import tokenizer_json
-from layover.llm.scratch import keep, read
+from layover.llm.scratch import keep, read, release
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,4 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark)  # the next stage begins without the plans and shuffles of this one
     return docs

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from layover.llm.blocks import Hasher, blocks, mix, shingles
 from layover.llm.components import components
-from layover.llm.scratch import keep
+from layover.llm.scratch import keep, release
 
 WIDTH = 5
 HASHES, BITS = 512, 4
@@ -390,6 +390,7 @@ def classes(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
         texts = keep(texts_of(docs, sets, ids), "minhash-texts")
     labels, checked = degrees.withColumn("label", F.col("id")), spark.createDataFrame([], "a long, b long")
     for turn in range(CENTRE_ROUNDS + 1 if size else 0):
+        release(spark)  # plans of earlier rounds, which the driver would keep while it has memory
         labels = labels.checkpoint()
         labelled = members.join(labels, "id")
         stats = centres(labelled, turn).checkpoint()
@@ -418,6 +419,7 @@ def classes(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
             break
         checked = checked.unionByName(fresh)
         labels = relabelled(labels, confirmed)
+    release(spark)
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     by_class = sets.join(found, sets.node == found.id, "left").select(
         *PRINT, F.coalesce("component", "node").alias("component")
