@@ -8,7 +8,7 @@ Fact tables may hold a third of their rows under one key.  The rules followed he
 * both sides join on the key *and its hash*.  Adaptive execution splits a join only when each side
   comes straight out of a shuffle.  A lookup that was just grouped by the key would be joined where
   it is, and its hot facts could not be split; asking for the hash as well makes the planner shuffle
-  the (folded, small) lookup once more;
+  the (folded, small) lookup once more.  The hash has few values, as it is shuffled with every fact;
 * no broadcast hints: the planner broadcasts a side only when its measured size is small.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASH = "__key_hash"
+HASH_VALUES = 16
 SALT = "__salt"
 
 # Types whose equal values always hash alike.  Other key types join on the key alone.
@@ -37,7 +38,7 @@ def match(facts: DataFrame, lookup: DataFrame, on: str | list[str], how: str) ->
     keys = [on] if isinstance(on, str) else list(on)
     if not _can_hash(facts, lookup, keys):
         return facts.join(lookup, keys, how)
-    hashed = [df.withColumn(HASH, F.xxhash64(*keys)) for df in (facts, lookup)]
+    hashed = [df.withColumn(HASH, F.pmod(F.xxhash64(*keys), F.lit(HASH_VALUES)).cast("byte")) for df in (facts, lookup)]
     return hashed[0].join(hashed[1], [*keys, HASH], how).drop(HASH)
 
 
