@@ -181,6 +181,11 @@ class Grams:
         kept = [np.concatenate([getattr(p, c) for p in parts])[first] for c in ("context", "length", "lower", "lower_context")]
         return Grams(key, kept[0], kept[1], n, kept[2], kept[3])
 
+    def highest(self) -> Grams:
+        """The longest n-grams alone, which is all a class model is built from."""
+        wide = np.zeros((0, ORDER - 1), np.uint64)
+        return Grams(self.key, self.context, self.length, self.n, wide, wide)
+
     @staticmethod
     def none() -> Grams:
         flat, wide = np.zeros(0, np.uint64), np.zeros((0, ORDER - 1), np.uint64)
@@ -410,13 +415,22 @@ def train(docs: DataFrame, found: Sample) -> Model:
     learn = [[t for t, y, k in zip(found.texts, found.labels, found.tune) if y == c and not k] for c in (0, 1)]
     counted = [grams(each) for each in learn]
     known = Grams.merged(counted)
-    model = build(counted, known, Shared.load(continuations(docs, known), known).chance(known))
+    counted = [each.highest() for each in counted]
     tune = np.flatnonzero(found.tune)
     kept = pa.array([found.texts[i] for i in tune], pa.string())
+    labels, share = found.labels[tune], found.share
+    del learn, found
+    # What a step leaves behind goes before the next one brings tables to the driver.
+    release(spark)
+    table = continuations(docs, known)
+    release(spark)
+    base = Shared.load(table, known).chance(known)
+    known = known.highest()
+    model = build(counted, known, base)
     features = [model.features(b.n, w, s) for b, w, s in spellings(kept, SAMPLE_BLOCK)]
-    slope, model.shift = calibrate(np.concatenate([np.zeros((0, 2)), *features]), found.labels[tune], found.share)
+    slope, model.shift = calibrate(np.concatenate([np.zeros((0, 2)), *features]), labels, share)
     model.slope = tuple(slope)
-    del learn, counted, known, features, kept
+    del counted, known, base, features, kept
     release(spark)
     return model
 

@@ -1,5 +1,6 @@
 """What the toxicity models read."""
 
+import gc
 import math
 import random
 
@@ -124,3 +125,18 @@ def test_an_expression_of_one_document_counts(spark):
 def test_words(text, known):
     found = [block.data[a:b].tobytes().decode() for block, words, _ in toxicity.spellings(pa.array([text])) for a, b in zip(words.start, words.end)]
     assert found == known
+
+
+def test_lower_orders_of_the_classes_are_let_go(spark, monkeypatch):
+    """While the driver loads the shared orders, only the merged n-grams still have lower ones."""
+    held, load = [], toxicity.Shared.load
+
+    def watched(table, found):
+        held.append(sum(len(g.lower) for g in gc.get_objects() if isinstance(g, toxicity.Grams)) - len(found.lower))
+        return load(table, found)
+
+    monkeypatch.setattr(toxicity.Shared, "load", watched)
+    docs = spark.createDataFrame([(i, f"word{i % 7} some text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.score(docs, labels).count() == 60
+    assert held == [0]
