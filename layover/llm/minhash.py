@@ -280,6 +280,19 @@ def shared_centres(large: DataFrame, labels: DataFrame, signed: DataFrame) -> Da
     return known.select("bucket", "main", chosen.alias("centre"))
 
 
+def beside_centres(large: DataFrame, labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members of the buckets ``large`` (bucket, main, centre) with both texts: (id, label, centre, apart, text, theirs).
+
+    They are dealt by member: the text of its centre, which a whole group shares, is put beside it first.
+    """
+    spots = labelled.join(large, "bucket").filter("id <> centre")
+    spots = spots.groupBy("id", "label", "centre").agg((F.first("main") != F.col("label")).alias("apart"))
+    needed = texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("theirs"))
+    needed = needed.join(large.select("centre").distinct(), "centre", "left_semi")
+    both = spots.join(needed, "centre").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    return both.select("id", "label", "centre", "apart", "text", "theirs")
+
+
 def meet_by_differences(large: DataFrame, labelled: DataFrame, signed: DataFrame, texts: DataFrame, checked: DataFrame, threshold_pct: int) -> tuple[DataFrame, DataFrame]:
     """Links found and likely pairs (a, b) of the buckets ``large`` (bucket, main, centre) with different labels.
 
@@ -287,12 +300,7 @@ def meet_by_differences(large: DataFrame, labelled: DataFrame, signed: DataFrame
     o of each, they share fewer than o: so members meet on what few have, never on what all have beside the centre.
     """
     pair = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-    spots = labelled.join(large, "bucket").filter("id <> centre")
-    spots = spots.groupBy("id", "label", "centre").agg((F.first("main") != F.col("label")).alias("apart"))
-    needed = texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("theirs"))
-    needed = needed.join(large.select("centre").distinct(), "centre", "left_semi")
-    both = spots.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").join(needed, "centre")
-    both = both.select("id", "label", "centre", "apart", "text", "theirs")
+    both = beside_centres(large, labelled, texts)
     found = keep(both.mapInArrow(differences(threshold_pct), DIFFERENCES), "minhash-differences")
     linked = found.filter("element IS NULL").select(*pair("id", "centre")).distinct()
     holders = found.groupBy("centre", "element").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
