@@ -9,11 +9,12 @@ frequent only if both phrases of one word less in it are: prints of length k are
 task, then by a shuffle) where a bitmap of the frequent prints of length k - 1 allows it.  The bitmap has
 ``FILTER_BITS`` bits however many prints there are; where it lets one through in error, it is counted in vain.
 
-Only frequent prints are spelled out.  In every block the occurrences of a print are compared with its first
-one, to which it points: words byte by byte, phrases by their words.  The first one's text is compared with what the
-task has under this print and goes on with the number that agree and a document they stand in; others with
-the same print are groups of their own.  So final counts are of texts, and a collision of prints costs work
-but never a count.
+Only frequent words are spelled out.  In every block the occurrences of a print are compared with its first
+one, byte by byte; the first one's text is compared with what the task has under this print and goes on with the
+number that agree; others with the same print are groups of their own.  Frequent words are then numbered, and
+words that share a print with another, of which there are hardly any, are told apart by their texts.  Phrases are
+counted by the numbers of their words, two to a column, so final counts are of texts, and a collision of prints
+costs work but never a count.  Their texts are put together from the words', once for each frequent phrase.
 
 Null texts are empty.  Null ids count, but are never named as ``first_doc``; rows that share an id, and exact
 repeats, all count.  Ties in score are broken by count, then by the phrase's bytes.  An empty table has no
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from layover.llm.blocks import BASE, INVERSE, Block, Hasher, Words, blocks, mix, powers
+from layover.llm.blocks import BASE, INVERSE, Block, Hasher, Lookup, Words, blocks, mix, powers
 from layover.llm.scratch import keep
 
 LONGEST = 5
@@ -41,8 +42,8 @@ TOP = 2000
 ABSORB_PCT = 100
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLOCK = 4 << 20
-#: Spelling compares all bytes of a block, which takes some sixty bytes of memory for each.
-SPELL_BLOCK = 1 << 20
+#: Spelling and numbering hold some sixty bytes of memory for each byte of a block.
+SMALL_BLOCK = 1 << 20
 FILTER_BITS = 26
 #: A task hands on the phrases it has spelled out when they are so many or so long.
 POOL, POOL_BYTES = 500_000, 32 << 20
@@ -51,7 +52,15 @@ MISSING = np.iinfo(np.int64).max
 PRINT_BITS = 64
 
 COUNTED = "lang string, print long, n long"
-SPELLED = "lang string, phrase string, words int, n long, doc long"
+#: A phrase's numbers, two in each column from its end on; columns it has no words for are null.
+NUMBERS = ["last", "middle", "first"]
+NUMBERED = f"{', '.join(f'{c} long' for c in NUMBERS)}, n long"
+UNPACKED = "ids array<long>, words int, print long, a long"
+SPELLED = "lang string, phrase string, words int, n long, doc long, print long"
+
+
+def shortened(prints: np.ndarray) -> np.ndarray:
+    return prints >> np.uint64(64 - PRINT_BITS) << np.uint64(64 - PRINT_BITS)
 
 
 @dataclass
@@ -61,15 +70,14 @@ class Runs:
     block: Block
     words: Words
     reach: np.ndarray
+    word: np.ndarray  # the print of each word, which differs by language
     sums: np.ndarray
-    up: np.ndarray
     down: np.ndarray
-    lang: np.ndarray  # a hash per text
 
     def prints(self, first: np.ndarray, size: int) -> np.ndarray:
-        value = (self.sums[first + size] - self.sums[first]) * self.down[first] + np.uint64(size)
-        found = mix(mix(value) ^ self.lang[self.words.text[first]])
-        return found >> np.uint64(64 - PRINT_BITS) << np.uint64(64 - PRINT_BITS)
+        if size == 1:
+            return self.word[first]
+        return shortened(mix((self.sums[first + size] - self.sums[first]) * self.down[first] + np.uint64(size)))
 
 
 class Reader:
@@ -102,8 +110,10 @@ class Reader:
             first = np.flatnonzero(fresh)
             stop = np.append(first[1:], n)[: len(first)]
             reach = np.repeat(stop, stop - first) - np.arange(n)
-            sums = np.append(np.uint64(0), np.cumsum(mix(words.hash) * self.up[:n], dtype=np.uint64))
-            yield Runs(block, words, reach, sums, self.up, self.down, mix(hashed[codes[block.first : block.first + block.n]] + np.uint64(1)))
+            own = mix(hashed[codes[block.first : block.first + block.n]] + np.uint64(1))
+            word = shortened(mix(words.hash ^ own[words.text]))
+            sums = np.append(np.uint64(0), np.cumsum(mix(word) * self.up[:n], dtype=np.uint64))
+            yield Runs(block, words, reach, word, sums, self.down)
 
 
 class Bitmap:
@@ -127,30 +137,97 @@ def frequent_at(runs: Runs, size: int, bitmap: Bitmap) -> np.ndarray:
 # --- counting prints -----------------------------------------------------------------------
 
 
-def count(size: int, shorter: Bitmap | None):
-    """Counts of prints of ``size`` words; of single words also all words per language."""
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of prints of single words, and all words per language."""
+    reader = Reader()
+    for batch in batches:
+        langs = batch.column(0)
+        for runs in reader.runs(batch.column(1), langs):
+            own = langs.slice(runs.block.first, runs.block.n).dictionary_encode()
+            sizes = np.bincount(own.indices.to_numpy(), np.diff(runs.words.first), len(own.dictionary)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [own.dictionary, pa.nulls(len(sizes), pa.int64()), pa.array(sizes)], names=["lang", "print", "n"]
+            )
+            found, n = np.unique(runs.word, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))],
+                names=["lang", "print", "n"],
+            )
+
+
+@dataclass
+class Vocabulary:
+    """Frequent words, numbered by their places among the ascending ids.  A word's id is its print; words that share
+    their print with another have an id by language and text."""
+
+    ids: np.ndarray
+    prints: np.ndarray
+    shared: np.ndarray
+    own: dict[tuple[str, bytes], int]
+
+    def numbers(self, runs: Runs, langs: pa.Array, table: Lookup) -> np.ndarray:
+        """The number of every word, or that of all words for one that is not frequent."""
+        number = table.find(runs.word).astype(np.int64)
+        if len(self.shared):
+            words, block = runs.words, runs.block
+            for at in np.flatnonzero(np.isin(runs.word, self.shared)):
+                text = block.data[words.start[at] : words.end[at]].tobytes().lower()
+                number[at] = self.own.get((langs[block.first + words.text[at]].as_py(), text), len(self.ids))
+        return number
+
+
+def count(size: int, vocabulary: Vocabulary, shorter: Bitmap | None):
+    """Counts of phrases of ``size`` frequent words by their numbers; both phrases of one word less are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader, table = Reader(SMALL_BLOCK), Lookup(vocabulary.ids)
         for batch in batches:
             langs = batch.column(0)
             for runs in reader.runs(batch.column(1), langs):
-                if shorter is None:
-                    first = np.arange(len(runs.reach))
-                    own = langs.slice(runs.block.first, runs.block.n).dictionary_encode()
-                    sizes = np.bincount(own.indices.to_numpy(), np.diff(runs.words.first), len(own.dictionary)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [own.dictionary, pa.nulls(len(sizes), pa.int64()), pa.array(sizes)], names=["lang", "print", "n"]
-                    )
-                else:
+                number = vocabulary.numbers(runs, langs, table)
+                rare = np.append(0, np.cumsum(number == len(vocabulary.ids)))
+                first = np.flatnonzero(runs.reach >= size)
+                first = first[rare[first + size] == rare[first]]
+                if shorter is not None:
                     part = np.zeros(len(runs.reach) + 1, dtype=bool)
                     part[frequent_at(runs, size - 1, shorter)] = True
-                    first = np.flatnonzero((runs.reach >= size) & part[:-1] & part[1:])
-                found, n = np.unique(runs.prints(first, size), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))],
-                    names=["lang", "print", "n"],
-                )
+                    first = first[part[first] & part[first + 1]]
+                key = [number[first + k - 1] | (number[first + k - 2] << 32 if k > 1 else 0) for k in range(size, 0, -2)]
+                if len(key) > 1:
+                    order = np.argsort(runs.prints(first, size))
+                    key = [c[order] for c in key]
+                    fresh = np.ones(len(first), dtype=bool)
+                    fresh[1:] = np.any([c[1:] != c[:-1] for c in key], axis=0)
+                    begin = np.flatnonzero(fresh)
+                    key, n = [c[begin] for c in key], np.diff(np.append(begin, len(first)))
+                else:
+                    found, n = np.unique(key[0], return_counts=True)
+                    key = [found]
+                columns = [pa.array(c) for c in key] + [pa.nulls(len(n), pa.int64())] * (len(NUMBERS) - len(key))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], names=[*NUMBERS, "n"])
+
+    return run
+
+
+def unpack(size: int, vocabulary: Vocabulary):
+    """Ids of the words of phrases, and the prints of phrases."""
+    up = powers(BASE, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = np.zeros((batch.num_rows, size), np.int64)
+            for k in range(size):
+                pair = batch.column((size - 1 - k) // 2).to_numpy()
+                number[:, k] = pair >> 32 if (size - 1 - k) % 2 else pair & 0xFFFFFFFF
+            value = (mix(vocabulary.prints[number]) * up).sum(axis=1, dtype=np.uint64) + np.uint64(size)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * np.int32(size))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.ListArray.from_arrays(ends, pa.array(vocabulary.ids[number].reshape(-1).view(np.int64))),
+                    pa.array(np.full(batch.num_rows, size, np.int32)), pa.array(shortened(mix(value)).view(np.int64)), batch.column(len(NUMBERS)),
+                ],
+                names=["ids", "words", "print", "a"],
+            )
 
     return run
 
@@ -256,9 +333,9 @@ class Pool:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(names, pa.string()).take(pa.array(own["lang"][order])), texts, pa.array(own["words"][order].astype(np.int32)),
-                pa.array(own["n"][order]), pa.array(doc, mask=doc == MISSING),
+                pa.array(own["n"][order]), pa.array(doc, mask=doc == MISSING), pa.array(self.prints[order].view(np.int64)),
             ],
-            names=["lang", "phrase", "words", "n", "doc"],
+            names=["lang", "phrase", "words", "n", "doc", "print"],
         )
 
 
@@ -266,7 +343,7 @@ def spell(bitmaps: list[Bitmap]):
     """Texts of frequent prints and how often each stands in a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, pool, names = Reader(SPELL_BLOCK), Pool(), {}
+        reader, pool, names = Reader(SMALL_BLOCK), Pool(), {}
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             known = np.array([names.setdefault(name, len(names)) for name in langs.dictionary.to_pylist()], dtype=np.int64)
@@ -305,31 +382,74 @@ def spell(bitmaps: list[Bitmap]):
     return run
 
 
+def spelled(texts: DataFrame, bitmaps: list[Bitmap]) -> DataFrame:
+    found = texts.mapInArrow(spell(bitmaps), SPELLED).groupBy("lang", "phrase", "words", "print")
+    return found.agg(F.sum("n").alias("a"), F.min("doc").alias("first_doc"))
+
+
+def vocabulary_of(words: DataFrame, min_count: int) -> tuple[DataFrame, Vocabulary]:
+    """Frequent words with their ids, and the same as arrays: sixteen bytes a word come to the driver, and the texts
+    of words that share a print with another."""
+    several = words.groupBy("print").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("print")
+    shared = words.join(several, "print").select("print", "lang", "phrase", "a").collect()
+    often = words.filter(F.col("a") >= min_count).withColumn("id", F.col("print"))
+    if shared:
+        often = often.join(several, "print", "left_anti").select(often.columns)
+    ids = np.sort(often.select("print").toArrow()["print"].to_numpy().view(np.uint64))
+    if not shared:
+        return often, Vocabulary(ids, ids, np.zeros(0, np.uint64), {})
+    told = [r for r in shared if r["a"] >= min_count]
+    free = np.setdiff1d(np.arange(len(ids) + len(told), dtype=np.uint64), ids)[: len(told)]
+    given = [(int(i), r["lang"], r["phrase"]) for i, r in zip(free, told)]
+    table = words.sparkSession.createDataFrame(given, "id long, lang string, phrase string")
+    often = often.unionByName(words.join(table, ["lang", "phrase"]).select(often.columns))
+    prints = np.append(ids, np.array([r["print"] for r in told], np.int64).view(np.uint64))
+    ids = np.append(ids, free)
+    order = np.argsort(ids)
+    ids, prints = ids[order], prints[order]
+    own = {(lang, phrase.encode()): int(np.searchsorted(ids, np.uint64(i))) for i, lang, phrase in given}
+    return often, Vocabulary(ids, prints, np.unique(np.array([r["print"] for r in shared], np.int64).view(np.uint64)), own)
+
+
+def with_texts(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, phrase, words, a, print) of phrases given by the ids of their words."""
+    each = phrases.select("*", F.posexplode("ids").alias("at", "id")).join(words.select("id", "lang", F.col("phrase").alias("word")), "id")
+    put = each.groupBy("ids", "words", "a", "print").agg(
+        F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("in_order")
+    )
+    return put.select("lang", F.array_join(F.col("in_order.word"), " ").alias("phrase"), "words", "a", "print")
+
+
 def frequent(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """Phrases of up to ``longest`` words that stand at least ``min_count`` times, and all words per language.
 
-    (lang, phrase, words, a, first_doc) and (lang, n).
+    (lang, phrase, words, a, print) and (lang, n).
     """
-    texts = docs.select(
+    texts = texts_of(docs)
+    plain = texts.select("lang", "text")
+    summed = plain.mapInArrow(count_words, COUNTED).groupBy("lang", "print").agg(F.sum("n").alias("n"))
+    summed = keep(summed.filter((F.col("n") >= min_count) | F.col("print").isNull()), "phrases-words")
+    totals = summed.filter("print IS NULL").select("lang", "n")
+    bitmap = bitmap_of(summed.filter("print IS NOT NULL").select("print"), bits)
+    words, vocabulary = vocabulary_of(keep(spelled(texts, [bitmap]).drop("first_doc"), "phrases-spelled"), min_count)
+    found, shorter = words.select("lang", "phrase", "words", "a", "print"), None
+    for size in range(2, longest + 1):
+        if not len(vocabulary.ids):
+            break
+        counted = plain.mapInArrow(count(size, vocabulary, shorter), NUMBERED).groupBy(*NUMBERS).agg(F.sum("n").alias("n"))
+        often = keep(counted.filter(F.col("n") >= min_count).mapInArrow(unpack(size, vocabulary), UNPACKED), "phrases-numbered")
+        shorter = bitmap_of(often.select("print"), bits)
+        if not shorter.bits.any():
+            break
+        found = found.unionByName(with_texts(often, words))
+    return keep(found, "phrases-frequent"), totals
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"),
         F.col("doc_id").cast("long").alias("doc"),
     )
-    plain, bitmaps, totals = texts.select("lang", "text"), [], None
-    for size in range(1, longest + 1):
-        counted = plain.mapInArrow(count(size, bitmaps[-1] if bitmaps else None), COUNTED)
-        if size == 1:
-            summed = counted.groupBy("lang", "print").agg(F.sum("n").alias("n"))
-            summed = keep(summed.filter((F.col("n") >= min_count) | F.col("print").isNull()), "phrases-words")
-            totals = summed.filter("print IS NULL").select("lang", "n")
-            often = summed.filter("print IS NOT NULL").select("print")
-        else:
-            often = counted.groupBy("print").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).select("print")
-        bitmaps.append(bitmap_of(often, bits))
-        if not bitmaps[-1].bits.any():
-            break
-    spelled = texts.mapInArrow(spell(bitmaps), SPELLED)
-    found = spelled.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a"), F.min("doc").alias("first_doc"))
-    return keep(found.filter(F.col("a") >= min_count), "phrases-frequent"), totals
 
 
 # --- scores --------------------------------------------------------------------------------
@@ -344,11 +464,13 @@ def exact(column: str) -> Column:
 
 
 def collocations(
-    docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, absorb_pct: int = ABSORB_PCT, bits: int = FILTER_BITS
+    docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, absorb_pct: int = ABSORB_PCT, bits: int = FILTER_BITS,
+    first_doc: bool = True,
 ) -> DataFrame:
     """The first ``top`` phrases per language: (lang, rank, phrase, a, l, r, n, score, first_doc).
 
-    ``docs`` needs doc_id, text and lang.  A phrase cut in two has the score floor(1000 * a * n / (l * r));
+    ``docs`` needs doc_id, text and lang.  The smallest document a phrase stands in is looked up for these phrases
+    alone, in one more reading of the texts; without ``first_doc`` that column is left out.  A phrase cut in two has the score floor(1000 * a * n / (l * r));
     its lowest-scoring cut counts.  A phrase of which a longer one holds ``absorb_pct`` hundredths of the
     occurrences is left out.
     """
@@ -374,5 +496,10 @@ def collocations(
     )
     order = W.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("cut.a").desc(), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    named = ranked.join(known.select("lang", "phrase", "first_doc"), ["lang", "phrase"])
-    return named.select("lang", "rank", "phrase", "cut.a", "cut.l", "cut.r", "cut.n", "cut.score", "first_doc")
+    ranked = ranked.select("lang", "rank", "phrase", "cut.a", "cut.l", "cut.r", "cut.n", "cut.score")
+    if not first_doc:
+        return ranked
+    ranked = keep(ranked, "phrases-ranked")
+    chosen = keep(ranked.join(known.select("lang", "phrase", "words", "print"), ["lang", "phrase"]).select("words", "print"), "phrases-chosen")
+    bitmaps = [bitmap_of(chosen.filter(F.col("words") == size).select("print"), bits) for size in range(1, longest + 1)]
+    return ranked.join(spelled(texts_of(docs), bitmaps).select("lang", "phrase", "first_doc"), ["lang", "phrase"]).select(*ranked.columns, "first_doc")

@@ -349,4 +349,4 @@ SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT
 
 @query("op13_rabin_karp_phrases", PHRASES_SQL)
 def rabin_karp_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.collocations(read(spark, sf_dir, "documents")).drop("first_doc")
+    return phrases.collocations(read(spark, sf_dir, "documents"), first_doc=False)
