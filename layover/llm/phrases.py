@@ -9,10 +9,11 @@ frequent only if both phrases of one word less in it are: prints of length k are
 task, then by a shuffle) where a bitmap of the frequent prints of length k - 1 allows it.  The bitmap has
 ``FILTER_BITS`` bits however many prints there are; where it lets one through in error, it is counted in vain.
 
-Only frequent words are spelled out.  In every block the occurrences of a print are compared with its first
-one, byte by byte; the first one's text is compared with what the task has under this print and goes on with the
-number that agree; others with the same print are groups of their own.  Frequent words are then numbered, and
-words that share a print with another, of which there are hardly any, are told apart by their texts.  Phrases are
+Words are counted by their texts in one reading, so the rows of a task follow from its own text.  In every block
+the occurrences of a print are compared with its first one, byte by byte; the first one's text is compared with what
+the task has under this print and goes on with the number that agree; others with the same print are groups of their
+own.  Frequent words are then numbered, and words that share a print with another, of which there are hardly any,
+are told apart by their texts.  Phrases are
 counted by the numbers of their words, two to a column, so final counts are of texts, and a collision of prints
 costs work but never a count.  Their texts are put together from the words', once for each frequent phrase.
 
@@ -51,12 +52,14 @@ MISSING = np.iinfo(np.int64).max
 #: Leading bits of a print that are used; fewer only to force collisions in tests.
 PRINT_BITS = 64
 
-COUNTED = "lang string, print long, n long"
 #: A phrase's numbers, two in each column from its end on; columns it has no words for are null.
 NUMBERS = ["last", "middle", "first"]
 NUMBERED = f"{', '.join(f'{c} long' for c in NUMBERS)}, n long"
 UNPACKED = "ids array<long>, words int, print long, a long"
 SPELLED = "lang string, phrase string, words int, n long, doc long, print long"
+WORDS = "lang string, phrase string, print long, n long"
+#: Rows of spelled phrases that a task hands on at once.
+ROWS = 50_000
 
 
 def shortened(prints: np.ndarray) -> np.ndarray:
@@ -128,31 +131,13 @@ class Bitmap:
         return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def frequent_at(runs: Runs, size: int, bitmap: Bitmap) -> np.ndarray:
-    """Where the runs of ``size`` words in the bitmap begin."""
+def frequent_at(runs: Runs, size: int, bitmap: Bitmap | None) -> np.ndarray:
+    """Where the runs of ``size`` words in the bitmap begin; without a bitmap, where any begin."""
     first = np.flatnonzero(runs.reach >= size)
-    return first[bitmap.has(runs.prints(first, size))]
+    return first if bitmap is None else first[bitmap.has(runs.prints(first, size))]
 
 
-# --- counting prints -----------------------------------------------------------------------
-
-
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of prints of single words, and all words per language."""
-    reader = Reader()
-    for batch in batches:
-        langs = batch.column(0)
-        for runs in reader.runs(batch.column(1), langs):
-            own = langs.slice(runs.block.first, runs.block.n).dictionary_encode()
-            sizes = np.bincount(own.indices.to_numpy(), np.diff(runs.words.first), len(own.dictionary)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [own.dictionary, pa.nulls(len(sizes), pa.int64()), pa.array(sizes)], names=["lang", "print", "n"]
-            )
-            found, n = np.unique(runs.word, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))],
-                names=["lang", "print", "n"],
-            )
+# --- counting by numbers -------------------------------------------------------------------
 
 
 @dataclass
@@ -339,8 +324,8 @@ class Pool:
         )
 
 
-def spell(bitmaps: list[Bitmap]):
-    """Texts of frequent prints and how often each stands in a task's texts."""
+def spell(bitmaps: list[Bitmap | None]):
+    """Texts of frequent prints, or of all where there is no bitmap, and how often each stands in a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, pool, names = Reader(SMALL_BLOCK), Pool(), {}
@@ -351,7 +336,8 @@ def spell(bitmaps: list[Bitmap]):
             for runs in reader.runs(batch.column(1), batch.column(0)):
                 words, data = runs.words, runs.block.data
                 data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-                word = parted(words.hash, same_bytes(words, data))
+                alike = same_bytes(words, data)
+                word = parted(words.hash, alike) if len(bitmaps) > 1 else None
                 code = codes[runs.block.first : runs.block.first + runs.block.n]
                 for size, bitmap in enumerate(bitmaps, 1):
                     at = frequent_at(runs, size, bitmap)
@@ -361,12 +347,16 @@ def spell(bitmaps: list[Bitmap]):
                     def same(a, b, at=at, size=size):
                         x, y = at[a], at[b]
                         equal = code[words.text[x]] == code[words.text[y]]
+                        if word is None:
+                            return equal & alike(x, y)
                         for k in range(size):
                             equal &= word[x + k] == word[y + k]
                         return equal
 
                     prints = runs.prints(at, size)
-                    group, of = np.unique(parted(prints, same), return_inverse=True)
+                    first = parted(prints, same)
+                    own = first == np.arange(len(first))
+                    group, of = np.flatnonzero(own), (np.cumsum(own) - 1)[first]
                     least = np.full(len(group), MISSING)
                     np.minimum.at(least, of, docs[runs.block.first + words.text[at]])
                     text, length = bytes_of(words, data, at[group], size)
@@ -375,13 +365,46 @@ def spell(bitmaps: list[Bitmap]):
                         "doc": least, "start": np.cumsum(length) - length, "length": length,
                     })
                 if len(pool.prints) > POOL or len(pool.data) > POOL_BYTES:
-                    yield pool.rows(list(names))
+                    yield from cut(pool.rows(list(names)))
                     pool = Pool()
-        yield pool.rows(list(names))
+        yield from cut(pool.rows(list(names)))
+
+    return run
+
+
+def cut(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, max(rows.num_rows, 1), ROWS):
+        yield rows.slice(at, ROWS)
+
+
+def spell_words():
+    """Texts of all words and how often each stands in a task's texts; the sums per language are rows without a text."""
+    spelled_out = spell([None])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = []
+        for rows in spelled_out(batches):
+            sums.append(pa.table({"lang": rows["lang"], "n": rows["n"]}).group_by("lang").aggregate([("n", "sum")]))
+            yield rows.select(["lang", "phrase", "print", "n"])
+        total = pa.concat_tables(sums).group_by("lang").aggregate([("n_sum", "sum")]).combine_chunks()
+        none = total.num_rows
+        for part in pa.table({
+            "lang": total["lang"], "phrase": pa.nulls(none, pa.string()), "print": pa.nulls(none, pa.int64()), "n": total["n_sum_sum"],
+        }).to_batches():
+            yield part
 
     return run
 
 
+def counted_words(texts: DataFrame, min_count: int) -> DataFrame:
+    """(lang, phrase, words, print, a) of words whose print stands ``min_count`` times; without a text, all words per
+    language.  All texts of a print come, frequent or not."""
+    # Dealt by print, which serves the sums of texts and of prints.
+    each = texts.mapInArrow(spell_words(), WORDS).repartition("print").groupBy("print", "lang", "phrase").agg(F.sum("n").alias("a"))
+    often = each.withColumn("total", F.sum("a").over(W.partitionBy("print"))).filter((F.col("total") >= min_count) | F.col("print").isNull())
+    return often.select("lang", "phrase", F.lit(1).alias("words"), "print", "a")
+
+
 def spelled(texts: DataFrame, bitmaps: list[Bitmap]) -> DataFrame:
     found = texts.mapInArrow(spell(bitmaps), SPELLED).groupBy("lang", "phrase", "words", "print")
     return found.agg(F.sum("n").alias("a"), F.min("doc").alias("first_doc"))
@@ -427,11 +450,9 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST
     """
     texts = texts_of(docs)
     plain = texts.select("lang", "text")
-    summed = plain.mapInArrow(count_words, COUNTED).groupBy("lang", "print").agg(F.sum("n").alias("n"))
-    summed = keep(summed.filter((F.col("n") >= min_count) | F.col("print").isNull()), "phrases-words")
-    totals = summed.filter("print IS NULL").select("lang", "n")
-    bitmap = bitmap_of(summed.filter("print IS NOT NULL").select("print"), bits)
-    words, vocabulary = vocabulary_of(keep(spelled(texts, [bitmap]).drop("first_doc"), "phrases-spelled"), min_count)
+    summed = keep(counted_words(texts, min_count), "phrases-words")
+    totals = summed.filter("phrase IS NULL").select("lang", F.col("a").alias("n"))
+    words, vocabulary = vocabulary_of(summed.filter("phrase IS NOT NULL"), min_count)
     found, shorter = words.select("lang", "phrase", "words", "a", "print"), None
     for size in range(2, longest + 1):
         if not len(vocabulary.ids):
