@@ -6,8 +6,9 @@ all equal windows meet under one anchor.  Consecutive windows of one anchor are
 byte for byte are folded into one with their smallest document.  An anchor left with one segment has no
 two strings to compare: all its windows first stand in that document.
 
-Segments of the other anchors are dealt by anchor to tasks of a few megabytes.  A task sorts the suffixes
-of two shards, takes their transforms, and merges these by interleave refinement: in round t the
+Segments of the other anchors are dealt by anchor to tasks of a few megabytes.  There those that share no 40
+bytes around their anchor with another segment are set aside, as no window of theirs stands elsewhere.  A task sorts
+the suffixes of two shards of the others, takes their transforms, and merges these by interleave refinement: in round t the
 interleaving that sorts the suffixes of both shards by 2t bytes follows from that of round t - 1 by one
 stable pass over the transforms, which hold the two bytes before a suffix, and so do the places where the
 common prefix ends.  After 25 rounds the suffixes between two such places share 50 bytes: a repeated interval.  The smallest document of an
@@ -35,6 +36,8 @@ LENGTH = 50
 GRAM = 20
 #: Bits of a place within a text block; the other bits order anchors.
 PLACE_BITS = 28
+#: Bytes before and after an anchor.  Wherever a window has its anchor, it holds one of these strings around it.
+AROUND = ((0, 20), (10, 10), (20, 0))
 #: Bytes of segments that one task merges.
 TASK_BYTES = 3 << 20
 
@@ -185,6 +188,32 @@ def first_documents(first: np.ndarray, data: np.ndarray, size: np.ndarray) -> np
     return np.concatenate(out)
 
 
+def may_share(anchor: np.ndarray, data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which segments have a string around their anchor in common with another one; all others share no window.
+
+    A window has its anchor at the same byte wherever it stands, and a segment at its first occurrence, because ties go
+    to the first.  Equal hashes of different strings only keep a segment in.
+    """
+    hasher = Hasher(lower=False)
+    p, end = hasher.prefix(data), np.cumsum(size)
+    begin = end - size
+    owner = np.repeat(np.arange(len(size)), size)[: len(data) - GRAM + 1]
+    grams = mix((p[GRAM:] - p[:-GRAM]) * hasher.down[: len(owner)])
+    hit = np.flatnonzero(grams == anchor[owner])
+    hit = hit[hit + GRAM <= end[owner[hit]]]
+    known, first = np.unique(owner[hit], return_index=True)
+    place = hit[first]
+    out = np.ones(len(size), dtype=bool)
+    out[known] = False
+    for before, after in AROUND:
+        start, stop = place - before, place + GRAM + after
+        fits = (start >= begin[known]) & (stop <= end[known])
+        start, stop = start[fits], stop[fits]
+        _, of, n = np.unique((p[stop] - p[start]) * hasher.down[start], return_inverse=True, return_counts=True)
+        out[known[fits][n[of] > 1]] = True
+    return out
+
+
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First documents of all windows of the task's segments (anchor, segment, first, bytes)."""
     found = [b for b in batches if b.num_rows]
@@ -194,8 +223,11 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw = table.column("bytes").cast(pa.large_binary()).combine_chunks()
     block = next(blocks(raw, limit=1 << 62))
     size = np.diff(block.offsets)
-    value = first_documents(table.column("first").to_numpy(), block.data, size)
     windows = size - LENGTH + 1
+    first = table.column("first").to_numpy()
+    value, shares = np.repeat(first, windows), may_share(table.column("anchor").to_numpy().view(np.uint64), block.data, size)
+    if shares.any():
+        value[np.repeat(shares, windows)] = first_documents(first[shares], block.data[np.repeat(shares, size)], size[shares])
     owner = np.repeat(np.arange(len(size)), windows)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     fresh = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))
