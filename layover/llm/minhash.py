@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from layover.llm.blocks import Hasher, blocks, mix, shingles
 from layover.llm.components import components
-from layover.llm.scratch import keep, release
+from layover.llm.scratch import gives_back, keep, release
 
 WIDTH = 5
 HASHES, BITS = 512, 4
@@ -84,6 +84,7 @@ def lists(rows: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(flat))
 
 
+@gives_back
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(lower=True)
     for batch in batches:
@@ -122,6 +123,7 @@ def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def overlaps(threshold_pct: int):
     """Confirm pairs on whole sets: keeps (a, b) with 100 * intersection >= pct * union."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
         for batch in batches:
@@ -242,6 +244,7 @@ def differences(threshold_pct: int):
     the centre is given by a row without element; it and members of the main label have no excess.
     """
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from layover.llm.blocks import Block, Hasher, Lookup, blocks, mix
-from layover.llm.scratch import keep
+from layover.llm.scratch import gives_back, keep
 
 #: Fixed: how byte-level tokenizers cut a text before merging.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -166,6 +166,7 @@ class Encoder:
 def cut(tokenizer_json: str, window: int):
     """Tokens of every document, cut into whole windows and a remainder, ranked per length in this task."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, chunk = Encoder(tokenizer_json), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, dtype=np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from layover.llm.blocks import BASE, INVERSE, Block, Hasher, Words, blocks, mix, powers
-from layover.llm.scratch import release
+from layover.llm.scratch import gives_back, release
 
 ANCHOR = 6
 MIN_WORDS = 13
@@ -86,6 +86,7 @@ def short_lines(block: Block, words: Words, min_words: int) -> tuple[np.ndarray,
 
 
 def cut_pieces(min_words: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = Digests()
         for batch in batches:
@@ -122,6 +123,7 @@ def ranged(block: Block, words: Words, ranges: pa.Array) -> tuple[np.ndarray, np
 def cut_windows(min_words: int):
     """Windows in ranges of words: batches of doc_id, text, ranges."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = Digests()
         for batch in batches:
@@ -204,6 +206,7 @@ def spans_of(block: Block, words: Words, ranges: pa.Array) -> pa.Array:
 def locate(text_at: int):
     """Replaces the last column, ranges of words, by spans of bytes."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
         for batch in batches:

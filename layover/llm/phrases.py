@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from layover.llm.blocks import BASE, INVERSE, Block, Hasher, Lookup, Words, blocks, mix, powers
-from layover.llm.scratch import keep
+from layover.llm.scratch import gives_back, keep
 
 LONGEST = 5
 MIN_COUNT = 100
@@ -164,6 +164,7 @@ class Vocabulary:
 def count(size: int, vocabulary: Vocabulary, shorter: Bitmap | None):
     """Counts of phrases of ``size`` frequent words by their numbers; both phrases of one word less are frequent."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, table = Reader(SMALL_BLOCK), Lookup(vocabulary.ids)
         for batch in batches:
@@ -198,6 +199,7 @@ def unpack(size: int, vocabulary: Vocabulary):
     """Ids of the words of phrases, and the prints of phrases."""
     up = powers(BASE, size)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = np.zeros((batch.num_rows, size), np.int64)
@@ -327,6 +329,7 @@ class Pool:
 def spell(bitmaps: list[Bitmap | None]):
     """Texts of frequent prints, or of all where there is no bitmap, and how often each stands in a task's texts."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, pool, names = Reader(SMALL_BLOCK), Pool(), {}
         for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from layover.llm.blocks import BLOCK_BYTES, Block, Hasher, Lookup, Words, blocks, mix
 from layover.llm.samples import Sample, calibrate, fold, probability, sample
-from layover.llm.scratch import keep, release
+from layover.llm.scratch import gives_back, keep, release
 
 DISCOUNT = 0.75
 #: Symbols of the longest n-grams.
@@ -211,6 +211,7 @@ def grams(texts: list[str]) -> Grams:
     return found
 
 
+@gives_back
 def corpus_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Different words of the texts, A to Z lower-cased; some come from several blocks."""
     hasher = Hasher(lower=True)
@@ -248,6 +249,7 @@ def corpus_grams(contexts: np.ndarray):
     """Different n-grams (context, ends) of words, of all contexts that the sample has: ``context`` lies between the
     first and the last symbol, which ``ends`` holds in 32 bits each.  Some come from several tasks."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hasher = Lookup(contexts), Hasher(lower=True)
         for piece in gathered(batches):
@@ -307,6 +309,7 @@ def keys_of(table: pa.RecordBatch | pa.Table) -> np.ndarray:
 def among(keys: np.ndarray):
     """Rows whose key is one of some; they are bounded by the sample."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Lookup(keys)
         for batch in batches:
@@ -436,6 +439,7 @@ def train(docs: DataFrame, found: Sample) -> Model:
 
 
 def score_with(model: Model):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, spelling in spellings(batch.column(1)):
@@ -458,6 +462,7 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold:
 
 
 def accepting(model: Model, text_at: int, threshold: float):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, spelling in spellings(batch.column(text_at)):
