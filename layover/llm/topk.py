@@ -4,8 +4,10 @@ Components are quantised to floor(256 * x).  Rows are dealt to shards by a hash
 becomes one tree: median splits along the widest side, leaves of at most 128 rows, and for every node
 the tight box around its rows.  The largest inner product a box allows bounds what is inside.  Nodes are
 taken by their best bound over the queries of a block; a query follows only where the bound reaches its
-k-th score so far, and that score is carried from tree to tree within a task.  Shards answer with their
-k best, and the k best of those remain.
+k-th score so far, and that score is carried from tree to tree within a task.  A task grows the trees of
+its shards and then reads every query once, so queries are shuffled once per task, are never collected or
+broadcast, and a task holds its trees and one block.  Tasks answer with their k best, and the k best of
+those remain.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id.
 Vectors meet only vectors of their own length.  Repeated ids are different rows, but a query never meets
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from layover.llm.vectors import matrix, packed, unpacked, usable
+from layover.llm.vectors import matrix, usable
 
 SCALE = 256
 LEAF = 128
@@ -31,6 +34,10 @@ SHARD_ROWS = 8192
 BLOCK_QUERIES = 512
 NONE = -(1 << 62)
 
+TASK_BYTES = 64 << 20
+TASKS_PER_CORE = 3
+
+KEY = ["task", "asks", "dim", "shard"]
 ANSWERS = "query_id long, vec_id long, score long"
 
 
@@ -73,25 +80,6 @@ def grow(ids: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def trees(batch_rows: pa.Table) -> pa.Table:
-    ids = batch_rows.column("vec_id").to_numpy()
-    tree = grow(ids, quantised(matrix(batch_rows.column("embedding"))))
-    return pa.table({
-        "dim": pa.array([batch_rows.column("dim")[0].as_py()], pa.int32()),
-        "shard": pa.array([batch_rows.column("shard")[0].as_py()], pa.int32()),
-        "tree": pa.array([packed(**tree)], pa.binary()),
-    })
-
-
-def query_blocks(batch_rows: pa.Table) -> pa.Table:
-    block = packed(ids=batch_rows.column("vec_id").to_numpy(), rows=quantised(matrix(batch_rows.column("embedding"))))
-    return pa.table({
-        "dim": pa.array([batch_rows.column("dim")[0].as_py()], pa.int32()),
-        "block": pa.array([batch_rows.column("block")[0].as_py()], pa.int32()),
-        "queries": pa.array([block], pa.binary()),
-    })
-
-
 def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products as int64; doubles hold them exactly unless components are huge."""
     if np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(rows.shape[1], 1) < 2.0**53:
@@ -100,6 +88,12 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array([[sum(int(a) * b for a, b in zip(q, row)) for row in whole] for q in queries], dtype=np.int64)
 
 
+def task_count(shards: int, shard_bytes: int, cores: int) -> int:
+    """Tasks that shards are dealt to: a few per core, and more where their trees would take over TASK_BYTES each."""
+    most = max(1, TASK_BYTES // max(1, shard_bytes))
+    return min(shards, max(TASKS_PER_CORE * cores, -(-shards // most)))
+
+
 def search(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray):
     """The k best rows of a tree per query: (ids, scores), padded with NONE.  ``floor`` is raised to the k-th score.
 
@@ -125,6 +119,10 @@ def search(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, k:
         rows = tree["ids"][a:b]
         scores = products(queries[active], tree["rows"][a:b])
         scores[rows[None, :] == ids[active][:, None]] = NONE
+        reach = np.flatnonzero(scores.max(axis=1) >= floor[active])
+        if not len(reach):
+            continue
+        active, scores = active[reach], scores[reach]
         if b - a > k:  # ids ascend within a leaf, so the earlier place wins a tie
             keyed = scores * (b - a) + (b - a - 1 - np.arange(b - a))
             keyed[scores == NONE] = NONE
@@ -142,20 +140,64 @@ def search(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, k:
     return owner, best
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """Consecutive rows with equal (task, asks, dim, shard), as far as they lie in one batch: that key, ids, rows."""
+    for batch in batches:
+        keys = np.column_stack([batch.column(c).cast(pa.int32()).to_numpy(zero_copy_only=False) for c in KEY])
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+            if a < b:
+                part = batch.slice(a, b - a)
+                yield tuple(int(x) for x in keys[a]), part.column("vec_id").to_numpy(), quantised(matrix(part.column("embedding")))
+
+
+def blocks(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same ids and rows in blocks of ``most``, the last one smaller."""
+    ids, rows = [], []
+    for i, r in found:
+        for at in range(0, len(i), most):
+            ids.append(i[at : at + most]), rows.append(r[at : at + most])
+            if sum(map(len, ids)) >= most:
+                i_all, r_all = np.concatenate(ids), np.concatenate(rows)
+                yield i_all[:most], r_all[:most]
+                ids, rows = [i_all[most:]], [r_all[most:]]
+    if sum(map(len, ids)):
+        yield np.concatenate(ids), np.concatenate(rows)
+
+
+def best_of(trees: list[dict[str, np.ndarray]], ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best rows of all trees for a block of queries."""
+    floor = np.full(len(ids), NONE, dtype=np.int64)
+    owner = np.empty((len(ids), 0), dtype=np.int64)
+    best = owner.copy()
+    for tree in trees:
+        found, scores = search(tree, ids, queries, k, floor)
+        owner, best = np.concatenate([owner, found], axis=1), np.concatenate([best, scores], axis=1)
+        order = np.lexsort((owner, -best), axis=1)[:, :k]
+        owner, best = np.take_along_axis(owner, order, axis=1), np.take_along_axis(best, order, axis=1)
+        floor = np.maximum(floor, best[:, k - 1])
+    some = best != NONE
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(ids, some.sum(axis=1))), pa.array(owner[some]), pa.array(best[some])],
+        names=["query_id", "vec_id", "score"],
+    )
+
+
 def search_all(k: int):
+    """Rows ordered by KEY to answers: the vectors of a task come first, shard by shard, then its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for dim, block, queries, tree in zip(*(batch.column(i) for i in range(4))):
-                asked = unpacked(queries.as_py())
-                ids = asked["ids"]
-                floor = floors.setdefault((dim.as_py(), block.as_py()), np.full(len(ids), NONE, dtype=np.int64))
-                owner, best = search(unpacked(tree.as_py()), ids, asked["rows"], k, floor)
-                some = best != NONE
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, some.sum(axis=1))), pa.array(owner[some]), pa.array(best[some])],
-                    names=["query_id", "vec_id", "score"],
-                )
+        here, trees = None, {}
+        for (task, asks, dim, _), group in groupby(parts(batches), key=lambda part: part[0]):
+            if task != here:
+                here, trees = task, {}
+            found = ((ids, rows) for _, ids, rows in group)
+            if not asks:
+                ids, rows = zip(*found)
+                trees.setdefault(dim, []).append(grow(np.concatenate(ids), np.concatenate(rows)))
+            elif dim in trees:
+                for ids, rows in blocks(found, BLOCK_QUERIES):
+                    yield best_of(trees[dim], ids, rows, k)
 
     return run
 
@@ -163,22 +205,17 @@ def search_all(k: int):
 def top_k(rows: DataFrame, every: int, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``, against all rows."""
     known = usable(rows.select(F.col("vec_id").cast("long"), "embedding"))
-    total = known.count()
+    total, longest = known.agg(F.count(F.lit(1)), F.max("dim")).first()
     shards = max(1, -(-total // shard_rows))
+    tasks = task_count(shards, shard_rows * (longest or 1) * 8, rows.sparkSession.sparkContext.defaultParallelism)
     # Repeated ids are spread by their vectors, so one id cannot fill a shard.
-    sharded = known.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
-    indexed = sharded.select("dim", "shard", "vec_id", "embedding").groupBy("dim", "shard").applyInArrow(
-        trees, "dim int, shard int, tree binary"
-    )
+    shard = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int")
+    sharded = known.withColumn("shard", shard).withColumn("task", F.pmod("shard", F.lit(tasks))).withColumn("asks", F.lit(0))
     asked = known.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    blocked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks)).cast("int"))
-    queries = blocked.select("dim", "block", "vec_id", "embedding").groupBy("dim", "block").applyInArrow(
-        query_blocks, "dim int, block int, queries binary"
-    )
-    everywhere = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = everywhere.join(indexed, ["dim", "shard"]).select("dim", "block", "queries", "tree")
-    answers = pairs.mapInArrow(search_all(k), ANSWERS)
+    everywhere = asked.withColumn("shard", F.lit(-1)).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).withColumn("asks", F.lit(1))
+    # Never a join: the planner takes queries for as small as they are before they go to every task, and broadcasts them.
+    met = sharded.unionByName(everywhere).repartitionById(tasks, "task").sortWithinPartitions(*KEY)
+    answers = met.mapInArrow(search_all(k), ANSWERS)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = answers.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
