@@ -227,7 +227,7 @@ FROM (SELECT i.*, coalesce(alternate_flight IN ('EK372', 'EK380') AND e.pnr IS N
 )
 def hold_in_place(t):
     path = new_path(t.spark, "inventory")
-    inplace.write_laid_out(t.inventory, path, "pnr", parts=64)
+    inplace.write_laid_out(t.inventory, path, "pnr", parts=64, read_again=True)
     pnrs = t.flight_events.filter("new_connection_mins = 20").select("pnr").distinct()
     inplace.change_keys(t.spark, path, t.inventory.schema, "pnr", pnrs, lambda rows: inventory.place_holds(rows, pnrs), parts=64)
     return inplace.read_laid_out(t.spark, path, t.inventory.schema).select(

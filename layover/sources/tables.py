@@ -55,9 +55,13 @@ def create_from(df: DataFrame, name: str, path: str) -> DataFrame:
 # --- writing -------------------------------------------------------------------------------
 
 
-def write_new(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+def write_new(
+    df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str | None = None
+) -> DataFrame:
     """Write to a path that must not exist yet, and read it back."""
     writer = df.write.mode("errorifexists")
+    if compression:
+        writer = writer.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
