@@ -113,12 +113,12 @@ def write_laid_out(
     The table appears under its path when it is whole.
     """
     spark = df.sparkSession
+    placed = df.withColumn(PART, part_of(F.col(key), parts))
     target, system = _folder(spark, path)
     if system.exists(target):
-        raise FileExistsError(path)
+        return placed.limit(0).write.partitionBy(PART).parquet(path)  # fails, with Spark's own error
     aside, building = new_path(spark, "to-lay-out"), f"{path.rstrip('/')}-in"
     _remove(spark, building)  # of a job that died
-    placed = df.withColumn(PART, part_of(F.col(key), parts))
     rows = _grouped(placed) if read_again else _set_aside(placed, aside)
     # Nothing else lies on the disk where rows are read again, and every step reads all of them.
     steps = _steps(_told_size(df), AGAIN) if read_again else _steps(_size(spark, aside))

@@ -5,6 +5,7 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from layover.operators import mutate
@@ -101,7 +102,7 @@ def test_a_table_appears_when_it_is_whole(spark, table):
     table.limit(10).write.parquet(f"{path}-in/{inplace.PART}=3")  # of a job that died
     inplace.write_laid_out(table, path, "k", 8)
     assert rows_of(inplace.read_laid_out(spark, path, table.schema)) == rows_of(table)
-    with pytest.raises(FileExistsError):
+    with pytest.raises(AnalysisException):
         inplace.write_laid_out(table, path, "k", 8)
     empty = new_path(spark, "inplace-steps")
     inplace.write_laid_out(table.limit(0), empty, "k", 8)
